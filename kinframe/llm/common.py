@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words and is stripped from lines.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -25,6 +26,11 @@ def python_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` followed by the columns of a DDL string."""
+    return StructType(df.schema.fields + StructType.fromDDL(more).fields)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
