@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from kinframe.llm import chat_format, line_dedup, sharding
+from kinframe.llm import bpe, chat_format, language_id, line_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_language_id": language_id.op2_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_quality": quality.op9_quality,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
