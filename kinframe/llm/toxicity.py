@@ -14,80 +14,103 @@ from pyspark.sql import functions as F
 from kinframe.llm.common import python_batches, read, widened
 from kinframe.llm.language_id import fold
 
-BITS = 18
+BITS = 20
 _sentence = regex.compile(r"[^.!?\n]+").finditer
 _word = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
-_memory: dict[str, int] = {}
 
 
-def bucket(word: str) -> int:
-    """Hash bucket of a word; bounded memory in the worker."""
-    if len(_memory) > 500_000:
-        _memory.clear()
-    b = _memory.get(word)
-    if b is None:
-        b = _memory[word] = xxhash.xxh3_64_intdigest(word.encode()) >> (64 - BITS)
-    return b
+def grams(word: str) -> list[int]:
+    """Hash buckets of a word, and of the runs of 4 and 5 characters in it (its ends marked)."""
+    marked = f"^{word}$"
+    parts = {word, *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))}
+    return [xxhash.xxh3_64_intdigest(p.encode()) >> (64 - BITS) for p in sorted(parts)]
 
 
-def instances(text: str) -> tuple[list[list[int]], list[tuple[int, int]]]:
-    """Word buckets of each sentence that has a word, and its span in the text."""
-    buckets, spans = [], []
+def instances(text: str) -> tuple[list[set[str]], list[tuple[int, int]]]:
+    """Distinct words of each sentence that has a word, and its span in the text."""
+    words, spans = [], []
     for m in _sentence(text):
-        words = _word(m.group().lower())
-        if words:
-            buckets.append(list({bucket(w) for w in words}))
+        found = _word(m.group().lower())
+        if found:
+            words.append(set(found))
             spans.append(m.span())
-    return buckets, spans
+    return words, spans
 
 
 @dataclass
 class NoisyOr:
-    """Sentence logits from hashed words; a document is toxic unless no sentence is."""
+    """Sentence logits from hashed words and their character runs; a document is toxic unless no sentence is."""
 
     weights: np.ndarray
     bias: float
 
-    def logits(self, idx: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.weights[idx], starts) + self.bias
+    def __post_init__(self):
+        self.memory: dict[str, float] = {}
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, batch: int = 64, rate: float = 0.3, decay: float = 2e-6, seed: int = 3) -> NoisyOr:
-        """Adagrad on document log loss; classes weigh the same.
+    def word(self, word: str) -> float:
+        """Sum of a word's weights, remembered within bounds."""
+        v = self.memory.get(word)
+        if v is None:
+            if len(self.memory) > 500_000:
+                self.memory.clear()
+            v = self.memory[word] = float(self.weights[grams(word)].sum())
+        return v
+
+    def logits(self, sentences: list[set[str]]) -> np.ndarray:
+        word = self.word
+        return np.array([sum(map(word, sorted(s))) for s in sentences]) + self.bias
+
+    def fit(self, docs: list[tuple[list[set[str]], int]], epochs: int = 6, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, rare: int = 4, seed: int = 3) -> NoisyOr:
+        """Adagrad on document log loss. Character runs in under ``rare`` documents keep weight 0.
 
         With S the sum of softplus over a document's sentence logits its
         probability is 1 - exp(-S); that gives each sentence its share of the
         document's error, so only document labels are needed.
         """
-        r, g2, b2 = np.random.default_rng(seed), np.full(len(self.weights), 1e-6), 1e-6
-        y_all = np.array([d[2] for d in docs])
-        weigh = {c: len(docs) / (2 * max(1, (y_all == c).sum())) for c in (0, 1)}
+        vocab = {w: i for i, w in enumerate(sorted({w for d, _ in docs for s in d for w in s}))}
+        each = [grams(w) for w in vocab]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat, first = np.concatenate([np.array(x) for x in each]), np.concatenate(([0], np.cumsum(sizes)))
+        seen = np.zeros(len(self.weights), np.int32)
+        for d, _ in docs:
+            seen[np.unique(np.concatenate([each[vocab[w]] for s in d for w in s]))] += 1
+        open_ = seen >= rare
+        coded = [(np.array([vocab[w] for s in d for w in sorted(s)]), np.array([len(s) for s in d])) for d, _ in docs]
+        y_all = np.array([y for _, y in docs])
+        r, g2, b2 = np.random.default_rng(seed), np.full(len(self.weights), 1e-4), 1e-4
         for _ in range(epochs):
             for at in np.array_split(r.permutation(len(docs)), max(1, len(docs) // batch)):
-                part = [docs[i] for i in at]
-                idx = np.concatenate([d[0] for d in part])
-                lens = np.concatenate([d[1] for d in part])
-                y = np.array([d[2] for d in part])
+                y, part = y_all[at], [coded[i] for i in at]
+                idx, lens = np.concatenate([d[0] for d in part]), np.concatenate([d[1] for d in part])
+                used, back = np.unique(idx, return_inverse=True)
+                n = sizes[used]
+                ends = np.cumsum(n)
+                where = np.repeat(first[used] - ends + n, n) + np.arange(ends[-1])
+                f = flat[where]
+                u = np.add.reduceat(self.weights[f], ends - n)
                 of = np.repeat(np.arange(len(part)), [len(d[1]) for d in part])
-                starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-                z = self.logits(idx, starts)
+                z = np.add.reduceat(u[back], np.concatenate(([0], np.cumsum(lens)[:-1]))) + self.bias
                 p = 1 / (1 + np.exp(-z))
                 s = np.bincount(of, np.logaddexp(0, z), len(part))
-                share = np.where(y == 1, -1 / np.expm1(np.clip(s, 1e-9, 700)), 1.0) * np.where(y == 1, weigh[1], weigh[0])
+                share = np.where(y == 1, -1 / np.expm1(np.clip(s, 1e-9, 700)), 1.0)
                 dz = p * share[of] / len(part)
-                g = np.bincount(idx, np.repeat(dz, lens), len(self.weights)) + decay * self.weights
-                g2 += g * g
-                self.weights -= rate * g / np.sqrt(g2)
+                du = np.bincount(back, np.repeat(dz, lens), len(used))
+                hit, of_hit = np.unique(f, return_inverse=True)
+                g = np.where(open_[hit], np.bincount(of_hit, np.repeat(du, n), len(hit)) + decay * self.weights[hit], 0)
+                g2[hit] += g * g
+                self.weights[hit] -= rate * g / np.sqrt(g2[hit])
                 gb = dz.sum()
                 b2 += gb * gb
                 self.bias -= 0.1 * gb / np.sqrt(b2)
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 2500) -> NoisyOr | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 2000, longest: int = 20_000) -> NoisyOr | None:
     """Fit on a bounded sample: per class the ``docs_per_class`` labelled documents of least id hash.
 
-    Documents without a word say nothing about words and are left out; rows
-    with a null label or id too. None where a class is missing.
+    The sample takes texts of at most ``longest`` characters that have a word,
+    which bounds what reaches the driver; rows with a null label or id are left
+    out. None where a class is missing.
     """
     python_batches(docs.sparkSession)
     draw = F.xxhash64(F.lit("toxicity sample"), F.col("id"))
@@ -96,29 +119,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(counts) < 2:
         return None
     limit = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(2**62, 1.5 * docs_per_class / n * 2**62))))))[F.col("y")]
-    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(known.where(F.shiftrightunsigned(draw, 2) < limit), "id").select(draw.alias("draw"), "y", "text")
-
-    def features(batches):
-        for batch in batches:
-            d, y, idx, lens = [], [], [], []
-            for a, c, t in zip(*(x.to_pylist() for x in batch.columns)):
-                sentences, _ = instances(t)
-                if sentences:
-                    d.append(a)
-                    y.append(c)
-                    idx.append(np.array([i for s in sentences for i in s], np.int32).tobytes())
-                    lens.append(np.array([len(s) for s in sentences], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(y, pa.int32()), pa.array(idx, pa.binary()), pa.array(lens, pa.binary())], ["draw", "y", "idx", "lens"])
-
-    rows = sorted(drawn.mapInArrow(features, "draw long, y int, idx binary, lens binary").collect(), key=lambda r: (r.draw, r.y, bytes(r.idx)))
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= longest).join(known.where(F.shiftrightunsigned(draw, 2) < limit), "id")
     taken, sample = {0: 0, 1: 0}, []
-    for r in rows:
-        if taken[r.y] < docs_per_class:
+    for r in sorted(drawn.select(draw.alias("draw"), "y", "text").collect(), key=lambda r: (r.draw, r.y, r.text)):
+        words, _ = instances(r.text)
+        if words and taken[r.y] < docs_per_class:
             taken[r.y] += 1
-            sample.append((np.frombuffer(bytes(r.idx), np.int32), np.frombuffer(bytes(r.lens), np.int32), r.y))
+            sample.append((words, r.y))
     if not all(taken.values()):
         return None
-    return NoisyOr(np.zeros(1 << BITS), -4.0).fit(sample)
+    return NoisyOr(np.zeros(1 << BITS), -7.0).fit(sample)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), sentence_at: float = 0.5) -> DataFrame:
@@ -134,19 +144,17 @@ def score_toxicity(docs: DataFrame, model: NoisyOr | None, text_col: str = "text
     weights, bias = (model.weights.astype(np.float32), model.bias) if model else (None, 0.0)
 
     def run(batches):
-        net = NoisyOr(weights, bias)
+        net = NoisyOr(weights, bias) if weights is not None else None
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
             scores, marks = [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                sentences, spans = instances(t) if t and weights is not None else ([], [])
+                sentences, spans = instances(t) if t and net else ([], [])
                 if not sentences:
                     scores.append(0.0)
                     marks.append([])
                     continue
-                lens = np.fromiter(map(len, sentences), np.int64, len(sentences))
-                idx = np.fromiter((i for s in sentences for i in s), np.int64, int(lens.sum()))
-                z = net.logits(idx, np.concatenate(([0], np.cumsum(lens)[:-1]))).astype(np.float64)
+                z = net.logits(sentences)
                 scores.append(float(-np.expm1(-np.logaddexp(0, z).sum())))
                 p = 1 / (1 + np.exp(-z))
                 marks.append([{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= sentence_at)])
