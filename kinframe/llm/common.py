@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small (a session setting; a user's smaller value stays)."""
+    """Make Python workers ready: ship this package to them, and keep Arrow batches of whole texts small.
+
+    The batch size is a session setting; a user's smaller value stays.
+    """
+    context, package = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not getattr(context, "kinframe_shipped", False):
+        archive = os.path.join(tempfile.mkdtemp(prefix="kinframe-"), "kinframe.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+        context.kinframe_shipped = True
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
@@ -53,30 +69,32 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)]
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each node is either a leaf with one edge or a centre: nothing is left to do."""
+    ends = pairs.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or (leaf = 1 and centre = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected ``edges`` (a, b).
 
     Alternates large-star and small-star rounds, which turn any graph into stars
     in logarithmically many rounds; each round is one pair of shuffles on the
     edges, and the edges are cut to the checkpoint folder. Only nodes with an
-    edge are returned. Nothing but a count of changed edges reaches the driver.
+    edge are returned. Nothing but whether all are stars reaches the driver.
     """
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(max_rounds):
+        if _stars(pairs):
+            break
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours of a node move to the least of its neighbourhood
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: smaller neighbours of a node, and it, move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         pairs = cut(star.where("a <> b").distinct())
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

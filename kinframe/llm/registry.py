@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinframe.llm import bpe, chat_format, language_id, line_dedup, quality, sharding, toxicity
+from kinframe.llm import bpe, chat_format, jaccard_join, language_id, line_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_quality": quality.op9_quality,
 }
 SQL = {
