@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinframe.llm import bpe, chat_format, jaccard_join, language_id, line_dedup, quality, sharding, toxicity
+from kinframe.llm import bpe, chat_format, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_quality": quality.op9_quality,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
