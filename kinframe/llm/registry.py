@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kinframe.llm import bpe, chat_format, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sharding, toxicity
+from kinframe.llm import bpe, chat_format, decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_language_id": language_id.op2_language_id,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_chat_format": chat_format.op6_chat_format,
