@@ -100,8 +100,27 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+#: Buckets of ids by which texts are pruned ahead of a shuffle; bounds that broadcast to some MB.
+ID_BUCKETS = 1 << 20
+
+
+def _texts_of(ids: DataFrame, base: DataFrame) -> DataFrame:
+    """(id, text) of the ``ids`` alone, one text each.
+
+    Ids are hashed to a fixed number of buckets and texts in no wanted bucket
+    are left out by a broadcast of bounded size, so the shuffle that follows
+    carries little but the texts that are wanted.
+    """
+    number = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
+    wanted = ids.select(number.alias("bucket")).distinct()
+    near = base.withColumn("bucket", number).join(F.broadcast(wanted), "bucket", "left_semi").select("id", "text")
+    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough, by exact comparison of whole texts."""
+    pairs = cut(pairs)
+    texts = cut(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), base))
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -128,12 +147,13 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     2. In each bucket (a key) every set is paired with the bucket's least id, a
        star instead of all pairs; pairs are verified exactly on whole texts, and
        linked sets joined to components.
-    3. Buckets that still hold several components get new random leaders for the
-       members outside the leader's component, ``leader_rounds`` times.
-    4. What is left is compared exactly: the members of a bucket outside its
-       largest component against all, in blocks of ``block`` rows, first by
-       sketch (the Hamming distance bounds the difference from below), then by
-       text. No partner and no bucket is capped.
+    3. Buckets that still hold several components give their pairs at once where
+       they have a handful of members; larger ones get new random leaders for
+       the members outside the leader's component, ``leader_rounds`` times.
+    4. What is left of the larger ones is compared exactly: the members of a
+       bucket outside its largest component against all, in blocks of ``block``
+       rows, first by sketch (the Hamming distance bounds the difference from
+       below), then by text. No partner and no bucket is capped.
 
     Null texts and texts without a word have no shingles and stay alone. Ids must
     be integers; rows with a null id are left out, rows that repeat an id are
@@ -156,52 +176,59 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             offsets = np.concatenate(([0], np.cumsum([len(k) // 8 for k in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "digest", "keys"])
 
-    sets = base.mapInArrow(features, "id long, n long, digest binary, keys array<long>")
-    sizes = cut(sets.select("id", "n", "digest"))
-    classes = sizes.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = cut(classes.select("rep"))
-    members = sizes.where("digest is not null").join(classes, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    keyed = cut(sets.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", F.explode("keys").alias("key")).distinct())
+    sets = cut(base.mapInArrow(features, "id long, n long, digest binary, keys array<long>"))
+    classes = sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    members = cut(sets.where("digest is not null").select("id", "digest").join(classes, "digest").select("id", "rep"))
+    keyed = sets.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    texts = base.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-
-    buckets = cut(keyed.join(shared, "key").select("key", F.col("id"), "a"))
-    links = cut(_verify(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), texts, n, percent))
-    buckets = buckets.select("key", "id")
+    buckets = cut(keyed.join(shared, "key").select("key", "id", "n", "a"))
+    links = cut(_verify(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), base, n, percent))
+    buckets = buckets.select("key", "id", "n")
     for turn in range(leader_rounds + 1):
         comp = connected_components(links)
         known = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = cut(known.join(mixed, "key", "left_semi"))
-        if open_.isEmpty():
-            break
+        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("total")).where("lo <> hi").select("key", "total")
+        open_ = cut(known.join(mixed, "key"))
         if turn < leader_rounds:
             draw = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "component")
-            heads = open_.groupBy("key").agg(F.min(draw).alias("head")).select("key", "head.id", "head.component").toDF("key", "a", "head_component")
-            pairs = open_.join(heads, "key").where("component <> head_component")
+            heads = open_.where(F.col("total") > SMALL).groupBy("key").agg(F.min(draw).alias("head")).select("key", "head.id", "head.component").toDF("key", "a", "head_component")
+            pairs = open_.join(heads, "key").where("component <> head_component").select("a", "id")
         else:
-            pairs = _open_pairs(open_, texts, n, percent, block)
+            pairs = _open_pairs(open_, base, n, percent, block)
+        pairs = pairs.union(_small_pairs(open_, percent)) if turn == 0 else pairs
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        links = cut(links.union(_verify(pairs, texts, n, percent)).distinct())
-        buckets = open_.select("key", "id")
-    comp = connected_components(links.union(members))
+        links = cut(links.union(_verify(pairs, base, n, percent)).distinct())
+        buckets = open_.where(F.col("total") > SMALL).select("key", "id", "n")
+    comp = connected_components(links.union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return (
-        sizes.select("id", F.col("n").alias("n_shingles"))
+        sets.select("id", F.col("n").alias("n_shingles"))
         .join(comp.withColumnRenamed("node", "id"), "id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))
     )
 
 
-def _open_pairs(open_: DataFrame, texts: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+#: Buckets of up to so many members give their few pairs at once.
+SMALL = 8
+
+
+def _small_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, id) of different components and near enough sizes in buckets of at most ``SMALL`` members."""
+    few = open_.where(F.col("total") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "component", "n")).alias("m"))
+    one = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    return one.where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("id"))
+
+
+def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     """Pairs (a, id) of different components that share a bucket and whose sketches allow the similarity.
 
     The members outside a bucket's largest component meet all of its members,
-    as pairs of blocks: each group of a task holds at most about two blocks.
+    as pairs of blocks, so that a task looks at about two blocks at a time.
     """
     sizes = open_.groupBy("key", "component").agg(F.count("*").alias("c"))
     shape = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total")).select(
         "key", F.col("top.component").alias("top"), F.ceil(F.col("total") / block).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.c")) / block).cast("int").alias("rows"))
-    placed = open_.join(shape, "key").withColumn("h", F.xxhash64(F.lit("block"), "id"))
+    placed = open_.select("key", "id", "component").join(shape, "key").withColumn("h", F.xxhash64(F.lit("block"), "id"))
     others = placed.where("component <> top").select("key", "id", "component", F.lit(True).alias("probe"), F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     every = placed.select("key", "id", "component", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("h", "columns").cast("int").alias("j"))
 
@@ -216,34 +243,47 @@ def _open_pairs(open_: DataFrame, texts: DataFrame, n: int, percent: int, block:
                 below.append(sketch(h, percent, max(0, b - 1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(own, pa.binary()), pa.array(below, pa.binary())], ["id", "n", "own", "below"])
 
-    sketches = texts.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(outline, "id long, n long, own binary, below binary")
-
-    def compare(pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf.probe], pdf[~pdf.probe].reset_index(drop=True)
-        at: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-        for k, (x, own, below) in enumerate(zip(right["n"], right["own"], right["below"])):  # sketches of one band can be compared
-            b = band(int(x), percent)
-            for c, raw in {b: own, max(0, b - 1): below}.items():
-                rows = at.setdefault(c, ([], []))
-                rows[0].append(k)
-                rows[1].append(np.frombuffer(raw, np.uint64))
+    sketches = _texts_of(open_.select("id").distinct(), base).mapInArrow(outline, "id long, n long, own binary, below binary")
+    dealt = others.unionByName(every).join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def near_pairs(group: list[tuple]) -> set[tuple[int, int]]:
+        at: dict[int, tuple[list, list[np.ndarray]]] = {}
+        for g, x, probe, size, own, below in group:  # sketches of one band can be compared
+            if not probe:
+                b = band(size, percent)
+                for c, raw in {b: own, max(0, b - 1): below}.items():
+                    rows = at.setdefault(c, ([], []))
+                    rows[0].append((x, g, size))
+                    rows[1].append(np.frombuffer(raw, np.uint64))
         stacked = {c: (np.array(i), np.stack(w)) for c, (i, w) in at.items()}
-        n_right, id_right, comp_right = right["n"].to_numpy(), right["id"].to_numpy(), right["component"].to_numpy()
-        found = []
-        for x, i, g, own, below in zip(left["n"], left["id"], left["component"], left["own"], left["below"]):
-            b = band(int(x), percent)
-            for c, raw in {b: own, max(0, b - 1): below}.items():
-                if c in stacked:
-                    rows, words = stacked[c]
-                    far = np.bitwise_count(words ^ np.frombuffer(raw, np.uint64)).sum(axis=1)
-                    near = rows[far <= (n_right[rows] + int(x)) * (100 - percent) // (100 + percent)]
-                    near = near[comp_right[near] != g]
-                    found += [(i, y) for y in id_right[near].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "id"]).astype("int64")
-
-    return others.unionByName(every).join(sketches, "id").groupBy("key", "i", "j").applyInPandas(compare, "a long, id long")
+        found = set()
+        for g, x, probe, size, own, below in group:
+            if probe:
+                b = band(size, percent)
+                for c, raw in {b: own, max(0, b - 1): below}.items():
+                    if c in stacked:
+                        rows, bits = stacked[c]
+                        far = np.bitwise_count(bits ^ np.frombuffer(raw, np.uint64)).sum(axis=1, dtype=np.int64)
+                        ok = (far <= (rows[:, 2] + size) * (100 - percent) // (100 + percent)) & (rows[:, 1] != g)
+                        found.update((x, y) for y in rows[ok, 0].tolist())
+        return found
+
+    def compare(batches):
+        kind = pa.schema([("a", pa.int64()), ("id", pa.int64())])
+        out = lambda found: pa.RecordBatch.from_pylist([{"a": a, "id": b} for a, b in sorted(found)], kind)
+        here, group = None, []
+        for batch in batches:
+            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "n", "own", "below"))
+            for k, row in zip(zip(key, i, j), zip(*rest)):
+                if k != here:
+                    if group:
+                        yield out(near_pairs(group))
+                    here, group = k, []
+                group.append(row)
+        if group:
+            yield out(near_pairs(group))
+
+    return dealt.mapInArrow(compare, "a long, id long")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
