@@ -19,6 +19,7 @@ def dedup_lines(
     text_col: str = "text",
     min_length: int = 10,
     min_docs: int = 2,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Drop lines found in ``min_docs`` or more documents, except in the least id that holds them.
 
@@ -29,14 +30,15 @@ def dedup_lines(
     are counted distinctly. The positions to drop then meet their document, and
     the rest is put together by position. Text is shuffled once, by document.
 
-    Returns (id, lines long, dropped long, text): ``text`` is the kept text.
+    Returns (id, lines long, dropped long, text, and the columns ``keep``):
+    ``text`` is the kept text.
     Null or empty text is one empty line. Rows with a null id count nowhere and
     lose nothing. Rows that repeat an id count as one document; each row is
-    returned. Columns besides the two named are not looked at. An empty table
+    returned. Other columns are not looked at. An empty table
     gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    base = base.select("id", F.xxhash64("body").alias("tk"), F.split("body", "\n", -1).alias("lines"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.struct(F.lit(0), *keep).alias("kept_columns"))
+    base = base.select("id", F.xxhash64("body").alias("tk"), F.split("body", "\n", -1).alias("lines"), "kept_columns")
     h1, h2 = hash128(F.col("key"))
     lines = (
         base.where("id is not null")
@@ -58,12 +60,13 @@ def dedup_lines(
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")), lambda i: F.get(F.col("lines"), i))
     return (
         base.join(drops, ["id", "tk"], "left")
-        .select("id", F.size("lines").cast("long").alias("n"), F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+        .select("id", F.size("lines").cast("long").alias("n"), F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"), "kept_columns")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("lines"),
             (F.col("n") - F.size("kept")).alias("dropped"),
             F.array_join("kept", "\n").alias("text"),
+            *(F.col("kept_columns")[c].alias(c) for c in keep),
         )
     )
 

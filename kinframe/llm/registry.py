@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from kinframe.llm import bpe, chat_format, decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, quality, sharding, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
