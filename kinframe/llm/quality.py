@@ -15,22 +15,16 @@ from kinframe.llm.common import python_batches, read, widened
 from kinframe.llm.language_id import fold
 
 BITS = 18
-_memory: dict[str, tuple[int, int]] = {}
-_runs = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{L}+"), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1"))
+_memory: dict[str, int] = {}
+_capitals, _digits, _equal = (regex.compile(p) for p in (r"\p{Lu}+", r"\p{N}+", r"(.)\1+"))
+_letters = regex.compile(r"[\p{L}--A]+", regex.V1)
 
 
-def buckets(word: str) -> tuple[int, int]:
-    """Hash buckets of a word and of its shape (runs of capitals, letters, digits and equal signs made one)."""
-    if len(_memory) > 400_000:
-        _memory.clear()
-    b = _memory.get(word)
-    if b is None:
-        shape = word
-        for pattern, to in _runs:
-            shape = pattern.sub(to, shape) if to != "a" else regex.sub(r"[\p{L}--A]+", "a", shape, flags=regex.V1)
-        hashed = lambda x: xxhash.xxh3_64_intdigest(x.encode()) >> (64 - BITS)
-        b = _memory[word] = (hashed("w " + word.lower()), hashed("s " + shape))
-    return b
+def buckets(word: str) -> int:
+    """Hash buckets of a word and of its shape (runs of capitals, letters, digits and equal signs made one), in one number."""
+    shape = _equal.sub(r"\1", _digits.sub("0", _letters.sub("a", _capitals.sub("A", word))))
+    hashed = lambda x: xxhash.xxh3_64_intdigest(x.encode()) >> (64 - BITS)
+    return hashed("w " + word.lower()) << 32 | hashed("s " + shape)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -38,17 +32,20 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    both = np.array([buckets(w) for w in words], np.int64)
-    out_i, out_x = [], []
-    for block, scale in ((both[:, 0], 0.5), (both[:, 1], 1.0)):
-        i, n = np.unique(block, return_counts=True)
-        x = np.log1p(n) if scale < 1 else n / len(words)
-        out_i.append(i)
-        out_x.append(scale * x / np.sqrt((x * x).sum()))
-    repeated = (both[1:, 0] == both[:-1, 0]).mean() if len(words) > 1 else 0.0
-    out_i.append(np.array([0, 1]))
-    out_x.append(np.array([min(1.0, 4 * repeated), len(np.unique(both[:, 0])) / len(words)]))
-    return np.concatenate(out_i), np.concatenate(out_x)
+    if len(_memory) > 400_000:
+        _memory.clear()
+    found = list(map(_memory.get, words))
+    if None in found:
+        for i, known in enumerate(found):
+            if known is None:
+                found[i] = _memory[words[i]] = buckets(words[i])
+    both = np.array(found, np.int64)
+    word, shape = both >> 32, both & 0xFFFFFFFF
+    (wi, wn), (si, sn) = (np.unique(x, return_counts=True) for x in (word, shape))
+    wx, sx = np.log1p(wn), sn / len(words)
+    repeated = (word[1:] == word[:-1]).mean() if len(words) > 1 else 0.0
+    own = np.array([min(1.0, 4 * repeated), len(wi) / len(words)])
+    return np.concatenate((wi, si, [0, 1])), np.concatenate((0.5 * wx / np.sqrt(wx @ wx), sx / np.sqrt(sx @ sx), own))
 
 
 @dataclass
