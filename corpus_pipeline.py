@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinframe.llm.bpe import digests
-from kinframe.llm.common import read
+from kinframe.llm.common import cut, read, without
 from kinframe.llm.decontamination import mark_contaminated
 from kinframe.llm.jaccard_join import similar_components
 from kinframe.llm.language_id import predict_languages, train
@@ -42,8 +42,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least id of each component of texts with five-word Jaccard similarity of 0.8 or more."""
     docs = docs.select(*COLUMNS)
-    leave = similar_components(docs, n=5, percent=80).where("component <> doc_id").select("doc_id")
-    return docs.join(leave, "doc_id", "left_anti").select(*COLUMNS)
+    leave = cut(similar_components(docs, n=5, percent=80).where("component <> doc_id").select("doc_id").distinct())
+    return without(docs, leave, "doc_id").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,33 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)]
 
 
+#: Buckets of ids by which wide rows are pruned ahead of a shuffle; bounds that broadcast to some MB.
+ID_BUCKETS = 1 << 20
+
+
+def _wanted(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    number = F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS)).cast("int")
+    return df.withColumn("__bucket", number), F.broadcast(ids.select(number.alias("__bucket")).distinct())
+
+
+def only(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` with one of ``ids``.
+
+    Ids are hashed to a fixed number of buckets; rows in no wanted bucket are
+    left out by a broadcast of bounded size, so the shuffle that follows carries
+    little but the rows that are wanted.
+    """
+    rows, buckets = _wanted(df, ids, id_col)
+    return rows.join(buckets, "__bucket", "left_semi").drop("__bucket").join(ids.select(id_col), id_col, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` with none of ``ids``; rows whose bucket (as in :func:`only`) is free are not shuffled."""
+    rows, buckets = _wanted(df, ids, id_col)
+    free = rows.join(buckets, "__bucket", "left_anti").drop("__bucket")
+    return free.union(rows.join(buckets, "__bucket", "left_semi").drop("__bucket").join(ids.select(id_col), id_col, "left_anti").select(*free.columns))
+
+
 def _stars(pairs: DataFrame) -> bool:
     """Whether each node is either a leaf with one edge or a centre: nothing is left to do."""
     ends = pairs.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(pairs.select("b", F.lit(0), F.lit(1)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import connected_components, cut, python_batches, read
+from kinframe.llm.common import connected_components, cut, only, python_batches, read, without
 
 _memory: dict[bytes, int] = {}
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -45,32 +45,35 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def band(size: int, percent: int) -> int:
-    """Size band: a pair of the wanted similarity lies in one band or in two that touch."""
-    return int(np.log(size) / -np.log(percent / 100) + 1e-9)
+    """Size band; bands are as wide as twice the step from a set to the largest one similar to it."""
+    return int(np.log(size) / (-2 * np.log(percent / 100)) + 1e-9)
 
 
 def _largest(b: int, percent: int) -> int:
     """No set of band ``b`` is larger."""
-    return int((100 / percent) ** (b + 1) + 1e-6) + 1
+    return int((100 / percent) ** (2 * (b + 1)) + 1e-6) + 1
 
 
-def most_differences(a: int, b: int, percent: int) -> int:
-    """Largest symmetric difference of sets of ``a`` and ``b`` elements with 100 * both >= percent * either."""
-    return (a + b) * (100 - percent) // (100 + percent)
+def bands(size: int, percent: int) -> list[int]:
+    """Bands in which a set meets others: its own, and the one below if a set of that one can be similar to it."""
+    b = band(size, percent)
+    return [b, b - 1] if b > 0 and size * percent <= 100 * _largest(b - 1, percent) else [b]
 
 
 def words_of(h: np.ndarray, b: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """The sketch of a set for band ``b``: its words, their digests, and whether empty words must be joined too.
 
     Each element flips one bit of one 64-bit word; the Hamming distance of two
-    sketches is at most the symmetric difference. ``d`` differences touch at most
-    ``d`` words, so of more than ``d`` words one is equal. Where a set has more
-    than ``d`` words that are not empty, an equal one that is not empty exists,
-    and empty words, which any set may share, need not be joined. A digest also
+    sketches is at most the symmetric difference. In a pair whose smaller set is
+    of band ``b`` there are at most ``d`` differences; they touch at most ``d``
+    words, so of more than ``d`` words one is equal. Where a set has more than
+    ``d`` words that are not empty, an equal one that is not empty exists, and
+    empty words, which any set may share, need not be joined. A digest also
     covers the elements' other bits.
     """
-    d = most_differences(_largest(b, percent), _largest(b + 1, percent), percent)
-    n = 1 if d == 0 else d + 2 + d // 8
+    small = _largest(b, percent)
+    d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
+    n = 1 if d == 0 else d + 2 + d // 16
     word = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # h is sorted, so words come in order
     at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     bits, digests = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -81,10 +84,10 @@ def words_of(h: np.ndarray, b: int, percent: int) -> tuple[np.ndarray, np.ndarra
 
 
 def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a set meets all sets similar enough: of its own band, and of the band below as the larger."""
-    out, own = [], band(len(h), percent)
-    for b in {own, max(0, own - 1)}:
-        bits, digests, empty = words_of(h, b, percent)
+    """Keys under which a set meets all sets similar enough."""
+    out = []
+    for b in bands(len(h), percent):
+        _, digests, empty = words_of(h, b, percent)
         at = np.arange(len(digests), dtype=np.uint64)
         keys = _scramble(digests + _scramble(at + np.uint64(b << 32)))
         out.append(keys if empty else keys[digests != 0])
@@ -100,21 +103,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-#: Buckets of ids by which texts are pruned ahead of a shuffle; bounds that broadcast to some MB.
-ID_BUCKETS = 1 << 20
-
-
 def _texts_of(ids: DataFrame, base: DataFrame) -> DataFrame:
-    """(id, text) of the ``ids`` alone, one text each.
-
-    Ids are hashed to a fixed number of buckets and texts in no wanted bucket
-    are left out by a broadcast of bounded size, so the shuffle that follows
-    carries little but the texts that are wanted.
-    """
-    number = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
-    wanted = ids.select(number.alias("bucket")).distinct()
-    near = base.withColumn("bucket", number).join(F.broadcast(wanted), "bucket", "left_semi").select("id", "text")
-    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    """(id, text) of the ``ids`` alone, one text each."""
+    return only(base, ids, "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
@@ -141,10 +132,11 @@ def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFram
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 1, block: int = 500) -> DataFrame:
     """(id, n_shingles, component): components of the graph of texts with Jaccard similarity of ``percent`` or more.
 
-    1. Each text gives its shingle set, a 128-bit digest of the set and the join
-       keys of its parity sketches. Texts of one digest are one class, met by
-       partial aggregation; only the least id of a class goes on.
-    2. In each bucket (a key) every set is paired with the bucket's least id, a
+    1. Each text gives its shingle set and a 128-bit digest of it. Texts of one
+       digest are one class, met by partial aggregation; only the least id of a
+       class goes on, and gives the join keys of its parity sketches.
+    2. Keys are shuffled once; a window keeps those met twice, and holds no group
+       in memory. In each bucket (a key) every set is paired with the bucket's least id, a
        star instead of all pairs; pairs are verified exactly on whole texts, and
        linked sets joined to components.
     3. Buckets that still hold several components give their pairs at once where
@@ -164,26 +156,27 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     python_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
-    def features(batches):
+    def digested(batches):
         for batch in batches:
-            size, digest, keys = [], [], []
-            for t in batch.column(1).to_pylist():
-                h = shingles(t, n)
-                size.append(len(h))
-                digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                keys.append(join_keys(h, percent).view(np.int64).tobytes() if len(h) else b"")
-            flat = np.frombuffer(b"".join(keys), np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(k) // 8 for k in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "digest", "keys"])
-
-    sets = cut(base.mapInArrow(features, "id long, n long, digest binary, keys array<long>"))
-    classes = sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = cut(sets.where("digest is not null").select("id", "digest").join(classes, "digest").select("id", "rep"))
-    keyed = sets.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    buckets = cut(keyed.join(shared, "key").select("key", "id", "n", "a"))
+            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            digest = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
+
+    def keys_of(batches):
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(), [join_keys(h, percent) if len(h) else np.zeros(0, np.uint64) for h in (shingles(t, n) for t in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, list(map(len, keys))))], ["key", "id"])
+
+    sizes = cut(base.mapInArrow(digested, "id long, n long, digest binary"))
+    classes = sizes.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    members = cut(sizes.where("digest is not null").select("id", "digest").join(classes, "digest").select("id", "rep"))
+    copies = members.where("id <> rep").select("id").distinct()
+    keyed = without(base, copies, "id").mapInArrow(keys_of, "key long, id long")
+    here = Window.partitionBy("key")
+    buckets = cut(keyed.select("key", "id", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z")).where("a <> z").select("key", "id", "a"))
     links = cut(_verify(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), base, n, percent))
-    buckets = buckets.select("key", "id", "n")
+    buckets = buckets.select("key", "id")
+    length = sizes.groupBy("id").agg(F.max("n").alias("n"))
     for turn in range(leader_rounds + 1):
         comp = connected_components(links)
         known = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -195,13 +188,14 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             pairs = open_.join(heads, "key").where("component <> head_component").select("a", "id")
         else:
             pairs = _open_pairs(open_, base, n, percent, block)
-        pairs = pairs.union(_small_pairs(open_, percent)) if turn == 0 else pairs
+        pairs = pairs.union(_small_pairs(open_)) if turn == 0 else pairs
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        links = cut(links.union(_verify(pairs, base, n, percent)).distinct())
-        buckets = open_.where(F.col("total") > SMALL).select("key", "id", "n")
+        sized = pairs.join(length.toDF("a", "na"), "a").join(length.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        links = cut(links.union(_verify(sized.select("a", "b"), base, n, percent)).distinct())
+        buckets = open_.where(F.col("total") > SMALL).select("key", "id")
     comp = connected_components(links.union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return (
-        sets.select("id", F.col("n").alias("n_shingles"))
+        sizes.select("id", F.col("n").alias("n_shingles"))
         .join(comp.withColumnRenamed("node", "id"), "id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))
     )
@@ -211,12 +205,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 SMALL = 8
 
 
-def _small_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, id) of different components and near enough sizes in buckets of at most ``SMALL`` members."""
-    few = open_.where(F.col("total") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "component", "n")).alias("m"))
+def _small_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs (a, id) of different components in buckets of at most ``SMALL`` members."""
+    few = open_.where(F.col("total") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "component")).alias("m"))
     one = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return one.where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("id"))
+    return one.where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("id"))
 
 
 def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -237,10 +230,10 @@ def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block:
             size, own, below = [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, n)
-                b = band(len(h), percent)
+                at = bands(len(h), percent)
                 size.append(len(h))
-                own.append(sketch(h, percent, b))
-                below.append(sketch(h, percent, max(0, b - 1)))
+                own.append(sketch(h, percent, at[0]))
+                below.append(sketch(h, percent, at[1]) if len(at) > 1 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(own, pa.binary()), pa.array(below, pa.binary())], ["id", "n", "own", "below"])
 
     sketches = _texts_of(open_.select("id").distinct(), base).mapInArrow(outline, "id long, n long, own binary, below binary")
@@ -250,8 +243,7 @@ def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block:
         at: dict[int, tuple[list, list[np.ndarray]]] = {}
         for g, x, probe, size, own, below in group:  # sketches of one band can be compared
             if not probe:
-                b = band(size, percent)
-                for c, raw in {b: own, max(0, b - 1): below}.items():
+                for c, raw in zip(bands(size, percent), (own, below)):
                     rows = at.setdefault(c, ([], []))
                     rows[0].append((x, g, size))
                     rows[1].append(np.frombuffer(raw, np.uint64))
@@ -259,8 +251,7 @@ def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block:
         found = set()
         for g, x, probe, size, own, below in group:
             if probe:
-                b = band(size, percent)
-                for c, raw in {b: own, max(0, b - 1): below}.items():
+                for c, raw in zip(bands(size, percent), (own, below)):
                     if c in stacked:
                         rows, bits = stacked[c]
                         far = np.bitwise_count(bits ^ np.frombuffer(raw, np.uint64)).sum(axis=1, dtype=np.int64)
