@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinframe.functions.dates import DATE_DDL, sort_key
+from kinframe.plans.checkpoints import shared_folder
 from kinframe.tree import Tree
 
 _LIFE = "case {k} % 6 when 0 then 'Occupation' when 1 then 'Residence' when 2 then 'Baptism' when 3 then 'Education' when 4 then 'Emigration' else 'Census' end"
@@ -94,7 +95,22 @@ def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return get(name)
 
 
+_stored: dict[tuple[str, str], Tree] = {}
+
+
 def demo_tree(spark: SparkSession, sf_dir: str) -> Tree:
+    """The derived rows, nested; written once a session to the shared folder and read from there, as a user's tree would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        made = derive_tree(spark, sf_dir)
+        folder = shared_folder(spark, "tree")
+        small = Tree(**{k: v for k, v in made.tables().items() if k not in ("note", "media")})
+        small.write(folder)
+        _stored[key] = Tree.read(spark, folder, tuple(small.tables())).with_tables(note=made.note, media=made.media)
+    return _stored[key]
+
+
+def derive_tree(spark: SparkSession, sf_dir: str) -> Tree:
     """The derived rows, nested."""
     t = lambda name: flat(spark, sf_dir, name)
     date = F.struct("modifier", "quality", "d1", "m1", "y1", F.lit(False).alias("s1"), "d2", "m2", "y2", F.lit(False).alias("s2"), "text", F.lit(0).cast("bigint").alias("sortval")).cast(DATE_DDL)
