@@ -283,3 +283,174 @@ def paged_people(spark, sf_dir):
     p = demo_tree(spark, sf_dir).person.withColumn("surname", F.get("primary_name.surname_list", 0)["surname"])
     page, total = paging.page(p, "-surname,gender", {"surname": F.col("surname"), "gender": F.col("gender")}, number=2)
     return page.crossJoin(F.broadcast(total)).select("handle", F.lit(2).cast("long").alias("page"), "total")
+
+
+from kinframe.operators import changes, search, statistics, timelines  # noqa: E402
+from kinframe.streaming import history  # noqa: E402
+
+_KIN = f"""{PARENTS}, kin as (
+  select child as person, 'parent' as relation, parent as kin from par union all select parent, 'child', child from par
+  union all select father_handle, 'spouse', mother_handle from d_family union all select mother_handle, 'spouse', father_handle from d_family
+  union all select a.handle, 'sibling', b.handle from d_person a join d_person b on a.fk = b.fk and a.k <> b.k)"""
+_TOOK = f"""took as (select handle as event, {h('P', 'owner')} as person from d_event where owner_class = 'person'
+  union all select e.handle, unnest([f.father_handle, f.mother_handle]) from d_event e join d_family f on e.owner = f.fk and owner_class = 'family')"""
+
+
+@query(f""", {_KIN}, {_TOOK}, ev as (select *, {KEY} as sk from d_event),
+who as (select handle as anchor, handle as person, 'self' as relation from d_person union select person, kin, relation from kin)
+select anchor, event, t.person, relation, case when relation = 'self' then type else type || ' of ' || relation end as label, sk::bigint as sortval
+from who join took t on t.person = who.person join ev on ev.handle = t.event where sk > 0 and (relation = 'self' or type in ('Birth', 'Death'))""")
+def person_timeline(spark, sf_dir):
+    return timelines.person_timeline(demo_tree(spark, sf_dir)).drop("age_years")
+
+
+@query(f""", {PARENTS}, {_TOOK}, ev as (select *, {KEY} as sk from d_event),
+mem as (select handle as family, father_handle as person from d_family union select handle, mother_handle from d_family union select {h('F', 'fk')}, handle from d_person where fk is not null)
+select distinct family, event, m.person, sk::bigint as sortval from mem m join took t on t.person = m.person join ev on ev.handle = t.event where sk > 0""")
+def family_timeline(spark, sf_dir):
+    return timelines.family_timeline(demo_tree(spark, sf_dir))
+
+
+@query(f""", {_KIN}, v as (select p.handle, case when b.modifier <> 6 then b.y1 end as own, p.death_year is not null as died from d_person p join d_event b on b.handle = 'EB' || lpad(p.k::varchar, 9, '0')),
+near as (select person, min(own) filter (relation = 'sibling') as sib, min(own) filter (relation = 'child') as kid, max(own) filter (relation = 'parent') as par, min(own) filter (relation = 'spouse') as mate
+  from kin join v on v.handle = kin.kin group by person),
+r as (select v.handle, died, coalesce(own, sib - 20, kid - 20, par + 20, mate) as y,
+  case when own is not null then 'birth' when sib is not null then 'sibling' when kid is not null then 'child' when par is not null then 'parent' when mate is not null then 'spouse' else 'none' end as rule
+  from v left join near on near.person = v.handle)
+select handle, (not died and coalesce(2024 - y <= 110, true)) as living, y::int as birth_year, rule from r""")
+def living_status(spark, sf_dir):
+    return timelines.living(demo_tree(spark, sf_dir), 2024)
+
+
+@query(f""", b as (select k, {KEY} as s from d_event where type = 'Birth'), d as (select k, {KEY} as s from d_event where type = 'Death'),
+age as (select b.k, d.s - b.s as value from b join d on b.k = d.k where b.s > 0 and d.s > 0),
+kids as (select fk as k, count(*) as value from d_person where fk is not null group by fk union all select mk, count(*) from d_person where mk is not null group by mk),
+m as (select 'oldest at death' as fact, k, value, -value as s from age union all select 'youngest at death', k, value, value from age union all select 'most children', k, value, -value from kids)
+select fact, place::int as place, {h('P', 'k')} as handle, value::bigint as value from (select *, rank() over (partition by fact order by s) as place from m) where place <= 3""")
+def facts_ranked(spark, sf_dir):
+    t = demo_tree(spark, sf_dir)
+    m = timelines.metric_facts(t, timelines.living(t, 2024))
+    return timelines.ranked_facts(m).where(~F.col("fact").like("%living"))
+
+
+@query(""" select 'person' as object_type, count(*)::bigint as n from d_person union all select 'family', count(*) from d_family union all select 'event', count(*) from d_event
+union all select 'place', count(*) from d_place union all select 'source', count(*) from d_source union all select 'citation', count(*) from d_citation
+union all select 'repository', count(*) from d_repository union all select 'media', count(*) from pages union all select 'note', count(*) from documents union all select 'tag', count(*) from nation""")
+def object_counts(spark, sf_dir):
+    return statistics.object_counts(demo_tree(spark, sf_dir))
+
+
+@query(""" select case when surname in ('BUILDING', 'MACHINERY') then 'Makers' else surname end as surname_group, count(*)::bigint as people from d_person group by 1""")
+def surname_groups(spark, sf_dir):
+    people = demo_tree(spark, sf_dir).person
+    mapping = people.select(F.explode("primary_name.surname_list.surname").alias("surname")).distinct().where(F.col("surname").isin("BUILDING", "MACHINERY")).withColumn("grp", F.lit("Makers"))
+    return statistics.surname_groups(people, mapping)
+
+
+@query(f""" , cited as (select distinct event_handle from d_citation)
+select {h('P', 'owner')} as handle, count(c.event_handle)::bigint as cited, (count(*) - count(c.event_handle))::bigint as uncited
+from d_event e left join cited c on c.event_handle = e.handle where owner_class = 'person' group by 1""")
+def citation_coverage(spark, sf_dir):
+    return statistics.citation_coverage(demo_tree(spark, sf_dir))
+
+
+@query(""" , tok as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as term from documents),
+idx as (select term, doc_id, count(*) as tf from tok group by all),
+q as (select item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) as term from benchmark),
+df as (select term, count(*) as df from idx where term in (select term from q) group by term),
+s as (select item_id, doc_id, count(*) as met, sum(tf * ln((select count(*) from documents)::double / df)) as score from q join idx using (term) join df using (term) group by all),
+need as (select item_id, count(*) as need from q group by all)
+select item_id as query_id, doc_id as id, round(score, 4) as score from s join need using (item_id) where met = need""")
+def text_search(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return search.search(search.inverted_index(docs, "doc_id", "text"), docs.count(), queries).withColumn("score", F.round("score", 4))
+
+
+@query(""" , q as (select vec_id, embedding::double[] as q from embeddings where vec_id % 20 = 0),
+c as (select q.vec_id as query_id, e.vec_id as id, list_cosine_similarity(q.q, e.embedding::double[]) as cosine from q, embeddings e)
+select query_id, id, round(cosine, 6) as cosine from (select *, row_number() over (partition by query_id order by cosine desc, id) as place from c) where place <= 5""")
+def semantic_topk(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.semantic_topk(e, queries, 5).select("query_id", "id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(""" select a.handle as a, b.handle as b, levenshtein(a.first_name, b.first_name)::int as edits from d_person a join d_person b
+on a.surname = b.surname and a.birth_year // 10 = b.birth_year // 10 and a.nation = b.nation and a.handle < b.handle where levenshtein(a.first_name, b.first_name) <= 2""")
+def duplicate_candidates(spark, sf_dir):
+    people = flat(spark, sf_dir, "person").select("handle", "first_name", "surname", "birth_year", F.col("nation").alias("place"))
+    return search.duplicate_candidates(people)
+
+
+@query(f""" , ch as (select handle from d_person where k % 10 = 0)
+select p.handle, case when ch.handle is not null and k % 20 = 0 then 2 else gender end::int as gender,
+  (1 + case when ch.handle is not null then 1 else 0 end)::int as tags from d_person p left join ch on ch.handle = p.handle
+union all select 'PNEW', 2, 1""")
+def upsert_merge(spark, sf_dir):
+    p = demo_tree(spark, sf_dir).person
+    rows = flat(spark, sf_dir, "person").where("k % 10 = 0").select(
+        "handle", F.lit(2).alias("gender"), F.array(F.lit("Tnew"), F.concat(F.lit("T"), F.lpad(F.col("nation").cast("string"), 9, "0"))).alias("tag_list"),
+        F.when(F.col("k") % 20 == 0, F.array(F.lit("gender"), F.lit("tag_list"))).otherwise(F.array(F.lit("tag_list"))).alias("present"))
+    new = rows.limit(1).select(F.lit("PNEW").alias("handle"), "gender", F.array(F.lit("Tnew")).alias("tag_list"), F.array(F.lit("gender"), F.lit("tag_list")).alias("present"))
+    return changes.upsert(p, rows.union(new)).select("handle", "gender", F.size("tag_list").alias("tags"))
+
+
+@query(""" select handle from d_source where k % 2 = 1 or handle in (select source_handle from d_citation)""")
+def guarded_delete(spark, sf_dir):
+    t = demo_tree(spark, sf_dir)
+    return changes.guarded_delete(t, "source", flat(spark, sf_dir, "source").where("k % 2 = 0").select("handle"))[0].select("handle")
+
+
+@query(""" select handle, case when k % 3 = 0 then 0 else 1 end::int as left_over from d_person""")
+def detach(spark, sf_dir):
+    t = demo_tree(spark, sf_dir)
+    gone = flat(spark, sf_dir, "person").where("k % 3 = 0").select("handle", F.concat(F.lit("T"), F.lpad(F.col("nation").cast("string"), 9, "0")).alias("ref"))
+    return changes.detach(t.person, "tag_list", gone)[0].select("handle", F.size("tag_list").alias("left_over"))
+
+
+@query(""" select handle, case when substr(source_handle, 2)::bigint % 5 = 1 then 'Q' || lpad((substr(source_handle, 2)::bigint - 1)::varchar, 9, '0') else source_handle end as source_handle from d_citation""")
+def merge_records(spark, sf_dir):
+    t = demo_tree(spark, sf_dir)
+    pairs = flat(spark, sf_dir, "source").where("k % 5 = 1").select(F.concat(F.lit("Q"), F.lpad((F.col("k") - 1).cast("string"), 9, "0")).alias("survivor"), F.col("handle").alias("absorbed"))
+    return changes.merge_records(t, "source", pairs)[0].citation.select("handle", "source_handle")
+
+
+@query(""" , r as (select o_orderkey as row_id, case when o_orderkey % 4 <> 1 then 'Q' || lpad((o_orderkey % 300)::varchar, 9, '0') end as sh,
+  case when o_orderkey % 4 = 1 then 'Title ' || (o_orderkey % 50)::varchar when o_orderkey % 4 = 2 then 'both' end as st from orders)
+select row_id, case when o.row_id % 4 = 2 then 'needs a source handle or a title, not both' else 'no such source' end as reason
+from r o where row_id % 4 = 2 or (row_id % 4 <> 1 and sh not in (select handle from d_source))""")
+def sourced_events_checks(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("row_id"), F.when(k % 4 != 1, F.concat(F.lit("Q"), F.lpad((k % 300).cast("string"), 9, "0"))).alias("source_handle"),
+        F.when(k % 4 == 1, F.concat(F.lit("Title "), (k % 50).cast("string"))).when(k % 4 == 2, "both").alias("source_title"), F.lit("1").alias("page"), F.lit("Census").alias("type"), F.lit("").alias("place"))
+    return changes.sourced_events(demo_tree(spark, sf_dir), rows)[1]
+
+
+@query(""" select handle, (case when gender = 0 then 'gender must be 1; ' else '' end || case when private then 'must be public; ' else '' end) as reasons from d_person where gender = 0 or private""")
+def validation_rejects(spark, sf_dir):
+    p = demo_tree(spark, sf_dir).person
+    _, bad = changes.validate(p, [("gender must be 1; ", F.col("gender") == 1), ("must be public; ", ~F.col("private"))])
+    return bad.select("handle", F.array_join("reasons", "").alias("reasons"))
+
+
+@query(""" select tx_id, class, handle, action from d_changes order by tx_id desc limit 20""")
+def recent_changes(spark, sf_dir):
+    return history.history(flat(spark, sf_dir, "changes"), payloads=True).limit(20).select("tx_id", "class", "handle", "action")
+
+
+@query(""" select strftime(time_bucket(interval '10 minutes', ts), '%Y-%m-%d %H:%M') as start, "user", class, count(*)::bigint as changes, (count(*) filter (action = 'delete'))::bigint as deletes from d_changes group by all""")
+def change_windows(spark, sf_dir):
+    return history.change_windows(flat(spark, sf_dir, "changes")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "user", "class", "changes", "deletes")
+
+
+@query(""" select handle, class, tx_id from (select *, row_number() over (partition by handle, class order by tx_id desc) as n from d_changes) where n = 1 and action <> 'delete'""")
+def latest_records(spark, sf_dir):
+    return history.latest(flat(spark, sf_dir, "changes").withColumn("new", F.lit(""))).select("handle", "class", "tx_id")
+
+
+@query()
+def tree_lines(spark, sf_dir):
+    w = graph.walk(graph.parent_edges(demo_tree(spark, sf_dir)), _last_person(spark, sf_dir), max_generations=6)
+    return graph.tree_lines(w)
