@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinframe.llm.common import connected_components, cut, only, python_batches, read, without
@@ -60,27 +60,37 @@ def bands(size: int, percent: int) -> list[int]:
     return [b, b - 1] if b > 0 and size * percent <= 100 * _largest(b - 1, percent) else [b]
 
 
+def shape(b: int, percent: int) -> tuple[int, int]:
+    """Words of a sketch of band ``b``, and how many equal words a similar pair of that band has at least.
+
+    In a pair whose smaller set is of band ``b`` there are at most ``d``
+    differences, which touch at most ``d`` words: of ``d`` + k words k are equal.
+    """
+    small = _largest(b, percent)
+    d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
+    equal = 2 + d // 8
+    return (d + equal + d // 16 + 1, equal) if d else (1, 1)
+
+
 def words_of(h: np.ndarray, b: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """The sketch of a set for band ``b``: its words, their digests, and whether empty words must be joined too.
 
     Each element flips one bit of one 64-bit word; the Hamming distance of two
-    sketches is at most the symmetric difference. In a pair whose smaller set is
-    of band ``b`` there are at most ``d`` differences; they touch at most ``d``
-    words, so of more than ``d`` words one is equal. Where a set has more than
-    ``d`` words that are not empty, an equal one that is not empty exists, and
-    empty words, which any set may share, need not be joined. A digest also
-    covers the elements' other bits.
+    sketches is at most the symmetric difference. Where one set of a similar
+    pair has ``d`` + k words that are not empty, k equal ones are not empty;
+    empty words, which any set may share, are joined for other sets alone. A
+    digest also covers the elements' other bits.
     """
-    small = _largest(b, percent)
-    d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-    n = 1 if d == 0 else d + 2 + d // 16
+    n, equal = shape(b, percent)
     word = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # h is sorted, so words come in order
     at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     bits, digests = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     used = word[at].astype(np.int64)
     bits[used] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), at)
     digests[used] = np.bitwise_xor.reduceat(_scramble(h), at)
-    return bits, digests, int(np.count_nonzero(digests)) <= d
+    small = _largest(b, percent)
+    d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
+    return bits, digests, int(np.count_nonzero(digests)) < d + equal
 
 
 def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
@@ -136,11 +146,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        digest are one class, met by partial aggregation; only the least id of a
        class goes on, and gives the join keys of its parity sketches.
     2. Keys are shuffled once; a window keeps those met twice, and holds no group
-       in memory. In each bucket (a key) every set is paired with the bucket's least id, a
-       star instead of all pairs; pairs are verified exactly on whole texts, and
-       linked sets joined to components.
+       in memory. In each bucket (a key) every set is paired with the bucket's
+       least id, a star instead of all pairs; pairs that meet twice are verified
+       exactly on whole texts, and linked sets joined to components.
     3. Buckets that still hold several components give their pairs at once where
-       they have a handful of members; larger ones get new random leaders for
+       they have a handful of members (a similar pair has more equal words than
+       a chance one, which is told by counting); larger ones get new random leaders for
        the members outside the leader's component, ``leader_rounds`` times.
     4. What is left of the larger ones is compared exactly: the members of a
        bucket outside its largest component against all, in blocks of ``block``
@@ -160,38 +171,47 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             digest = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
+            need = [shape(band(len(h), percent), percent)[1] if len(h) else 0 for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int32())], ["id", "n", "digest", "need"])
 
     def keys_of(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), [join_keys(h, percent) if len(h) else np.zeros(0, np.uint64) for h in (shingles(t, n) for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, list(map(len, keys))))], ["key", "id"])
 
-    sizes = cut(base.mapInArrow(digested, "id long, n long, digest binary"))
+    sizes = cut(base.mapInArrow(digested, "id long, n long, digest binary, need int"))
     classes = sizes.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     members = cut(sizes.where("digest is not null").select("id", "digest").join(classes, "digest").select("id", "rep"))
     copies = members.where("id <> rep").select("id").distinct()
     keyed = without(base, copies, "id").mapInArrow(keys_of, "key long, id long")
     here = Window.partitionBy("key")
     buckets = cut(keyed.select("key", "id", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z")).where("a <> z").select("key", "id", "a"))
-    links = cut(_verify(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), base, n, percent))
+    length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"))
+
+    def fit(pairs: DataFrame, floor: Column) -> DataFrame:
+        """Pairs (a, b) of near enough sizes that met in as many buckets as ``floor`` says."""
+        left, right = length.toDF("a", "na", "ka"), length.toDF("b", "nb", "kb")
+        both = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).join(left, "a").join(right, "b")
+        return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("met") >= floor)).select("a", "b")
+
+    smaller = F.when(F.col("na") <= F.col("nb"), F.col("ka")).otherwise(F.col("kb"))
+    links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b")), F.least(smaller, F.lit(2))), base, n, percent))
     buckets = buckets.select("key", "id")
-    length = sizes.groupBy("id").agg(F.max("n").alias("n"))
     for turn in range(leader_rounds + 1):
         comp = connected_components(links)
         known = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("total")).where("lo <> hi").select("key", "total")
         open_ = cut(known.join(mixed, "key"))
+        ordered = lambda p: p.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         if turn < leader_rounds:
             draw = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "component")
             heads = open_.where(F.col("total") > SMALL).groupBy("key").agg(F.min(draw).alias("head")).select("key", "head.id", "head.component").toDF("key", "a", "head_component")
-            pairs = open_.join(heads, "key").where("component <> head_component").select("a", "id")
+            pairs = fit(ordered(open_.join(heads, "key").where("component <> head_component").select("a", "id")), F.lit(1))
         else:
-            pairs = _open_pairs(open_, base, n, percent, block)
-        pairs = pairs.union(_small_pairs(open_)) if turn == 0 else pairs
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        sized = pairs.join(length.toDF("a", "na"), "a").join(length.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        links = cut(links.union(_verify(sized.select("a", "b"), base, n, percent)).distinct())
+            pairs = fit(ordered(_open_pairs(open_, base, n, percent, block)), F.lit(1))
+        if turn == 0:  # a pair that meets in no larger bucket must meet in enough small ones
+            pairs = pairs.union(fit(ordered(_small_pairs(open_)), smaller)).distinct()
+        links = cut(links.union(_verify(pairs, base, n, percent)).distinct())
         buckets = open_.where(F.col("total") > SMALL).select("key", "id")
     comp = connected_components(links.union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return (
