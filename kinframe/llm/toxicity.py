@@ -60,7 +60,7 @@ class NoisyOr:
         word = self.word
         return np.array([sum(map(word, sorted(s))) for s in sentences]) + self.bias
 
-    def fit(self, docs: list[tuple[list[set[str]], int]], epochs: int = 6, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, rare: int = 4, seed: int = 3) -> NoisyOr:
+    def fit(self, docs: list[tuple[list[set[str]], int]], epochs: int = 6, least_steps: int = 400, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, rare: int = 4, seed: int = 3) -> NoisyOr:
         """Adagrad on document log loss. Character runs in under ``rare`` documents keep weight 0.
 
         With S the sum of softplus over a document's sentence logits its
@@ -78,7 +78,7 @@ class NoisyOr:
         coded = [(np.array([vocab[w] for s in d for w in sorted(s)]), np.array([len(s) for s in d])) for d, _ in docs]
         y_all = np.array([y for _, y in docs])
         r, g2, b2 = np.random.default_rng(seed), np.full(len(self.weights), 1e-4), 1e-4
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps * batch // len(docs)))):
             for at in np.array_split(r.permutation(len(docs)), max(1, len(docs) // batch)):
                 y, part = y_all[at], [coded[i] for i in at]
                 idx, lens = np.concatenate([d[0] for d in part]), np.concatenate([d[1] for d in part])
