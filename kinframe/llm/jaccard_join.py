@@ -121,7 +121,7 @@ def _texts_of(ids: DataFrame, base: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough, by exact comparison of whole texts."""
     pairs = cut(pairs)
-    texts = cut(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), base))
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), base)
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -147,8 +147,9 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        class goes on, and gives the join keys of its parity sketches.
     2. Keys are shuffled once; a window keeps those met twice, and holds no group
        in memory. In each bucket (a key) every set is paired with the bucket's
-       least id, a star instead of all pairs; pairs that meet twice are verified
-       exactly on whole texts, and linked sets joined to components.
+       least id, a star instead of all pairs; of each set the pair that met most
+       often is verified exactly on whole texts, and linked sets joined to
+       components.
     3. Buckets that still hold several components give their pairs at once where
        they have a handful of members (a similar pair has more equal words than
        a chance one, which is told by counting); larger ones get new random leaders for
@@ -188,14 +189,17 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     buckets = cut(keyed.select("key", "id", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z")).where("a <> z").select("key", "id", "a"))
     length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"))
 
-    def fit(pairs: DataFrame, floor: Column) -> DataFrame:
-        """Pairs (a, b) of near enough sizes that met in as many buckets as ``floor`` says."""
+    def fit(pairs: DataFrame, floor: Column, best: bool = False) -> DataFrame:
+        """Pairs (a, b) of near enough sizes that met in as many buckets as ``floor`` says; of each b the ``best`` met alone."""
+        met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
+        if best:
+            met = met.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b", "x.met")
         left, right = length.toDF("a", "na", "ka"), length.toDF("b", "nb", "kb")
-        both = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).join(left, "a").join(right, "b")
+        both = met.join(left, "a").join(right, "b")
         return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("met") >= floor)).select("a", "b")
 
     smaller = F.when(F.col("na") <= F.col("nb"), F.col("ka")).otherwise(F.col("kb"))
-    links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b")), F.least(smaller, F.lit(2))), base, n, percent))
+    links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b")), F.least(smaller, F.lit(2)), best=True), base, n, percent))
     buckets = buckets.select("key", "id")
     for turn in range(leader_rounds + 1):
         comp = connected_components(links)
