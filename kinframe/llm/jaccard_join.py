@@ -104,6 +104,16 @@ def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Bits of the short sketch that every text has.
+SHORT = 2048
+
+
+def short_sketch(h: np.ndarray) -> list[int]:
+    """A parity sketch of one size for all bands, as 64-bit words; its Hamming distance bounds the difference from below too."""
+    odd = np.bincount((h & np.uint64(SHORT - 1)).astype(np.int64), minlength=SHORT) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def sketch(h: np.ndarray, percent: int, b: int) -> bytes:
     return words_of(h, b, percent)[0].tobytes()
 
@@ -152,7 +162,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        components.
     3. Buckets that still hold several components give their pairs at once where
        they have a handful of members (a similar pair has more equal words than
-       a chance one, which is told by counting); larger ones get new random leaders for
+       a chance one, which is told by counting); all pairs must also pass by a
+       short sketch of fixed size before texts are read; larger ones get new random leaders for
        the members outside the leader's component, ``leader_rounds`` times.
     4. What is left of the larger ones is compared exactly: the members of a
        bucket outside its largest component against all, in blocks of ``block``
@@ -160,9 +171,9 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        below), then by text. No partner and no bucket is capped.
 
     Null texts and texts without a word have no shingles and stay alone. Ids must
-    be integers; rows with a null id are left out, rows that repeat an id are
-    linked as copies of one document when any of their texts link (the first
-    text by order is looked at). Extra columns are not looked at.
+    be integers; rows with a null id are left out, rows that repeat an
+    id with the same text are one document (with another text, which of them is
+    compared is not defined). Extra columns are not looked at.
     """
     spark = docs.sparkSession
     python_batches(spark)
@@ -173,30 +184,32 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             digest = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
             need = [shape(band(len(h), percent), percent)[1] if len(h) else 0 for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int32())], ["id", "n", "digest", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int32()), pa.array(map(short_sketch, sets), pa.list_(pa.int64()))], ["id", "n", "digest", "need", "short"])
 
     def keys_of(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), [join_keys(h, percent) if len(h) else np.zeros(0, np.uint64) for h in (shingles(t, n) for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, list(map(len, keys))))], ["key", "id"])
 
-    sizes = cut(base.mapInArrow(digested, "id long, n long, digest binary, need int"))
+    sizes = cut(base.mapInArrow(digested, "id long, n long, digest binary, need int, short array<long>"))
     classes = sizes.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     members = cut(sizes.where("digest is not null").select("id", "digest").join(classes, "digest").select("id", "rep"))
     copies = members.where("id <> rep").select("id").distinct()
     keyed = without(base, copies, "id").mapInArrow(keys_of, "key long, id long")
     here = Window.partitionBy("key")
     buckets = cut(keyed.select("key", "id", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z")).where("a <> z").select("key", "id", "a"))
-    length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"))
+    length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.min("short").alias("short"))
 
     def fit(pairs: DataFrame, floor: Column, best: bool = False) -> DataFrame:
-        """Pairs (a, b) of near enough sizes that met in as many buckets as ``floor`` says; of each b the ``best`` met alone."""
+        """Pairs (a, b) of near enough sizes and short sketches that met in as many buckets as ``floor`` says; of each b the ``best`` met alone."""
         met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
         if best:
             met = met.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b", "x.met")
-        left, right = length.toDF("a", "na", "ka"), length.toDF("b", "nb", "kb")
+        left, right = length.toDF("a", "na", "ka", "sa"), length.toDF("b", "nb", "kb", "sb")
         both = met.join(left, "a").join(right, "b")
-        return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("met") >= floor)).select("a", "b")
+        far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+        return both.where((F.col("met") >= floor) & near).select("a", "b")
 
     smaller = F.when(F.col("na") <= F.col("nb"), F.col("ka")).otherwise(F.col("kb"))
     links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b")), F.least(smaller, F.lit(2)), best=True), base, n, percent))
