@@ -58,17 +58,17 @@ def get(df: DataFrame, handles: DataFrame) -> DataFrame:
 
 
 def resolve_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """(gramps_id, handle) of each distinct id: the least handle that has it, null where none has."""
-    known = df.groupBy("gramps_id").agg(F.min("handle").alias("handle"))
-    return ids.select(F.col(ids.columns[0]).alias("gramps_id")).distinct().join(known, "gramps_id", "left")
+    """(record_id, handle) of each distinct id: the least handle that has it, null where none has."""
+    known = df.groupBy("record_id").agg(F.min("handle").alias("handle"))
+    return ids.select(F.col(ids.columns[0]).alias("record_id")).distinct().join(known, "record_id", "left")
 
 
 def resolve_any(df: DataFrame, values: DataFrame) -> DataFrame:
     """(value, handle): values shaped like an id are resolved, all others are handles themselves."""
     value = values.select(F.col(values.columns[0]).alias("value")).distinct()
-    known = df.groupBy("gramps_id").agg(F.min("handle").alias("found"))
+    known = df.groupBy("record_id").agg(F.min("handle").alias("found"))
     is_id = F.col("value").rlike("^[A-Z]+[0-9]+$")
-    return value.join(known, (value["value"] == known["gramps_id"]) & is_id, "left").select("value", F.when(is_id, F.col("found")).otherwise(F.col("value")).alias("handle"))
+    return value.join(known, (value["value"] == known["record_id"]) & is_id, "left").select("value", F.when(is_id, F.col("found")).otherwise(F.col("value")).alias("handle"))
 
 
 def sources_by_title(source: DataFrame, titles: DataFrame, most: int = 10) -> DataFrame:

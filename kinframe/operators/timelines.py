@@ -124,7 +124,7 @@ def hide_living(tree: Tree, status: DataFrame, mode: str = "IncludeAll") -> Data
     }
     if mode not in hidden:
         raise ValueError(f"unknown mode {mode}")
-    keep = {"handle", "gramps_id", "gender", "primary_name", "family_list", "parent_family_list", "private"}
+    keep = {"handle", "record_id", "gender", "primary_name", "family_list", "parent_family_list", "private"}
     columns = []
     for c in tree.person.columns:
         shown = hidden[mode] if c == "primary_name" else F.col(c) if c in keep else F.lit(None).cast(tree.person.schema[c].dataType)

@@ -36,7 +36,7 @@ def _h(letter: str, key: str) -> str:
 FLAT: dict[str, str] = {
     "n": "select 2 * ((count(*) + 15) // 16) as g from {customer}",
     "person": f"""
-      select k, {_h('P', 'k')} as handle, {_h('I', 'k')} as gramps_id, gen, j, cast(case when k % 2 = 0 then 1 else 0 end as int) as gender, c_name as first_name, c_mktsegment as surname,
+      select k, {_h('P', 'k')} as handle, {_h('I', 'k')} as record_id, gen, j, cast(case when k % 2 = 0 then 1 else 0 end as int) as gender, c_name as first_name, c_mktsegment as surname,
         case when gen > 0 then (gen - 1) * g + 2 * (j // 2) end as fk,
         case when gen > 0 then (gen - 1) * g + 2 * (((j // 2) + 5 * gen + 1) % (g // 2)) + 1 end as mk,
         1780 + 30 * gen + j % 10 as birth_year,
@@ -118,7 +118,7 @@ def derive_tree(spark: SparkSession, sf_dir: str) -> Tree:
     cited = t("citation").groupBy("event_handle").agg(F.array_sort(F.collect_list("handle")).alias("citation_list"))
     event = (
         events.join(cited, events["handle"] == cited["event_handle"], "left")
-        .select("handle", F.concat(F.lit("E"), F.substring("handle", 2, 30)).alias("gramps_id"), "type", "date",
+        .select("handle", F.concat(F.lit("E"), F.substring("handle", 2, 30)).alias("record_id"), "type", "date",
                 F.concat(F.lit("S"), F.lpad(F.col("place_no").cast("string"), 9, "0")).alias("place"), F.lit("").alias("description"),
                 F.coalesce("citation_list", F.array().cast("array<string>")).alias("citation_list"), (F.col("k") + 1700000000).alias("change"))
     )
@@ -130,7 +130,7 @@ def derive_tree(spark: SparkSession, sf_dir: str) -> Tree:
     people = (
         person.join(own, person["k"] == own["ok"], "left").join(fam_of, person["k"] == fam_of["pk"], "left")
         .select(
-            "handle", "gramps_id", "gender", F.struct("first_name", F.array(F.struct("surname")).alias("surname_list")).alias("primary_name"),
+            "handle", "record_id", "gender", F.struct("first_name", F.array(F.struct("surname")).alias("surname_list")).alias("primary_name"),
             F.lit(0).alias("birth_ref_index"), F.when(F.col("death_year").isNotNull(), 1).otherwise(-1).alias("death_ref_index"),
             F.coalesce("event_ref_list", F.array().cast("array<struct<ref:string,role:string>>")).alias("event_ref_list"),
             F.coalesce("family_list", F.array().cast("array<string>")).alias("family_list"),
@@ -142,7 +142,7 @@ def derive_tree(spark: SparkSession, sf_dir: str) -> Tree:
     wed = refs.where("owner_class = 'family'").select(F.col("owner").alias("ok"), ref_list.alias("event_ref_list"))
     families = (
         family.join(kids, family["fk"] == kids["kk"], "left").join(wed, family["fk"] == wed["ok"], "left")
-        .select("handle", F.concat(F.lit("F"), F.substring("handle", 2, 20)).alias("gramps_id"), "father_handle", "mother_handle",
+        .select("handle", F.concat(F.lit("F"), F.substring("handle", 2, 20)).alias("record_id"), "father_handle", "mother_handle",
                 F.transform("kids", lambda k: F.struct(k.alias("ref"), F.lit("Birth").alias("frel"), F.lit("Birth").alias("mrel"))).alias("child_ref_list"),
                 F.coalesce("event_ref_list", F.array().cast("array<struct<ref:string,role:string>>")).alias("event_ref_list"), F.lit("Married").alias("type"), "change")
     )
@@ -150,10 +150,10 @@ def derive_tree(spark: SparkSession, sf_dir: str) -> Tree:
     source = t("source")
     return Tree(
         person=people, family=families, event=event,
-        place=t("place").select("handle", "handle", "title", "name", "place_type", F.when(F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("ref")))).otherwise(F.array().cast("array<struct<ref:string>>")).alias("placeref_list")).toDF("handle", "gramps_id", "title", "name", "place_type", "placeref_list"),
-        source=source.join(reporefs, source["handle"] == reporefs["source_handle"], "left").select("handle", F.col("handle").alias("gramps_id"), "title", "author", F.coalesce("reporef_list", F.array().cast("array<struct<ref:string>>")).alias("reporef_list")),
-        repository=t("repository").select("handle", F.col("handle").alias("gramps_id"), "name"),
-        citation=t("citation").select("handle", F.col("handle").alias("gramps_id"), "source_handle", "page", "confidence"),
+        place=t("place").select("handle", "handle", "title", "name", "place_type", F.when(F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("ref")))).otherwise(F.array().cast("array<struct<ref:string>>")).alias("placeref_list")).toDF("handle", "record_id", "title", "name", "place_type", "placeref_list"),
+        source=source.join(reporefs, source["handle"] == reporefs["source_handle"], "left").select("handle", F.col("handle").alias("record_id"), "title", "author", F.coalesce("reporef_list", F.array().cast("array<struct<ref:string>>")).alias("reporef_list")),
+        repository=t("repository").select("handle", F.col("handle").alias("record_id"), "name"),
+        citation=t("citation").select("handle", F.col("handle").alias("record_id"), "source_handle", "page", "confidence"),
         note=spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("handle"), F.struct(F.col("text").alias("string")).alias("text")),
         media=spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("O"), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("handle"), F.col("url").alias("path"), F.col("url").alias("desc"), F.lit("text/html").alias("mime")),
         tag=spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("T"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("handle"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("priority")),

@@ -113,11 +113,11 @@ def branch_common_ancestor(spark, sf_dir):
     return graph.branch(demo_tree(spark, sf_dir), root, "CommonAncestor").select("handle")
 
 
-@query(""" select handle, gramps_id from d_person where surname like '%BUILD%' and gender = 1 and not private""")
+@query(""" select handle, record_id from d_person where surname like '%BUILD%' and gender = 1 and not private""")
 def person_filter_surname(spark, sf_dir):
     p = demo_tree(spark, sf_dir).person
     test = path("primary_name.surname_list").any(lambda s: s["surname"].contains("BUILD"))
-    return p.where(test & path("gender").eq(1) & ~path("private").truthy(p.schema["private"].dataType)).select("handle", "gramps_id")
+    return p.where(test & path("gender").eq(1) & ~path("private").truthy(p.schema["private"].dataType)).select("handle", "record_id")
 
 
 @query(""" select f.handle from d_family f where exists (select 1 from d_person c where c.fk = f.fk and c.gender = 0 and c.birth_year % 2 = 1)""")
@@ -270,10 +270,10 @@ def event_span(spark, sf_dir):
     return v.where(known).select("handle", y.alias("years"), m.cast("long").alias("months"))
 
 
-@query(""" , want as (select 'I' || lpad((c_custkey * 2)::varchar, 9, '0') as gramps_id from customer)
-select w.gramps_id, min(p.handle) as handle from want w left join d_person p on p.gramps_id = w.gramps_id group by w.gramps_id""")
+@query(""" , want as (select 'I' || lpad((c_custkey * 2)::varchar, 9, '0') as record_id from customer)
+select w.record_id, min(p.handle) as handle from want w left join d_person p on p.record_id = w.record_id group by w.record_id""")
 def resolve_ids(spark, sf_dir):
-    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("I"), F.lpad((F.col("c_custkey") * 2).cast("string"), 9, "0")).alias("gramps_id"))
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("I"), F.lpad((F.col("c_custkey") * 2).cast("string"), 9, "0")).alias("record_id"))
     return references.resolve_ids(demo_tree(spark, sf_dir).person, ids)
 
 
