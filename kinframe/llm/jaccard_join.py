@@ -104,13 +104,14 @@ def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Bits of the short sketch that every text has.
-SHORT = 2048
+#: Bits of the short sketch that every text has, and of that of texts with more than ``LONG`` shingles.
+SHORT, SHORT_OF_LONG, LONG = 2048, 32768, 2500
 
 
 def short_sketch(h: np.ndarray) -> list[int]:
     """A parity sketch of one size for all bands, as 64-bit words; its Hamming distance bounds the difference from below too."""
-    odd = np.bincount((h & np.uint64(SHORT - 1)).astype(np.int64), minlength=SHORT) & 1
+    bits = SHORT_OF_LONG if len(h) > LONG else SHORT
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -208,6 +209,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         left, right = length.toDF("a", "na", "ka", "sa"), length.toDF("b", "nb", "kb", "sb")
         both = met.join(left, "a").join(right, "b")
         far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        far = F.when(F.size("sa") == F.size("sb"), far).otherwise(0)  # sketches of two sizes rule out nothing
         near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
         return both.where((F.col("met") >= floor) & near).select("a", "b")
 
