@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from kinframe.llm.common import connected_components, cut, only, python_batches, read, without
 
-_memory: dict[bytes, int] = {}
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -19,27 +18,52 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _MIX[1]
 
 
+#: Words longer than so many eight-byte pieces are hashed one by one.
+PIECES = 8
+_UNUSED = np.array([0, 56, 48, 40, 32, 24, 16, 8, 0], np.uint64)  # bits of a piece beyond so many bytes
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``raw``, in order: eight bytes of all words at a time, then the length."""
+    if not raw:
+        return np.zeros(0, np.uint64)
+    byte, edge = np.frombuffer(raw, np.uint8), np.zeros(len(raw) + 2, np.bool_)
+    edge[1:-1] = (byte != 32) & (byte - np.uint8(9) > 4)  # no ASCII white space: neither 32 nor 9 to 13
+    edges = np.flatnonzero(edge[1:] != edge[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    piece = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    h, rest, at, left = size.astype(np.uint64), None, start, size
+    for _ in range(PIECES):
+        bits = _UNUSED[np.minimum(left, 8)]
+        mixed = _scramble((h if rest is None else h[rest]) * _MIX[2] + ((piece[at] << bits) >> bits))
+        if rest is None:
+            h = mixed
+        else:
+            h[rest] = mixed
+        more = np.flatnonzero(left > 8)
+        rest, at, left = more if rest is None else rest[more], at[more] + 8, left[more] - 8
+        if not len(rest):
+            return h
+    for i in rest.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]])
+    return h
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``n``-word shingles of a whole text.
 
     Words are the runs between ASCII white space, A-Z lower-cased. Fewer words
     than ``n`` make one shingle of the whole sequence; no word makes none.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
+    w = word_hashes(text.encode().lower()) if text else _MIX[:0]
+    if not len(w):
         return np.zeros(0, np.uint64)
-    if len(_memory) > 400_000:
-        _memory.clear()
-    known = list(map(_memory.get, words))
-    if None in known:
-        for i, h in enumerate(known):
-            if h is None:
-                known[i] = _memory[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    w = np.array(known, np.uint64)
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
-        h = _scramble(h + w[j : len(w) - k + 1 + j])
+        h *= _MIX[3]
+        h += w[j : len(w) - k + 1 + j]
+    h = _scramble(h)
     h.sort()
     return h[np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))]
 
@@ -72,35 +96,40 @@ def shape(b: int, percent: int) -> tuple[int, int]:
     return (d + equal + d // 16 + 1, equal) if d else (1, 1)
 
 
-def words_of(h: np.ndarray, b: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The sketch of a set for band ``b``: its words, their digests, and whether empty words must be joined too.
+def words_of(h: np.ndarray, of_each: np.ndarray, b: int, percent: int) -> np.ndarray:
+    """The words of the sketch of a set for band ``b``: each is the parity of ``of_each`` of the elements dealt to it.
 
-    Each element flips one bit of one 64-bit word; the Hamming distance of two
-    sketches is at most the symmetric difference. Where one set of a similar
-    pair has ``d`` + k words that are not empty, k equal ones are not empty;
-    empty words, which any set may share, are joined for other sets alone. A
-    digest also covers the elements' other bits.
+    With one bit of 64 for each element the Hamming distance of two sketches is
+    at most the symmetric difference.
     """
-    n, equal = shape(b, percent)
+    n = shape(b, percent)[0]
     word = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # h is sorted, so words come in order
     at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    bits, digests = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    used = word[at].astype(np.int64)
-    bits[used] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), at)
-    digests[used] = np.bitwise_xor.reduceat(_scramble(h), at)
-    small = _largest(b, percent)
-    d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-    return bits, digests, int(np.count_nonzero(digests)) < d + equal
+    words = np.zeros(n, np.uint64)
+    words[word[at].astype(np.int64)] = np.bitwise_xor.reduceat(of_each, at)
+    return words
+
+
+def most_apart(size: int, b: int, percent: int) -> int:
+    """No set that is similar to one of ``size`` differs from it in more elements, where the smaller of the two is of band ``b``."""
+    other = min(size, _largest(b, percent))
+    return (size + (other if other < size else size * 100 // percent)) * (100 - percent) // (100 + percent)
 
 
 def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a set meets all sets similar enough."""
-    out = []
+    """Keys under which a set meets all sets similar enough, as often as :func:`shape` says.
+
+    Of its words a set gives the first ``most_apart`` + k in an order common to
+    all sets (by key, empty words last): of two sets of which at most that many
+    words differ, the first so many of each have k in common.
+    """
+    out, all_bits = [], _scramble(h)
     for b in bands(len(h), percent):
-        _, digests, empty = words_of(h, b, percent)
-        at = np.arange(len(digests), dtype=np.uint64)
-        keys = _scramble(digests + _scramble(at + np.uint64(b << 32)))
-        out.append(keys if empty else keys[digests != 0])
+        words = words_of(h, all_bits, b, percent)
+        keys, empty = _scramble(words + _scramble(np.arange(len(words), dtype=np.uint64) + np.uint64(b << 32))), words == 0
+        first = most_apart(len(h), b, percent) + shape(b, percent)[1]
+        keys = np.concatenate((np.sort(keys[~empty]), np.sort(keys[empty]))) if first > np.count_nonzero(words) else np.sort(keys[~empty])
+        out.append(keys[:first])
     return np.concatenate(out)
 
 
@@ -116,7 +145,7 @@ def short_sketch(h: np.ndarray) -> list[int]:
 
 
 def sketch(h: np.ndarray, percent: int, b: int) -> bytes:
-    return words_of(h, b, percent)[0].tobytes()
+    return words_of(h, np.uint64(1) << (h & np.uint64(63)), b, percent).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -199,19 +228,21 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     keyed = without(base, copies, "id").mapInArrow(keys_of, "key long, id long")
     here = Window.partitionBy("key")
     buckets = cut(keyed.select("key", "id", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z")).where("a <> z").select("key", "id", "a"))
-    length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.min("short").alias("short"))
+    length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"))
 
     def fit(pairs: DataFrame, floor: Column, best: bool = False) -> DataFrame:
         """Pairs (a, b) of near enough sizes and short sketches that met in as many buckets as ``floor`` says; of each b the ``best`` met alone."""
         met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
         if best:
             met = met.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b", "x.met")
-        left, right = length.toDF("a", "na", "ka", "sa"), length.toDF("b", "nb", "kb", "sb")
-        both = met.join(left, "a").join(right, "b")
+        sized = met.join(length.toDF("a", "na", "ka"), "a").join(length.toDF("b", "nb", "kb"), "b")
+        sized = cut(sized.where((F.col("met") >= floor) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "na", "nb"))
+        left = sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        short = only(sizes.select("id", "short"), left, "id").groupBy("id").agg(F.min("short").alias("short"))
+        both = sized.join(short.toDF("a", "sa"), "a").join(short.toDF("b", "sb"), "b")
         far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         far = F.when(F.size("sa") == F.size("sb"), far).otherwise(0)  # sketches of two sizes rule out nothing
-        near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-        return both.where((F.col("met") >= floor) & near).select("a", "b")
+        return both.where(far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
     smaller = F.when(F.col("na") <= F.col("nb"), F.col("ka")).otherwise(F.col("kb"))
     links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b")), F.least(smaller, F.lit(2)), best=True), base, n, percent))

@@ -138,6 +138,31 @@ def test_jaccard_join_equals_brute_force(spark, n, percent):
         assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_enough_keys(percent):
+    r = np.random.default_rng(1)
+    for _ in range(1500):
+        small = int(np.exp(r.uniform(0, 7.5)))
+        large = int(small * r.uniform(1, 100 / percent))
+        both = -(-percent * (small + large) // (100 + percent))  # the least that makes the two similar
+        if both <= small:
+            h = jaccard_join._scramble(r.integers(1, 2**63, size=small + large - both).astype(np.uint64))
+            a, b = np.sort(h[:small]), np.sort(np.concatenate((h[:both], h[small:])))
+            shared = np.intersect1d(jaccard_join.join_keys(a, percent), jaccard_join.join_keys(b, percent))
+            assert jaccard_join.similar(a, b, percent)
+            assert len(shared) >= jaccard_join.shape(jaccard_join.band(len(a), percent), percent)[1]
+
+
+def test_words_have_hashes_of_their_own():
+    r, seen = random.Random(5), {}
+    texts = ["".join(r.choice("abA é\x00\t\x0b\x1c\u2003") for _ in range(r.choice((1, 5, 40, 200)))) for _ in range(1000)] + ["z" * k + " y" for k in range(1, 200)] + ["", " ", "\n\t"]
+    for text in texts:
+        words, hashes = text.encode().lower().split(), jaccard_join.word_hashes(text.encode().lower()).tolist()
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(seen) == len(set(seen.values()))
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.similar_components(docs_of(spark, [])).count() == 0
     assert jaccard_join.similar_components(docs_of(spark, [(None, "a b c"), (1, None)])).collect()[0].n_shingles == 0
