@@ -96,17 +96,16 @@ def shape(b: int, percent: int) -> tuple[int, int]:
     return (d + equal + d // 16 + 1, equal) if d else (1, 1)
 
 
-def words_of(h: np.ndarray, of_each: np.ndarray, b: int, percent: int) -> np.ndarray:
-    """The words of the sketch of a set for band ``b``: each is the parity of ``of_each`` of the elements dealt to it.
+def words_of(h: np.ndarray, b: int, percent: int) -> np.ndarray:
+    """The words of the sketch of a set for band ``b``: each is the parity, bit by bit, of the hashes of the elements dealt to it.
 
-    With one bit of 64 for each element the Hamming distance of two sketches is
-    at most the symmetric difference.
+    A difference of two sets touches one word.
     """
     n = shape(b, percent)[0]
     word = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # h is sorted, so words come in order
     at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     words = np.zeros(n, np.uint64)
-    words[word[at].astype(np.int64)] = np.bitwise_xor.reduceat(of_each, at)
+    words[word[at].astype(np.int64)] = np.bitwise_xor.reduceat(_scramble(h), at)
     return words
 
 
@@ -123,9 +122,9 @@ def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
     all sets (by key, empty words last): of two sets of which at most that many
     words differ, the first so many of each have k in common.
     """
-    out, all_bits = [], _scramble(h)
+    out = []
     for b in bands(len(h), percent):
-        words = words_of(h, all_bits, b, percent)
+        words = words_of(h, b, percent)
         keys, empty = _scramble(words + _scramble(np.arange(len(words), dtype=np.uint64) + np.uint64(b << 32))), words == 0
         first = most_apart(len(h), b, percent) + shape(b, percent)[1]
         keys = np.concatenate((np.sort(keys[~empty]), np.sort(keys[empty]))) if first > np.count_nonzero(words) else np.sort(keys[~empty])
@@ -144,8 +143,9 @@ def short_sketch(h: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def sketch(h: np.ndarray, percent: int, b: int) -> bytes:
-    return words_of(h, np.uint64(1) << (h & np.uint64(63)), b, percent).tobytes()
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches of any size as those of ``SHORT`` bits."""
+    return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, SHORT // 64), axis=-2)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -197,7 +197,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        the members outside the leader's component, ``leader_rounds`` times.
     4. What is left of the larger ones is compared exactly: the members of a
        bucket outside its largest component against all, in blocks of ``block``
-       rows, first by sketch (the Hamming distance bounds the difference from
+       rows, first by short sketch (the Hamming distance bounds the difference from
        below), then by text. No partner and no bucket is capped.
 
     Null texts and texts without a word have no shingles and stay alone. Ids must
@@ -258,7 +258,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             heads = open_.where(F.col("total") > SMALL).groupBy("key").agg(F.min(draw).alias("head")).select("key", "head.id", "head.component").toDF("key", "a", "head_component")
             pairs = fit(ordered(open_.join(heads, "key").where("component <> head_component").select("a", "id")), F.lit(1))
         else:
-            pairs = fit(ordered(_open_pairs(open_, base, n, percent, block)), F.lit(1))
+            pairs = fit(ordered(_open_pairs(open_, sizes, percent, block)), F.lit(1))
         if turn == 0:  # a pair that meets in no larger bucket must meet in enough small ones
             pairs = pairs.union(fit(ordered(_small_pairs(open_)), smaller)).distinct()
         links = cut(links.union(_verify(pairs, base, n, percent)).distinct())
@@ -282,51 +282,37 @@ def _small_pairs(open_: DataFrame) -> DataFrame:
     return one.where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("id"))
 
 
-def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block: int) -> DataFrame:
-    """Pairs (a, id) of different components that share a bucket and whose sketches allow the similarity.
+def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, id) of different components that share a bucket and whose short sketches allow the similarity.
 
     The members outside a bucket's largest component meet all of its members,
     as pairs of blocks, so that a task looks at about two blocks at a time.
     """
-    sizes = open_.groupBy("key", "component").agg(F.count("*").alias("c"))
-    shape = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total")).select(
+    counts = open_.groupBy("key", "component").agg(F.count("*").alias("c"))
+    shape = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total")).select(
         "key", F.col("top.component").alias("top"), F.ceil(F.col("total") / block).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.c")) / block).cast("int").alias("rows"))
     placed = open_.select("key", "id", "component").join(shape, "key").withColumn("h", F.xxhash64(F.lit("block"), "id"))
     others = placed.where("component <> top").select("key", "id", "component", F.lit(True).alias("probe"), F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     every = placed.select("key", "id", "component", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("h", "columns").cast("int").alias("j"))
 
-    def outline(batches):
-        for batch in batches:
-            size, own, below = [], [], []
-            for t in batch.column(1).to_pylist():
-                h = shingles(t, n)
-                at = bands(len(h), percent)
-                size.append(len(h))
-                own.append(sketch(h, percent, at[0]))
-                below.append(sketch(h, percent, at[1]) if len(at) > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(own, pa.binary()), pa.array(below, pa.binary())], ["id", "n", "own", "below"])
-
-    sketches = _texts_of(open_.select("id").distinct(), base).mapInArrow(outline, "id long, n long, own binary, below binary")
+    sketches = only(sizes.select("id", "n", "short"), open_.select("id").distinct(), "id").groupBy("id").agg(F.max("n").alias("n"), F.min("short").alias("short"))
     dealt = others.unionByName(every).join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def near_pairs(group: list[tuple]) -> set[tuple[int, int]]:
-        at: dict[int, tuple[list, list[np.ndarray]]] = {}
-        for g, x, probe, size, own, below in group:  # sketches of one band can be compared
+        at: dict[int, list[tuple]] = {}
+        for g, x, probe, size, short in group:  # by length of the sketch
             if not probe:
-                for c, raw in zip(bands(size, percent), (own, below)):
-                    rows = at.setdefault(c, ([], []))
-                    rows[0].append((x, g, size))
-                    rows[1].append(np.frombuffer(raw, np.uint64))
-        stacked = {c: (np.array(i), np.stack(w)) for c, (i, w) in at.items()}
+                at.setdefault(len(short), []).append((x, g, size, short))
+        stacked = [tuple(np.array(c) for c in zip(*rows)) for rows in at.values()]
         found = set()
-        for g, x, probe, size, own, below in group:
+        for g, x, probe, size, short in group:
             if probe:
-                for c, raw in zip(bands(size, percent), (own, below)):
-                    if c in stacked:
-                        rows, bits = stacked[c]
-                        far = np.bitwise_count(bits ^ np.frombuffer(raw, np.uint64)).sum(axis=1, dtype=np.int64)
-                        ok = (far <= (rows[:, 2] + size) * (100 - percent) // (100 + percent)) & (rows[:, 1] != g)
-                        found.update((x, y) for y in rows[ok, 0].tolist())
+                mine = np.array(short)
+                for ids, of, sizes, bits in stacked:
+                    apart = bits ^ mine if bits.shape[1] == len(mine) else folded(bits) ^ folded(mine)
+                    far = np.bitwise_count(apart.view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute values
+                    ok = (far * (100 + percent) <= (sizes + size) * (100 - percent)) & (of != g)
+                    found.update((x, y) for y in ids[ok].tolist())
         return found
 
     def compare(batches):
@@ -334,7 +320,7 @@ def _open_pairs(open_: DataFrame, base: DataFrame, n: int, percent: int, block:
         out = lambda found: pa.RecordBatch.from_pylist([{"a": a, "id": b} for a, b in sorted(found)], kind)
         here, group = None, []
         for batch in batches:
-            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "n", "own", "below"))
+            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "n", "short"))
             for k, row in zip(zip(key, i, j), zip(*rest)):
                 if k != here:
                     if group:

@@ -153,6 +153,17 @@ def test_similar_sets_share_enough_keys(percent):
             assert len(shared) >= jaccard_join.shape(jaccard_join.band(len(a), percent), percent)[1]
 
 
+def test_short_sketches_bound_the_difference():
+    r = np.random.default_rng(2)
+    h = r.integers(1, 2**63, size=4000).astype(np.uint64)
+    long, other, small = h[:3000], h[100:3050], h[:2400]
+    bits = [np.array(jaccard_join.short_sketch(x)).view(np.uint64) for x in (long, other, small)]
+    assert [len(x) for x in bits] == [512, 512, 32]
+    assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= 150
+    assert np.bitwise_count(jaccard_join.folded(bits[0]) ^ jaccard_join.folded(bits[2])).sum() <= 600
+    assert (jaccard_join.folded(np.stack(bits[:2]))[0] == jaccard_join.folded(bits[0])).all()
+
+
 def test_words_have_hashes_of_their_own():
     r, seen = random.Random(5), {}
     texts = ["".join(r.choice("abA é\x00\t\x0b\x1c\u2003") for _ in range(r.choice((1, 5, 40, 200)))) for _ in range(1000)] + ["z" * k + " y" for k in range(1, 200)] + ["", " ", "\n\t"]
