@@ -22,42 +22,46 @@ def direction(seed: int, tree: int, node: int, dim: int) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees of random splits for one group; node k has children 2k and 2k + 1.
+    """Trees of random splits for vectors of one length; node k has children 2k and 2k + 1.
 
-    A node's direction comes from a seed, so only its threshold, the median of
-    the fitting sample below it, is kept. Rows within ``spill`` of a threshold
-    go to both sides.
+    A node's direction comes from a seed, so only its threshold is kept: the
+    median of the fitting sample below it, 0 (and not kept) where no row of the
+    sample comes. Rows within ``spill`` of a threshold go to both sides.
     """
 
-    thresholds: list[np.ndarray]
-    depth: int
+    thresholds: list[dict[int, float]]
     spill: float
     seed: int
 
     @classmethod
-    def fit(cls, sample: np.ndarray, n_rows: int, trees: int, leaf: int, spill: float, deepest: int, seed: int) -> Forest:
-        depth = int(np.clip(np.ceil(np.log2(max(1, n_rows) / leaf)), 0, deepest))
+    def fit(cls, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int) -> Forest:
         out = []
         for t in range(trees):
-            cuts, at = np.zeros(1 << depth), {1: np.arange(len(sample))}
-            for node in range(1, 1 << depth):
-                rows = at.pop(node)
-                p = sample[rows] @ direction(seed, t, node, sample.shape[1])
-                cuts[node] = np.median(p) if len(p) else 0.0
-                at[2 * node], at[2 * node + 1] = rows[p <= cuts[node]], rows[p > cuts[node]]
+            cuts, at = {}, {1: np.arange(len(sample))} if len(sample) else {}
+            for _ in range(depth):
+                below = {}
+                for node, rows in at.items():
+                    p = sample[rows] @ direction(seed, t, node, sample.shape[1])
+                    cuts[node] = float(np.median(p))
+                    for child, part in ((2 * node, rows[p <= cuts[node]]), (2 * node + 1, rows[p > cuts[node]])):
+                        if len(part):
+                            below[child] = part
+                at = below
             out.append(cuts)
-        return cls(out, depth, spill, seed)
+        return cls(out, spill, seed)
 
-    def leaves(self, x: np.ndarray) -> list[list[tuple[np.ndarray, int]]]:
-        """Per tree, the rows that reach each leaf."""
-        out = []
+    def leaves(self, x: np.ndarray, depth: int, spill: float | None = None) -> list[list[tuple[np.ndarray, int]]]:
+        """Per tree, the rows that reach each node of level ``depth``; at level 0 the trees are one and the same."""
+        if not depth:
+            return [[(np.arange(len(x)), 1)]]
+        out, spill = [], self.spill if spill is None else spill
         for t, cuts in enumerate(self.thresholds):
             at = {1: np.arange(len(x))}
-            for _ in range(self.depth):
+            for _ in range(depth):
                 below = {}
                 for node, rows in at.items():
-                    p = x[rows] @ direction(self.seed, t, node, x.shape[1]) - cuts[node]
-                    for child, part in ((2 * node, rows[p <= self.spill]), (2 * node + 1, rows[p > -self.spill])):
+                    p = x[rows] @ direction(self.seed, t, node, x.shape[1]) - cuts.get(node, 0.0)
+                    for child, part in ((2 * node, rows[p <= spill]), (2 * node + 1, rows[p > -spill])):
                         if len(part):
                             below[child] = part
                 at = below
@@ -65,6 +69,21 @@ class Forest:
         return out
 
 
+def _level(nodes: np.ndarray, n_rows: int, least: int, depth: int, most: int) -> int:
+    """The first level, ``least`` or deeper, at which half the rows of a group share their node with ``most`` rows or fewer.
+
+    ``nodes`` has, per row of the group's sample and tree, the node of level ``depth``.
+    """
+    for level in range(least, depth):
+        shared = []
+        for t in range(nodes.shape[1]):
+            _, at, n = np.unique(nodes[:, t] >> (depth - level), return_inverse=True, return_counts=True)
+            shared.append(n[at])
+        if np.median(shared) * n_rows / len(nodes) <= most:
+            return level
+    return depth
+
+
 def _matrix(column: pa.ListArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -87,10 +106,14 @@ def near_duplicates(
     """(id, n_links, component, kept): links between vectors of equal group with cosine ``at_least`` or more.
 
     Equal vectors of a group are one class with its least id; the rest works on
-    classes. Per group a forest is fitted on a bounded sample (``sample_rows`` of
-    least id hash) to a depth that follows the group's exact row count, at most
-    ``deepest``; every row is then sent down every tree, near a split to both
-    sides. Leaves with more than ``block`` rows (of very many near copies, or
+    classes. All groups share one forest (one for each vector length), fitted on the
+    driver on one bounded sample (about ``sample_rows`` in all, by id hash); a leaf is
+    a node and a group. How deep a group goes follows its exact row count, and goes on
+    where the splits leave its rows together (told by the tasks from a sample of the
+    group), at most to ``deepest``; every row is then sent down every tree, near a split to
+    both sides. Of groups, only a short row (group, count, level) of each with more than
+    ``leaf`` classes is broadcast; nothing else of theirs passes through the driver.
+    Leaves with more than ``block`` rows (of very many near copies, or
     beyond the deepest level) are compared as pairs of blocks, so that no task
     holds more than two blocks and no pair of a leaf is left out. Cosines are in
     double precision. A pair that meets in several leaves is counted in the first
@@ -110,51 +133,75 @@ def near_duplicates(
     )
     valid = rows.where(sound).withColumn("dim", F.size("v"))
     classes = cut(valid.groupBy("g", "dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    groups = {(r.g, r.dim): r.n for r in classes.groupBy("g", "dim").agg(F.count("*").alias("n")).collect()}
-    if not groups:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    number = {k: i for i, k in enumerate(sorted(groups, key=str))}
-
-    draw, name = F.xxhash64(F.lit("forest sample"), "rep"), F.concat_ws("|", F.col("g").cast("string"), "dim")
-    sampled: dict = {}
-    large = {k: n for k, n in groups.items() if n > leaf}
-    if large:
-        limit = F.create_map(*(x for (g, dim), n in large.items() for x in (F.concat_ws("|", F.lit(g).cast("string"), F.lit(dim)), F.lit(int(min(2**62, sample_rows / n * 2**62))))))
-        drawn = classes.where(F.shiftrightunsigned(draw, 2) < F.try_element_at(limit, name)).select("g", "dim", "v", "rep")
-        for r in sorted(drawn.collect(), key=lambda r: r.rep):
-            sampled.setdefault((r.g, r.dim), []).append(r.v)
+    large = cut(classes.groupBy("g", "dim").agg(F.count("*").alias("n")).where(F.col("n") > leaf))
+    total = large.agg(F.sum("n")).first()[0] or 0
+    depth = int(np.clip(np.ceil(np.log2(max(leaf, total) / leaf)), 0, deepest))
+
+    def drawn(share):
+        limit = F.least(share * float(2**62), F.lit(float(2**62)))
+        return F.shiftrightunsigned(F.xxhash64(F.lit("forest sample"), "rep"), 2) < limit
+
+    members = classes.join(F.broadcast(large), ["g", "dim"])
+    sampled: dict[int, list] = {}
+    for r in sorted(members.where(drawn(F.lit(sample_rows / max(1, total)))).select("dim", "v", "rep").collect(), key=lambda r: r.rep):
+        sampled.setdefault(r.dim, []).append(r.v)
     forests = {}
-    for k, n in groups.items():
-        x = np.array(sampled.get(k, [[1.0] * k[1]]), np.float64)
-        forests[k] = Forest.fit(x / np.linalg.norm(x, axis=1, keepdims=True), n, trees, leaf, spill, deepest, seed)
-    shared = spark.sparkContext.broadcast((number, forests))
+    for dim, v in sampled.items():
+        x = np.array(v, np.float64)
+        forests[dim] = Forest.fit(x / np.linalg.norm(x, axis=1, keepdims=True), depth, trees, spill, seed)
+    shared = spark.sparkContext.broadcast((forests, Forest([{}] * trees, spill, seed)))
+    group_type = classes.schema["g"].dataType.simpleString()
+
+    def parts(batch, at_column):
+        """(rows, their vectors, their forest, their level) of a batch, for each vector length and level in it."""
+        forests, unfitted = shared.value
+        dims, levels = batch.column("dim").to_numpy(), at_column(batch)
+        for dim, level in sorted(set(zip(dims.tolist(), levels.tolist()))):
+            at = np.flatnonzero((dims == dim) & (levels == level))
+            yield at, _matrix(batch.column("v").take(pa.array(at))), forests.get(dim, unfitted), level
+
+    def trace(batches):
+        for batch in batches:
+            for at, x, forest, level in parts(batch, lambda b: np.full(b.num_rows, depth)):
+                nodes = np.ones((len(at), trees), np.int64)
+                for t, leaves in enumerate(forest.leaves(x / np.linalg.norm(x, axis=1, keepdims=True), level, 0.0)):
+                    for rows, node in leaves:
+                        nodes[rows, t] = node
+                kept = batch.select(["g", "dim", "n"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(nodes.tolist(), pa.list_(pa.int64()))], ["g", "dim", "n", "nodes"])
+
+    def level_of(pdf):
+        n = int(pdf.n.iloc[0])
+        least = min(depth, int(np.ceil(np.log2(n / leaf))))
+        return pdf[["g", "dim"]].head(1).assign(level=_level(np.stack(pdf.nodes), n, least, depth, 2 * leaf))
+
+    traced = members.where(drawn(F.lit(float(sample_rows)) / F.col("n"))).select("g", "dim", "n", "v").mapInArrow(trace, f"g {group_type}, dim int, n long, nodes array<long>")
+    measured = traced.groupBy("g", "dim").applyInPandas(level_of, f"g {group_type}, dim int, level int")
+    by_count = F.least(F.lit(depth), F.ceil(F.log2(F.col("n") / leaf)).cast("int"))
+    levels = cut(large.join(measured, ["g", "dim"], "left").select("g", "dim", F.coalesce("level", by_count).alias("level")))
 
     def descend(batches):
-        number, forests = shared.value
         for batch in batches:
-            group, dim = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, copies = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            for key in set(zip(group, dim)):
-                at = np.array([i for i, k in enumerate(zip(group, dim)) if k == key])
-                x = _matrix(batch.column(2).take(pa.array(at)))
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                routes = forests[key].leaves(unit)
+            ids, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
+            for at, x, forest, level in parts(batch, lambda b: b.column("level").to_numpy()):
                 reached: list[list[int]] = [[] for _ in at]
-                cells = [((number[key] * len(routes) + t) << 20 | node, members) for t, leaves in enumerate(routes) for members, node in leaves]
-                for cell, members in cells:
-                    for m in members.tolist():
+                cells = [(t << 20 | node, rows) for t, leaves in enumerate(forest.leaves(x / np.linalg.norm(x, axis=1, keepdims=True), level)) for rows, node in leaves]
+                for cell, rows in cells:
+                    for m in rows.tolist():
                         reached[m].append(cell)
-                for cell, members in cells:
+                for cell, rows in cells:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(members), cell), pa.int64()), pa.array(ids[at[members]], pa.int64()), pa.array(copies[at[members]], pa.int64()),
-                        pa.array([u.tobytes() for u in x[members]], pa.binary()), pa.array([reached[m] for m in members.tolist()], pa.list_(pa.int64())),
-                    ], ["cell", "id", "copies", "v", "reached"])
+                        batch.column("g").take(pa.array(at[rows])), pa.array(np.full(len(rows), x.shape[1]), pa.int32()),
+                        pa.array(np.full(len(rows), cell), pa.int64()), pa.array(ids[at[rows]], pa.int64()), pa.array(copies[at[rows]], pa.int64()),
+                        pa.array([u.tobytes() for u in x[rows]], pa.binary()), pa.array([reached[m] for m in rows.tolist()], pa.list_(pa.int64())),
+                    ], ["g", "dim", "cell", "id", "copies", "v", "reached"])
 
-    cells = cut(classes.select("g", "dim", "v", "rep", "copies").mapInArrow(descend, "cell long, id long, copies long, v binary, reached array<long>"))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    placed = cells.join(counts, "cell").withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "id"), "blocks").cast("int"))
+    leveled = classes.join(F.broadcast(levels), ["g", "dim"], "left").select("g", "dim", "v", "rep", "copies", F.coalesce("level", F.lit(0)).alias("level"))
+    cells = cut(leveled.mapInArrow(descend, f"g {group_type}, dim int, cell long, id long, copies long, v binary, reached array<long>"))
+    counts = cells.groupBy("g", "dim", "cell").agg(F.count("*").alias("c")).where("c > 1").select("g", "dim", "cell", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    placed = cells.join(counts, ["g", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "id"), "blocks").cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "id", "copies", "v", "reached"
+        "g", "dim", "cell", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "id", "copies", "v", "reached"
     )
 
     def compare(pdf):
@@ -194,7 +241,7 @@ def near_duplicates(
         rows = np.flatnonzero(links)
         return pd.DataFrame({"id": ids[rows], "links": links[rows].astype("int64"), "to": [int(ids[root(int(k))]) for k in rows]})
 
-    found = cut(spread.groupBy("cell", "i", "j").applyInPandas(compare, "id long, links long, to long"))
+    found = cut(spread.groupBy("g", "dim", "cell", "i", "j").applyInPandas(compare, "id long, links long, to long"))
     totals = found.groupBy("id").agg(F.sum("links").alias("others"))
     comp = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     per_class = (

@@ -201,6 +201,26 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_sample_is_bounded_over_all_labels(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = []
+    for g in range(30):
+        centre = r.normal(size=12) * (g % 2)
+        for k in range(60):
+            v = centre + r.normal(size=12) if k % 2 == 0 else v + r.normal(size=12) * 0.03
+            rows.append((g * 60 + k, [float(x) for x in v], f"label {g}"))
+    fitted, fit = [], embedding_dedup.Forest.fit.__func__
+    monkeypatch.setattr(embedding_dedup.Forest, "fit", classmethod(lambda cls, sample, *a: (fitted.append(len(sample)), fit(cls, sample, *a))[1]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(df, leaf=20, block=15, sample_rows=50).collect()}
+    assert 0 < sum(fitted) < 150
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    alike = (x @ x.T >= 0.98) & (np.arange(1800)[:, None] // 60 == np.arange(1800) // 60)
+    want = alike.sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum() > 0
+
+
 def test_decontamination(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
