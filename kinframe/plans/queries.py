@@ -81,6 +81,14 @@ def walk_cap(spark, sf_dir):
     return w.summary.select("root", "people", "truncated", "unexplored")
 
 
+@query(SQL["walk_cap"].removeprefix(sql_tables()).replace(" where k % 3 = 0", ""))
+def walk_cap_all(spark, sf_dir):
+    """``walk_cap`` with every person as a root."""
+    roots = flat(spark, sf_dir, "person").select("handle")
+    w = graph.walk(graph.parent_edges(demo_tree(spark, sf_dir)), roots, max_generations=5, cap=10)
+    return w.summary.select("root", "people", "truncated", "unexplored")
+
+
 @query(f""", {PARENTS},
 w as (select handle as d, handle as a, 0 as n from d_person union select d, parent, n + 1 from w join par on child = a where n < 7),
 c as (select d, a, min(n) as n from w group by d, a)
@@ -104,6 +112,15 @@ def relationship_pairs(spark, sf_dir):
     return graph.relationship(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender")).select("a", "b", "up", "down")
 
 
+@query(SQL["relationship_pairs"].removeprefix(sql_tables()).replace(" where k % 4 = 0", ""))
+def relationship_pairs_all(spark, sf_dir):
+    """``relationship_pairs`` with a partner for every person."""
+    people = flat(spark, sf_dir, "person")
+    partner = (F.col("k") * 7 + 3) % F.col("n")
+    pairs = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n")))).select(F.col("handle").alias("a"), F.concat(F.lit("P"), F.lpad(partner.cast("string"), 9, "0")).alias("b"))
+    return graph.relationship(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender")).select("a", "b", "up", "down")
+
+
 @query(f""", {PARENTS},
 u as (select max(handle) as h from d_person union select parent from u join par on child = h),
 d as (select h from u union select child from d join par on parent = h)

@@ -156,3 +156,10 @@ def test_query_equals_sql(spark, name):
     text = lambda v: "NULL" if v is None else v if isinstance(v, str) else f"{float(v):.6g}"
     want = sorted(tuple(text(r[relation.columns.index(c)]) for c in columns) for r in relation.fetchall())
     assert sorted(tuple(text(r[c]) for c in columns) for r in frame.collect()) == want
+
+
+@pytest.mark.parametrize(("name", "key"), [("walk_cap_all", "root"), ("relationship_pairs_all", "a")])
+def test_every_person_has_a_row(spark, name, key):
+    people = spark.read.parquet(f"{SF}/customer.parquet").count()
+    got = [r[0] for r in QUERIES[name](spark, SF).select(key).collect()]
+    assert len(got) == len(set(got)) == people > 100
