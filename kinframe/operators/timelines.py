@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,15 +137,58 @@ def day_bounds(spec: str) -> tuple:
     return at(low, julian_day), at(high, last_day)
 
 
-def metric_facts(tree: Tree, status: DataFrame) -> DataFrame:
-    """(fact, handle, value, descending): the long table of what records are ranked by."""
-    v = vital_events(tree)
-    dated = (sort_key(F.col("birth_date")) > 0) & (sort_key(F.col("death_date")) > 0)
-    born = v.select("handle", sort_key(F.col("birth_date")).alias("value")).where("value > 0").join(status.where("living").select("handle"), "handle", "left_semi")
-    ages = v.where(dated).select("handle", (sort_key(F.col("death_date")) - sort_key(F.col("birth_date"))).alias("value"))
-    kids = tree.family.select(F.explode(F.array_compact(F.array("father_handle", "mother_handle"))).alias("handle"), F.size("child_ref_list").cast("bigint").alias("n")).groupBy("handle").agg(F.sum("n").alias("value"))
-    one = lambda name, df, down: df.select(F.lit(name).alias("fact"), "handle", F.col("value").cast("bigint").alias("value"), F.lit(down).alias("descending"))
-    return reduce(DataFrame.union, [one("youngest living", born, True), one("oldest living", born, False), one("oldest at death", ages, True), one("youngest at death", ages, False), one("most children", kids, True)])
+def visible(tree: Tree, status: DataFrame, living: str = "IncludeAll", private: bool = False) -> Tree:
+    """The tree that facts may rest on: ``private`` drops records marked so, ``ExcludeAll`` the living; other modes hide names only."""
+    if private:
+        tree = tree.with_tables(**{t: df.where(~F.coalesce("private", F.lit(False))) for t, df in tree.tables().items() if "private" in df.columns})
+    if living == "ExcludeAll":
+        tree = tree.with_tables(person=hide_living(tree, status, living))
+    return tree
+
+
+def metric_facts(tree: Tree, status: DataFrame, branch: DataFrame | None = None) -> DataFrame:
+    """(fact, handle, value, descending): the long table of what records are ranked by.
+
+    Handles are of people; of families for the length of a marriage, which runs
+    from its first dated marriage event to its first dated divorce or spouse's
+    death. Values are days, day numbers (the living) or children. A person of
+    several marriages or children stands with the least age for "youngest" and the
+    greatest for "oldest". Only people and children in the person table count, and
+    no marriage of a spouse who is not. ``branch`` (first column handles) limits the
+    people, and families to those with a spouse among them.
+    """
+    day = lambda c: F.when(sort_key(F.col(c)) > 0, sort_key(F.col(c)))
+    v = vital_events(tree).select("handle", day("birth_date").alias("born"), day("death_date").alias("died"))
+    f = tree.family
+    spouses = f.select(F.col("handle").alias("family"), F.explode(F.array(*(F.struct(F.col(f"{x}_handle").alias("handle"), F.lit(x).alias("side")) for x in ("father", "mother")))).alias("s")).select("family", "s.*").where("handle is not null")
+    parent = spouses.join(v, "handle", "left").join(tree.person.select("handle", F.lit(True).alias("known")), "handle", "left")
+    child = f.select(F.col("handle").alias("family"), F.explode("child_ref_list.ref").alias("child")).join(v.select(F.col("handle").alias("child"), F.col("born").alias("child_born")), "child")
+    births = parent.where("known").join(child, "family")
+    age = F.when(F.col("child_born") >= F.col("born"), F.col("child_born") - F.col("born"))
+    of = lambda f, side: f(F.when(F.col("side") == side, age))
+    kids = births.groupBy("handle").agg(F.count("*").alias("kids"), *(of(f, side).alias(f"{side}_{name}") for side in ("father", "mother") for name, f in (("least", F.min), ("most", F.max))))
+    dated = f.select(F.col("handle").alias("family"), F.explode("event_ref_list.ref").alias("event")).join(tree.event.select(F.col("handle").alias("event"), "type", day("date").alias("day")), "event")
+    wed = dated.where("type = 'Marriage' and day is not null")
+    at_wedding = parent.where("known").join(wed, "family").where("day >= born").select("handle", (F.col("day") - F.col("born")).alias("age"))
+    weddings = at_wedding.groupBy("handle").agg(F.min("age").alias("wed_least"), F.max("age").alias("wed_most"))
+    ends = dated.where("type = 'Divorce'").select("family", "day").union(parent.select("family", "died")).groupBy("family").agg(F.min("day").alias("end"))
+    lengths = wed.groupBy("family").agg(F.min("day").alias("day")).join(ends, "family").join(parent.where("known is null").select("family"), "family", "left_anti").where("end >= day").select(F.col("family").alias("handle"), (F.col("end") - F.col("day")).alias("value"))
+
+    people = v.join(status.select("handle", "living"), "handle", "left").join(kids, "handle", "left").join(weddings, "handle", "left")
+    if branch is not None:
+        among = branch.select(F.col(branch.columns[0]).alias("handle")).distinct()
+        people = people.join(among, "handle", "left_semi")
+        lengths = lengths.join(spouses.join(among, "handle", "left_semi").select(F.col("family").alias("handle")), "handle", "left_semi")
+
+    def long(df, facts):
+        each = F.array(*(F.struct(F.lit(name).alias("fact"), value.cast("bigint").alias("value"), F.lit(down).alias("descending")) for name, value, down in facts))
+        return df.select("handle", F.explode(each).alias("f")).where("f.value is not null").select("f.fact", "handle", "f.value", "f.descending")
+
+    alive, lived = F.when(F.col("living"), F.col("born")), F.col("died") - F.col("born")
+    personal = [("youngest living", alive, True), ("oldest living", alive, False), ("oldest at death", lived, True), ("youngest at death", lived, False), ("most children", F.col("kids"), True)]
+    for name, c in (("at marriage", "wed"), ("father at a birth", "father"), ("mother at a birth", "mother")):
+        personal += [(f"youngest {name}", F.col(f"{c}_least"), False), (f"oldest {name}", F.col(f"{c}_most"), True)]
+    return long(people, personal).union(long(lengths, [("longest marriage", F.col("value"), True), ("shortest marriage", F.col("value"), False)]))
 
 
 def ranked_facts(metrics: DataFrame, rank: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from kinframe.functions import dates, labels
 from kinframe.functions.predicates import path, rules
-from kinframe.operators import changes, graph, paging
+from kinframe.operators import changes, graph, paging, timelines
 from kinframe.plans.queries import QUERIES, SQL
 from kinframe.sources.records import ingest
 from kinframe.tree import Tree
@@ -163,3 +163,27 @@ def test_every_person_has_a_row(spark, name, key):
     people = spark.read.parquet(f"{SF}/customer.parquet").count()
     got = [r[0] for r in QUERIES[name](spark, SF).select(key).collect()]
     assert len(got) == len(set(got)) == people > 100
+
+
+def test_facts(spark):
+    person = "handle string, birth_ref_index int, death_ref_index int, event_ref_list array<struct<ref:string>>, private boolean"
+    life = {"dad": (1900, 1980), "mum": (1910, 1990), "late": (1950, None), "kid": (1930, None), "shy": (1955, None)}
+    people = [(k, 0, 1 if d else -1, [(f"b-{k}",)] + ([(f"d-{k}",)] if d else []), k == "shy") for k, (b, d) in life.items()]
+    events = [(f"b-{k}", "Birth", date(d=1, m=1, y=b)) for k, (b, _) in life.items()] + [(f"d-{k}", "Death", date(d=1, m=1, y=d)) for k, (_, d) in life.items() if d]
+    events += [("w1", "Marriage", date(d=1, m=1, y=1929)), ("x1", "Divorce", date(d=1, m=1, y=1940)), ("w2", "Marriage", date(d=1, m=1, y=1970))]
+    families = [("f1", "dad", "mum", [("kid",), ("shy",)], [("w1",), ("x1",)]), ("f2", "dad", "late", [], [("w2",)])]
+    tree = Tree(
+        person=spark.createDataFrame(people, person), event=spark.createDataFrame(events, f"handle string, type string, date {dates.DATE_DDL}"),
+        family=spark.createDataFrame(families, "handle string, father_handle string, mother_handle string, child_ref_list array<struct<ref:string>>, event_ref_list array<struct<ref:string>>"),
+    )
+    status = spark.createDataFrame([(k, not d) for k, (_, d) in life.items()], "handle string, living boolean")
+    first = lambda t, **kw: {r.fact: (r.handle, round(r.value / 365.25)) for r in timelines.ranked_facts(timelines.metric_facts(t, status, **kw), 1).collect()}
+    got = first(tree)
+    assert len(got) == 13 and got["youngest at marriage"] == ("mum", 19) and got["oldest at marriage"] == ("dad", 70)
+    assert got["youngest father at a birth"] == ("dad", 30) and got["oldest mother at a birth"] == ("mum", 45) and got["youngest living"][0] == "shy"
+    assert got["shortest marriage"] == ("f2", 10) and got["longest marriage"] == ("f1", 11)
+    shown = first(timelines.visible(tree, status, private=True))
+    assert shown["oldest mother at a birth"] == ("mum", 20) and shown["youngest living"][0] == "late"
+    shown = first(timelines.visible(tree, status, "ExcludeAll"))
+    assert set(shown) == {f"{a} {b}" for a in ("youngest", "oldest") for b in ("at death", "at marriage")} | {"longest marriage", "shortest marriage"} and shown["shortest marriage"][0] == "f1"
+    assert first(tree, branch=spark.createDataFrame([("late",)], "h string"))["longest marriage"] == ("f2", 10)
