@@ -11,14 +11,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm.common import python_batches, read
+from kinframe.llm.common import Remembered, python_batches, read
 
 _NONE = np.int64(2**62)
 _LOW = np.int64(2**32 - 1)
 #: Words up to this many bytes are merged side by side in numpy; longer ones one by one.
 SIDE_BY_SIDE = 64
-#: Entries a worker remembers at most; then it starts afresh.
-MEMORY = 400_000
 
 
 @dataclass
@@ -45,7 +43,7 @@ class Vocabulary:
         self.values = np.fromiter((self.pairs[k] for k in self.keys.tolist()), np.int64, len(self.pairs))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.split = regex.compile(self.pattern).findall
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory = Remembered()
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, ``_NONE`` where the join is no token."""
@@ -182,11 +180,14 @@ def _merge_rows(words, n, size, v, out, place) -> None:
 
 
 def encode_batch(texts: list[str], v: Vocabulary) -> list[list[int]]:
-    """Token ids of each text; words seen before come from the worker's bounded memory."""
-    if len(v.memory) > MEMORY:
-        v.memory.clear()
+    """Token ids of each text; words seen before come from the task's bounded memory."""
     memory, split = v.memory, [v.split(t) for t in texts]
-    fresh = [x for x in {x for s in split for x in s} if x not in memory]
+    every = {x for s in split for x in s}
+    fresh = [x for x in every if x not in memory]
+    chars = sum(map(len, fresh))
+    memory.room(len(fresh), chars, chars // 2)
+    if not memory:  # it was full, and starts afresh
+        fresh = list(every)
     short_text, short = [], []
     for x in fresh:
         raw = x.encode()
@@ -206,17 +207,6 @@ def decode(ids: list[int], v: Vocabulary) -> bytes:
     return b"".join(map(v.tokens.__getitem__, ids))
 
 
-_ready: dict[str, Vocabulary] = {}
-
-
-def _vocabulary(key: str, shared) -> Vocabulary:
-    """The worker's tables, built once from the broadcast tokens."""
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Vocabulary(*shared.value)
-    return _ready[key]
-
-
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text; returns (id, ids array<int>, decoded binary).
 
@@ -224,17 +214,16 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     well under 1 MB) are broadcast; the pattern cuts a text into words and each
     word is merged by a segment tree of pair ranks. One pass, no shuffle. Null and
     empty texts have no tokens. Rows and ids may repeat or be null; each row is
-    encoded. Other columns are not looked at. Arrow batches are kept small, so
-    that memory is bounded by some long texts.
+    encoded; an empty table gives an empty result. Other columns are not looked
+    at. Arrow batches are kept small in rows and bytes, the words that a task
+    remembers by bytes, and both are freed with its partition.
     """
     spark = docs.sparkSession
     python_batches(spark)
-    tokens = load_ranks(rank_file)
-    key = hashlib.sha256(b"\n".join(base64.b64encode(t or b"") for t in tokens) + pattern.encode()).hexdigest()
-    shared = spark.sparkContext.broadcast((tokens, pattern))
+    shared = spark.sparkContext.broadcast((load_ranks(rank_file), pattern))
 
     def run(batches):
-        v = _vocabulary(key, shared)
+        v = Vocabulary(*shared.value)  # this task's own, freed with it
         for batch in batches:
             ids = encode_batch([t or "" for t in batch.column(1).to_pylist()], v)
             yield pa.RecordBatch.from_arrays(
@@ -249,12 +238,10 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     """(id, n_tokens, ids_sha256, decoded_sha256) of :func:`encode_documents`, hashed where the ids are made."""
     spark = docs.sparkSession
     python_batches(spark)
-    tokens = load_ranks(rank_file)
-    key = hashlib.sha256(b"\n".join(base64.b64encode(t or b"") for t in tokens) + pattern.encode()).hexdigest()
-    shared = spark.sparkContext.broadcast((tokens, pattern))
+    shared = spark.sparkContext.broadcast((load_ranks(rank_file), pattern))
 
     def run(batches):
-        v = _vocabulary(key, shared)
+        v = Vocabulary(*shared.value)  # this task's own, freed with it
         text = list(map(str, range(len(v.tokens))))
         for batch in batches:
             n, a, b = [], [], []

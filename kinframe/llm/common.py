@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -13,8 +14,10 @@ from pyspark.sql.types import StructType
 #: White space that separates words and is stripped from lines.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of text that go to a Python worker at once; bounds its memory.
-ARROW_ROWS = 1000
+#: Rows of text, and bytes of them, that go to a Python worker at once; bounds its memory.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: Bytes of words (estimated) that a task remembers at most.
+REMEMBERED = 24 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +27,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def python_batches(spark: SparkSession) -> None:
     """Make Python workers ready: ship this package to them, and keep Arrow batches of whole texts small.
 
-    The batch size is a session setting; a user's smaller value stays.
+    The batch sizes (rows, and bytes, so that long texts come few at a time) are
+    session settings that must still hold when a lazy result is computed; a
+    user's smaller values stay.
     """
     context, package = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if not getattr(context, "kinframe_shipped", False):
@@ -40,6 +45,32 @@ def python_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= ARROW_BYTES:  # told in bytes
+        spark.conf.set(key, ARROW_BYTES)
+
+
+class Remembered(dict):
+    """What one task knows by word already; it starts afresh beyond so many bytes and is freed with the task's partition."""
+
+    def __init__(self, most: int = REMEMBERED):
+        super().__init__()
+        self.most, self.bytes = most, 0
+
+    def room(self, words: int, chars: int, values: int = 1) -> None:
+        """Called before so many new words, with so many characters and numbers as values, are added."""
+        self.bytes += 240 * words + chars + 36 * values
+        if self.bytes > self.most:
+            self.clear()
+            self.bytes = 240 * words + chars + 36 * values
+
+
+def refuse_clash(df: DataFrame, keep, own) -> None:
+    """An error where kept columns are missing, or named like those that an operator adds."""
+    if clash := sorted({c.lower() for c in keep} & {c.lower() for c in own}):
+        raise ValueError(f"kept columns are named like those added: {clash}")
+    if missing := sorted(set(keep) - set(df.columns)):
+        raise ValueError(f"no such columns: {missing}")
 
 
 def widened(df: DataFrame, more: str) -> StructType:
@@ -47,15 +78,20 @@ def widened(df: DataFrame, more: str) -> StructType:
     return StructType(df.schema.fields + StructType.fromDDL(more).fields)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset on one machine, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinframe-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a folder of our own is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinframe-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -96,6 +132,19 @@ def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return free.union(rows.join(buckets, "__bucket", "left_semi").drop("__bucket").join(ids.select(id_col), id_col, "left_anti").select(*free.columns))
 
 
+def attach(df: DataFrame, found: DataFrame, keys: list[Column], value: str, out: str, default: Column) -> DataFrame:
+    """``df`` with ``value`` of the row of ``found`` (h1, h2, value; unique) whose keys are equal, else ``default``.
+
+    ``keys`` are the two hashes of a row of ``df``. Rows in no bucket (as in
+    :func:`only`) of ``found`` are not shuffled.
+    """
+    h1, h2 = (f"__{out}_h{i}" for i in (1, 2))
+    rows, buckets = _wanted(df.withColumns({h1: keys[0], h2: keys[1]}), found.withColumnsRenamed({"h1": h1, "h2": h2}), h1)
+    free = rows.join(buckets, "__bucket", "left_anti").select(*df.columns, default.alias(out))
+    met = rows.join(buckets, "__bucket", "left_semi").join(found.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col(value).alias(f"__{out}")), [h1, h2], "left")
+    return free.union(met.select(*df.columns, F.coalesce(f"__{out}", default).alias(out)))
+
+
 def _stars(pairs: DataFrame) -> bool:
     """Whether each node is either a leaf with one edge or a centre: nothing is left to do."""
     ends = pairs.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(pairs.select("b", F.lit(0), F.lit(1)))

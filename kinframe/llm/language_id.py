@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import python_batches, read, widened
+from kinframe.llm.common import python_batches, read, refuse_clash, widened
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
 _letter = regex.compile(r"\p{L}").search
@@ -104,18 +104,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 300, windows_per_doc: int = 6) -> ByteConvNet | None:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 300, windows_per_doc: int = 6, most_langs: int = 200) -> ByteConvNet | None:
     """Fit on a bounded sample: per language the ``docs_per_lang`` texts of least id hash, ``windows_per_doc`` windows of each.
 
-    Only texts with a letter and a language take part. The sample is drawn by a
-    hash threshold from exact counts per language, so no group meets in one task.
-    Returns None where nothing is labelled.
+    Only texts with a letter and a language take part, of the ``most_langs`` most
+    frequent languages (a bound for labels that are not clean). The sample is drawn
+    by a hash threshold from exact counts per language, so no group meets in one
+    task; the driver gets the windows, not the texts. Rows that repeat an id are
+    drawn together. Returns None where nothing is labelled (an empty table too).
     """
     spark = labelled.sparkSession
     python_batches(spark)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     draw = F.xxhash64(F.lit("language sample"), F.col(id_col))
-    counts = {r[0]: r[1] for r in labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
     if not counts:
         return None
     limit = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(2**62, 3 * docs_per_lang / n * 2**62))))))[F.col(lang_col)]
@@ -151,8 +153,11 @@ def predict_languages(docs: DataFrame, model: ByteConvNet | None, text_col: str
     Every window of the whole text is scored; the text's probabilities are the
     mean over its bytes. Null text, and text without a letter, is ``und`` with
     score 0; so is every text where no model could be trained. Map only: no
-    shuffle, memory bounded by small Arrow batches. Repeated rows are each scored.
+    shuffle, memory bounded by small Arrow batches. Repeated rows are each scored,
+    an empty table gives an empty result; columns that are not in ``keep`` are not
+    looked at, and one in it named like a new one is an error.
     """
+    refuse_clash(docs, keep, ("lang_pred", "score", "__text"))
     python_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text_col).alias("__text"))
 
@@ -183,6 +188,7 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document of ``documents``, learnt from the ids outside the held-out fold; `und` where there is no letter."""
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     out = predict_languages(docs, model)

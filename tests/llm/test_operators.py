@@ -241,6 +241,69 @@ def test_decontamination(spark):
         decontamination.mark_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), out_col="extra")
 
 
+def contaminated_by_brute_force(items, text):
+    """Every window against every passage, without the latent space; plain LCS."""
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    words, found = decontamination.words(text or ""), set()
+    for item, body, weight in items:
+        parts = decontamination.passages(decontamination.words(body))
+        best = {}
+        for k, p in enumerate(parts):
+            answer = decontamination.answer_words(body) if len(parts) == 1 else frozenset(p)
+            size = decontamination.span(len(p)) * decontamination.STRIDE
+            for at in range(0, max(1, len(words)), decontamination.STRIDE):
+                window = words[at : at + size]
+                share = lcs(p, window) / len(p)
+                got = sum(weight(w) for w in answer & set(window)) / sum(map(weight, sorted(answer)))
+                if share >= 0.8 or (share >= 0.55 and got >= 0.5):
+                    best[k] = max(best.get(k, 0), share)
+        if best and (2 * len(best) >= len(parts) or max(best.values()) >= 0.95):
+            found.add(item)
+    return found
+
+
+def test_decontamination_judges_each_window(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    body, answer = [word() for _ in range(24)], [word() for _ in range(6)]
+    item = " ".join(body) + ". " + " ".join(answer) + "."
+    noise = lambda k: [word() for _ in range(k)]
+    loose = body[:20] + noise(10)  # two thirds of the item, nothing of its answer
+    close = body[:12] + noise(12) + answer  # six tenths, and all of the answer
+    docs = docs_of(spark, [(0, " ".join(close)), (1, " ".join(loose)), (2, " ".join(loose + noise(100) + close)), *((k, " ".join(noise(60))) for k in range(3, 200))])
+    out = decontamination.mark_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {r.doc_id: [h.item for h in r.contaminated_by] for r in out.collect() if r.doc_id < 3 or r.contaminated_by} == {0: [7], 1: [], 2: [7]}
+
+
+def test_decontamination_finds_what_every_window_shows(spark):
+    d, r = "/root/testdata/sf0.01", random.Random(3)
+    benchmark = spark.read.parquet(f"{d}/benchmark.parquet").where("text is not null").select(F.col("item_id").cast("long"), "text")
+    items = [tuple(x) for x in benchmark.collect()]
+    texts = [x.text for x in spark.read.parquet(f"{d}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(60).collect()]
+    rows = []
+    for k in range(120):  # items with words changed, moved into other texts
+        w = items[k * 7 % len(items)][1].split()
+        for _ in range(r.randrange(len(w) // 2)):
+            w[r.randrange(len(w))] = r.choice(texts[k % len(texts)].split() or ["x"])
+        rows.append((k, f"{texts[k % len(texts)][:1500]} {' '.join(w)} {texts[(k + 1) % len(texts)][:500]}"))
+    docs = docs_of(spark, rows + [(900, None), (901, "")])
+    seen = collections.Counter(w for _, t in rows for w in set(decontamination.words(t)))
+    weight = lambda w: np.log((len(rows) + 3) / (seen[w] + 1.0)) ** 1.5 + 1e-3
+    want = {(i, x) for i, t in rows for x in contaminated_by_brute_force([(n, b, weight) for n, b in items], t)}
+    for block in (1000, len(items) // 2):  # one block, and several that meet the texts by hash
+        marked = decontamination.mark_contaminated(docs.withColumn("hits", F.lit(1)), benchmark, block_items=block)
+        assert marked.columns == ["doc_id", "text", "hits", "contaminated_by"] and marked.count() == len(rows) + 2
+        got = {(x.doc_id, h.item) for x in marked.collect() for h in x.contaminated_by}
+        assert got <= want and len(got) >= 0.95 * len(want) > 60, (block, len(got), len(want), len(got & want))
+
+
 def test_svd_finds_the_leading_space(spark):
     r = np.random.default_rng(1)
     a = r.normal(size=(60, 3)) @ r.normal(size=(3, 40)) + 0.01 * r.normal(size=(60, 40))
