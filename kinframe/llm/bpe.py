@@ -19,32 +19,48 @@ _LOW = np.int64(2**32 - 1)
 SIDE_BY_SIDE = 64
 
 
+def pair_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tokens whose join is a token: sorted keys (left rank, right rank) and the rank of each."""
+    ranks = {t: i for i, t in enumerate(tokens) if t is not None}
+    found = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                found[a << 32 | b] = rank
+    keys = np.fromiter(sorted(found), np.int64, len(found))
+    return keys, np.fromiter((found[k] for k in keys.tolist()), np.int64, len(keys))
+
+
 @dataclass
 class Vocabulary:
-    """Ranks by token and by pair of tokens. A token's id is its rank."""
+    """Tokens by rank, which is a token's id, and the pairs that merge. One for each task, freed with it."""
 
     tokens: list[bytes]
     pattern: str
+    keys: np.ndarray
+    values: np.ndarray
     ranks: dict[bytes, int] = field(init=False)
-    pairs: dict[int, int] = field(init=False)
-    keys: np.ndarray = field(init=False)
-    values: np.ndarray = field(init=False)
     single: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.ranks = {t: i for i, t in enumerate(self.tokens) if t is not None}
-        self.pairs = {}
-        for token, rank in self.ranks.items():
-            for cut in range(1, len(token)):
-                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = rank
-        self.keys = np.fromiter(sorted(self.pairs), np.int64, len(self.pairs))
-        self.values = np.fromiter((self.pairs[k] for k in self.keys.tolist()), np.int64, len(self.pairs))
+        self.numbers = list(range(len(self.tokens)))  # so that equal ids are one object
+        self.ranks = {t: i for t, i in zip(self.tokens, self.numbers) if t is not None}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.split = regex.compile(self.pattern).findall
         self.memory = Remembered()
 
+    @classmethod
+    def of(cls, rank_file: str, pattern: str) -> Vocabulary:
+        tokens = load_ranks(rank_file)
+        return cls(tokens, pattern, *pair_table(tokens))
+
+    def rank(self, a: int, b: int) -> int | None:
+        """Rank of one joined pair."""
+        want = a << 32 | b
+        at = int(np.searchsorted(self.keys, want))
+        return int(self.values[at]) if at < len(self.keys) and self.keys[at] == want else None
+
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, ``_NONE`` where the join is no token."""
         want = a << 32 | b
@@ -74,14 +90,14 @@ def merge_long(word: bytes, v: Vocabulary) -> tuple[int, ...]:
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     size = 1 << max(0, n - 1).bit_length()
     tree = [int(_NONE)] * (2 * size)
-    pairs, none = v.pairs, int(_NONE)
+    none = int(_NONE)
 
     def leaf(i: int) -> int:
-        rank = pairs.get(token[i] << 32 | token[after[i]]) if after[i] < n else None
+        rank = v.rank(token[i], token[after[i]]) if after[i] < n else None
         return none if rank is None else rank << 32 | i
 
-    for i in range(n):
-        tree[size + i] = leaf(i)
+    first = v.pair_ranks(np.array(token[:-1]), np.array(token[1:]))
+    tree[size : size + n - 1] = np.where(first < _NONE, first << 32 | np.arange(n - 1), _NONE).tolist()
     for x in range(size - 1, 0, -1):
         tree[x] = min(tree[2 * x], tree[2 * x + 1])
 
@@ -176,18 +192,13 @@ def _merge_rows(words, n, size, v, out, place) -> None:
             refresh(live[left], p[left])
         live = live[tree[live, 1] < _NONE]
     for k, t, a in zip(place.tolist(), token, alive):
-        out[k] = tuple(t[a].tolist())
+        out[k] = tuple(map(v.numbers.__getitem__, t[a].tolist()))
 
 
 def encode_batch(texts: list[str], v: Vocabulary) -> list[list[int]]:
     """Token ids of each text; words seen before come from the task's bounded memory."""
     memory, split = v.memory, [v.split(t) for t in texts]
-    every = {x for s in split for x in s}
-    fresh = [x for x in every if x not in memory]
-    chars = sum(map(len, fresh))
-    memory.room(len(fresh), chars, chars // 2)
-    if not memory:  # it was full, and starts afresh
-        fresh = list(every)
+    fresh = memory.unknown({x for s in split for x in s})
     short_text, short = [], []
     for x in fresh:
         raw = x.encode()
@@ -210,8 +221,8 @@ def decode(ids: list[int], v: Vocabulary) -> bytes:
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text; returns (id, ids array<int>, decoded binary).
 
-    The rank file is read where the job is planned and its tokens (a fixed file,
-    well under 1 MB) are broadcast; the pattern cuts a text into words and each
+    The rank file is read where the job is planned; its tokens and their pairs (a
+    fixed file, some MB) are broadcast; the pattern cuts a text into words and each
     word is merged by a segment tree of pair ranks. One pass, no shuffle. Null and
     empty texts have no tokens. Rows and ids may repeat or be null; each row is
     encoded; an empty table gives an empty result. Other columns are not looked
@@ -220,7 +231,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     """
     spark = docs.sparkSession
     python_batches(spark)
-    shared = spark.sparkContext.broadcast((load_ranks(rank_file), pattern))
+    shared = spark.sparkContext.broadcast((tokens := load_ranks(rank_file), pattern, *pair_table(tokens)))
 
     def run(batches):
         v = Vocabulary(*shared.value)  # this task's own, freed with it
@@ -238,7 +249,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     """(id, n_tokens, ids_sha256, decoded_sha256) of :func:`encode_documents`, hashed where the ids are made."""
     spark = docs.sparkSession
     python_batches(spark)
-    shared = spark.sparkContext.broadcast((load_ranks(rank_file), pattern))
+    shared = spark.sparkContext.broadcast((tokens := load_ranks(rank_file), pattern, *pair_table(tokens)))
 
     def run(batches):
         v = Vocabulary(*shared.value)  # this task's own, freed with it
@@ -256,6 +267,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of ``documents``; null and empty texts have no token."""
     import public_tokenizers
 
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of text, and bytes of them, that go to a Python worker at once; bounds its memory.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: Bytes of words (estimated) that a task remembers at most.
-REMEMBERED = 24 << 20
+REMEMBERED = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,18 +51,40 @@ def python_batches(spark: SparkSession) -> None:
 
 
 class Remembered(dict):
-    """What one task knows by word already; it starts afresh beyond so many bytes and is freed with the task's partition."""
+    """What one task knows by word already, in two generations of so many (estimated) bytes together.
+
+    Where the younger is full it becomes the older, which is forgotten but for the
+    words asked for again. Freed with the task's partition.
+    """
 
     def __init__(self, most: int = REMEMBERED):
         super().__init__()
-        self.most, self.bytes = most, 0
+        self.most, self.bytes, self.older = most, 0, {}
 
-    def room(self, words: int, chars: int, values: int = 1) -> None:
-        """Called before so many new words, with so many characters and numbers as values, are added."""
-        self.bytes += 240 * words + chars + 36 * values
-        if self.bytes > self.most:
+    def _rotate(self) -> None:
+        if self.bytes > self.most // 2:
+            self.older, self.bytes = dict(self), 0
             self.clear()
-            self.bytes = 240 * words + chars + 36 * values
+
+    def unknown(self, words) -> list:
+        """Those of the distinct ``words`` that are new; all others can be looked up until the next call."""
+        self._rotate()
+        out = []
+        for w in words:
+            if w not in self:
+                self.bytes += 240 + len(w)
+                v = self.older.get(w)
+                if v is None:
+                    out.append(w)
+                else:
+                    self[w] = v
+        return out
+
+    def put(self, word: str, value):
+        self._rotate()
+        self.bytes += 240 + len(word)
+        self[word] = value
+        return value
 
 
 def refuse_clash(df: DataFrame, keep, own) -> None:
@@ -156,19 +178,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternates large-star and small-star rounds, which turn any graph into stars
     in logarithmically many rounds; each round is one pair of shuffles on the
-    edges, and the edges are cut to the checkpoint folder. Only nodes with an
-    edge are returned. Nothing but whether all are stars reaches the driver.
+    edges. Least neighbours come by partial aggregation and are cut to the
+    checkpoint folder before they meet the edges, so that the join of a centre with
+    very many edges is one that Spark splits. Only nodes with an edge are returned.
+    Nothing but whether all are stars reaches the driver.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if _stars(pairs):
             break
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: larger neighbours of a node move to the least of its neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: smaller neighbours of a node, and it, move to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         pairs = cut(star.where("a <> b").distinct())
     else:
