@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import ASCII_SPACE, ascii_lower, hash128, read
+from kinframe.llm.common import ASCII_SPACE, ascii_lower, cut, hash128, read, refuse_clash
 
 
 def line_key(line: Column) -> Column:
@@ -27,16 +27,19 @@ def dedup_lines(
     of each hash counted with partial aggregation, so that a line that stands in
     every document is a few partial rows, never a group in one task. For
     ``min_docs=2`` "two distinct ids" is ``min <> max``, one shuffle; beyond, ids
-    are counted distinctly. The positions to drop then meet their document, and
-    the rest is put together by position. Text is shuffled once, by document.
+    are counted distinctly. The repeated hashes are cut to the checkpoint folder, so
+    that they meet the lines in a join that Spark splits where one line is very
+    common. The positions to drop then meet their document, and the rest is put
+    together by position. Text is shuffled once, by document.
 
     Returns (id, lines long, dropped long, text, and the columns ``keep``):
     ``text`` is the kept text.
     Null or empty text is one empty line. Rows with a null id count nowhere and
     lose nothing. Rows that repeat an id count as one document; each row is
-    returned. Other columns are not looked at. An empty table
-    gives an empty result.
+    returned. Other columns are not looked at; one in ``keep`` named like a new one
+    is an error. An empty table gives an empty result.
     """
+    refuse_clash(docs, keep, (id_col, "lines", "dropped", "text"))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.struct(F.lit(0), *keep).alias("kept_columns"))
     base = base.select("id", F.xxhash64("body").alias("tk"), F.split("body", "\n", -1).alias("lines"), "kept_columns")
     h1, h2 = hash128(F.col("key"))
@@ -52,7 +55,7 @@ def dedup_lines(
     else:
         repeated = lines.groupBy("h1", "h2").agg(F.min("id").alias("home"), F.countDistinct("id").alias("n")).where(F.col("n") >= min_docs)
     drops = (
-        lines.join(repeated.select("h1", "h2", "home"), ["h1", "h2"])
+        lines.join(cut(repeated.select("h1", "h2", "home")), ["h1", "h2"])
         .where("id <> home")
         .groupBy("id", "tk")
         .agg(F.collect_list("pos").alias("drop"))
@@ -72,6 +75,7 @@ def dedup_lines(
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of what is left of every document of ``documents``; null and empty texts are one empty line."""
     out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
