@@ -185,11 +185,13 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     1. Each text gives its shingle set and a 128-bit digest of it. Texts of one
        digest are one class, met by partial aggregation; only the least id of a
        class goes on, and gives the join keys of its parity sketches.
-    2. Keys are shuffled once; a window keeps those met twice, and holds no group
-       in memory. In each bucket (a key) every set is paired with the bucket's
-       least id, a star instead of all pairs; of each set the pair that met most
-       often is verified exactly on whole texts, and linked sets joined to
-       components.
+    2. Keys are shuffled once; a window keeps those met twice. In each bucket (a key)
+       every set is paired with the bucket's leader, its least id: a star instead of
+       all pairs. Keys that very many sets hold are told beforehand from a bounded
+       sample, which also gives their leaders; they are dealt over many tasks. (The
+       sample shapes the tasks and the choice of leaders, not the result.) Of each set
+       the pair that met most often is verified exactly on whole texts, and linked
+       sets joined to components.
     3. Buckets that still hold several components give their pairs at once where
        they have a handful of members (a similar pair has more equal words than
        a chance one, which is told by counting); all pairs must also pass by a
@@ -201,13 +203,15 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        below), then by text. No partner and no bucket is capped.
 
     Null texts and texts without a word have no shingles and stay alone. Ids must
-    be integers; rows with a null id are left out, rows that repeat an
-    id with the same text are one document (with another text, which of them is
-    compared is not defined). Extra columns are not looked at.
+    be integers. Rows of null id are returned with a null component and link with
+    nothing. Rows that repeat an id are one document, which links by any of its
+    texts; each row is returned. An empty table gives an empty result. Extra columns
+    are not looked at.
     """
     spark = docs.sparkSession
     python_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = every.where("id is not null")
 
     def digested(batches):
         for batch in batches:
@@ -221,13 +225,24 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             ids, keys = batch.column(0).to_numpy(), [join_keys(h, percent) if len(h) else np.zeros(0, np.uint64) for h in (shingles(t, n) for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, list(map(len, keys))))], ["key", "id"])
 
-    sizes = cut(base.mapInArrow(digested, "id long, n long, digest binary, need int, short array<long>"))
+    sized = cut(every.mapInArrow(digested, "id long, n long, digest binary, need int, short array<long>"))
+    sizes = sized.where("id is not null")
+    none = F.coalesce("digest", F.lit(b""))
+    repeated = cut(sizes.groupBy("id").agg(F.min(none).alias("lo"), F.max(none).alias("hi")).where("lo <> hi").select("id"))
+    if not repeated.isEmpty():
+        return _with_repeated_ids(every, repeated, n, percent, leader_rounds, block).withColumnRenamed("id", id_col)
     classes = sizes.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     members = cut(sizes.where("digest is not null").select("id", "digest").join(classes, "digest").select("id", "rep"))
     copies = members.where("id <> rep").select("id").distinct()
-    keyed = without(base, copies, "id").mapInArrow(keys_of, "key long, id long")
-    here = Window.partitionBy("key")
-    buckets = cut(keyed.select("key", "id", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z")).where("a <> z").select("key", "id", "a"))
+    own = without(base, copies, "id")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("leaders"), "id"), 2) < int(min(2**62, SAMPLE / max(1, classes.count()) * 2**62))
+    led = own.where(draw).mapInArrow(keys_of, "key long, id long").groupBy("key").agg(F.countDistinct("id").alias("c"), F.min("id").alias("leader"))
+    led = F.broadcast(cut(led.where(F.col("c") >= HEAVY).select("key", "leader")))
+    keyed = own.mapInArrow(keys_of, "key long, id long").join(led, "key", "left")
+    here = Window.partitionBy("key", "part")
+    parted = keyed.withColumn("part", F.when(F.col("leader").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(1024)).cast("int")))
+    met = parted.select("key", "id", "leader", F.min("id").over(here).alias("a"), F.max("id").over(here).alias("z"))
+    buckets = cut(met.where("leader is not null or a <> z").select("key", "id", F.coalesce("leader", "a").alias("a")))
     length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"))
 
     def fit(pairs: DataFrame, floor: Column, best: bool = False) -> DataFrame:
@@ -251,11 +266,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         comp = connected_components(links)
         known = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("total")).where("lo <> hi").select("key", "total")
-        open_ = cut(known.join(mixed, "key"))
+        open_ = cut(known.join(cut(mixed), "key"))  # both sides as they are, so that a large bucket can be split
         ordered = lambda p: p.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         if turn < leader_rounds:
             draw = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "component")
             heads = open_.where(F.col("total") > SMALL).groupBy("key").agg(F.min(draw).alias("head")).select("key", "head.id", "head.component").toDF("key", "a", "head_component")
+            heads = cut(heads)
             pairs = fit(ordered(open_.join(heads, "key").where("component <> head_component").select("a", "id")), F.lit(1))
         else:
             pairs = fit(ordered(_open_pairs(open_, sizes, percent, block)), F.lit(1))
@@ -264,13 +280,27 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         links = cut(links.union(_verify(pairs, base, n, percent)).distinct())
         buckets = open_.where(F.col("total") > SMALL).select("key", "id")
     comp = connected_components(links.union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
-    return (
-        sizes.select("id", F.col("n").alias("n_shingles"))
-        .join(comp.withColumnRenamed("node", "id"), "id", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component"))
-    )
-
-
+    placed = sizes.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    return placed.union(sized.where("id is null").select("id", "n", "id")).toDF(id_col, "n_shingles", "component")
+
+
+def _with_repeated_ids(rows: DataFrame, repeated: DataFrame, n: int, percent: int, leader_rounds: int, block: int) -> DataFrame:
+    """The components where ids of ``repeated`` have several texts: each text is a row of its own, then rows of one id are one."""
+    marked = rows.join(repeated.withColumn("several", F.lit(True)), "id", "left")
+    marked = marked.withColumn("row", F.when(F.col("several"), F.xxhash64(F.lit("row"), "id", "text")).otherwise(F.col("id")))
+    found = similar_components(marked.select("row", "text"), n, percent, "row", "text", leader_rounds, block)
+    found = cut(found.join(marked.where("id is not null").select("row", "id").distinct(), "row", "left"))
+    known = found.where("id is not null")
+    least = cut(known.groupBy("id").agg(F.min("component").alias("a")))
+    one = connected_components(known.join(least, "id").select("a", F.col("component").alias("b")).where("a <> b").distinct()).toDF("component", "label")
+    labelled = known.join(one, "component", "left").withColumn("label", F.coalesce("label", "component"))
+    named = cut(labelled.groupBy("label").agg(F.min("id").alias("component")))
+    out = labelled.drop("component").join(named, "label").select("id", "n_shingles", "component")
+    return out.union(found.where("id is null").select("id", "n_shingles", "id"))
+
+
+#: Sets of the sample that tells which keys very many sets hold, and how many of them make a key one of those.
+SAMPLE, HEAVY = 10_000, 20
 #: Buckets of up to so many members give their few pairs at once.
 SMALL = 8
 
@@ -291,7 +321,7 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
     counts = open_.groupBy("key", "component").agg(F.count("*").alias("c"))
     shape = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total")).select(
         "key", F.col("top.component").alias("top"), F.ceil(F.col("total") / block).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.c")) / block).cast("int").alias("rows"))
-    placed = open_.select("key", "id", "component").join(shape, "key").withColumn("h", F.xxhash64(F.lit("block"), "id"))
+    placed = open_.select("key", "id", "component").join(cut(shape), "key").withColumn("h", F.xxhash64(F.lit("block"), "id"))
     others = placed.where("component <> top").select("key", "id", "component", F.lit(True).alias("probe"), F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
     every = placed.select("key", "id", "component", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("h", "columns").cast("int").alias("j"))
 
@@ -334,5 +364,6 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity 0.9, over every document of ``documents``; null and wordless texts are alone."""
     out = similar_components(read(spark, sf_dir, "documents"), n=3, percent=90)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
