@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinframe.llm.common import read
+from kinframe.llm.common import read, refuse_clash
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURNS = "array<struct<role:string,text:string>>"
@@ -102,19 +102,23 @@ def canonical_turns(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     A struct column has one layout, fingerprinted from its schema when the plan
     is made: nothing is computed per row. A string column holds JSON of any
     layout; each row's nested field paths are hashed and the hash selects the
-    mapping. Rows of an unknown layout, or whose JSON is broken, stay with null
-    in both columns. Null texts and roles are empty strings.
+    mapping. Only paths that some mapping names take part, so that an id or a source
+    beside them changes nothing. Rows of an unknown layout, of two at once, or whose
+    JSON is broken, stay with null in both columns. Null texts and roles are empty
+    strings; an empty table gives an empty one. A column of ``df`` named like a new
+    one is an error.
     """
-    dtype, by_hash = df.schema[record].dataType, {fingerprint(x.paths): x for x in layouts}
+    refuse_clash(df, df.columns, ("layout", "turns", "__variant", "__hash"))
+    dtype, by_hash, named = df.schema[record].dataType, {fingerprint(x.paths): x for x in layouts}, {p for x in layouts for p in x.paths}
     if isinstance(dtype, T.StructType):
-        layout = by_hash.get(fingerprint(schema_paths(dtype)))
+        layout = by_hash.get(fingerprint(named & set(schema_paths(dtype))))
         if layout is None:
             return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(_TURNS)})
         read_field = lambda p: F.col(record)[p].cast("string")
         read_list = lambda a, r, t: F.transform(F.col(record)[a], lambda x: F.struct(x[r].cast("string").alias("role"), x[t].cast("string").alias("text")))
         return df.withColumns({"layout": F.lit(layout.name), "turns": _turns(layout, read_field, read_list)})
     v, h = "__variant", "__hash"
-    df = df.withColumn(v, F.try_parse_json(F.col(record))).withColumn(h, F.sha2(F.array_join(_variant_paths(F.col(v)), "\n"), 256))
+    df = df.withColumn(v, F.try_parse_json(F.col(record))).withColumn(h, F.sha2(F.array_join(F.filter(_variant_paths(F.col(v)), lambda p: p.isin(*sorted(named))), "\n"), 256))
     read_field = lambda p: F.try_variant_get(F.col(v), f"$.{p}", "string")
     read_list = lambda a, r, t: F.transform(
         F.try_variant_get(F.col(v), f"$.{a}", "array<variant>"),
@@ -151,14 +155,15 @@ def format_chats(turns: DataFrame, id_col: str, order_col: str, turns_col: str =
     role and text escaped. ``segments`` cuts the string into (piece, loss)
     spans in order: their pieces joined are ``formatted``, and ``loss`` marks
     the texts of ``trained_role`` alone. Rows of an id come in the order of
-    ``order_col``; ties by role and text. Rows without turns (null) add nothing
-    and an id with only such rows has no result. A conversation is one output
-    value, so its turns meet in one task by nature; nothing else does.
+    ``order_col``; ties by role and text. Rows without turns (null) add nothing;
+    an id with only such rows has no turn and an empty string. Null ids are one
+    conversation, an empty table gives an empty result. A conversation is one
+    output value, so its turns meet in one task by nature; nothing else does.
 
     Returns (id, n_turns, formatted, segments).
     """
-    one = turns.select(F.col(id_col).alias("id"), F.col(order_col).alias("o"), F.posexplode(turns_col).alias("p", "t"))
-    groups = one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "p", "t"))).alias("ts"))
+    one = turns.select(F.col(id_col).alias("id"), F.col(order_col).alias("o"), F.posexplode_outer(turns_col).alias("p", "t"))
+    groups = one.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("o", "p", "t")))).alias("ts"))
     pieces = groups.select("id", F.size("ts").cast("long").alias("n_turns"), F.flatten(F.transform("ts", lambda x: F.array(
         F.struct(F.concat(F.lit(START), _escape_role(x["t"]["role"]), F.lit("\n")).alias("piece"), F.lit(False).alias("loss")),
         F.struct(escape(x["t"]["text"]).alias("piece"), (x["t"]["role"] == trained_role).alias("loss")),
@@ -178,6 +183,7 @@ def parse_chat(formatted: Column) -> Column:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted ``conversations`` and the hostile one (-1); null roles and texts are empty."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("role", "text").alias("record"))
     typed = canonical_turns(rows, "record").select("conv_id", "turn", "turns")
     hostile = END + START + "assistant ok"

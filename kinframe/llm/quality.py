@@ -11,11 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import python_batches, read, widened
+from kinframe.llm.common import Remembered, python_batches, read, refuse_clash, widened
 from kinframe.llm.language_id import fold
 
 BITS = 18
-_memory: dict[str, int] = {}
 _capitals, _digits, _equal = (regex.compile(p) for p in (r"\p{Lu}+", r"\p{N}+", r"(.)\1+"))
 _letters = regex.compile(r"[\p{L}--A]+", regex.V1)
 
@@ -27,18 +26,16 @@ def buckets(word: str) -> int:
     return hashed("w " + word.lower()) << 32 | hashed("s " + shape)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, word shapes, and the share of words equal to the one before, each block of unit length."""
+def features(text: str, memory: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, word shapes, and the share of words equal to the one before, each block of unit length; ``memory`` is the task's."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    if len(_memory) > 400_000:
-        _memory.clear()
-    found = list(map(_memory.get, words))
+    found = list(map(memory.get, words))
     if None in found:
-        for i, known in enumerate(found):
-            if known is None:
-                found[i] = _memory[words[i]] = buckets(words[i])
+        for w in memory.unknown(set(words)):
+            memory[w] = buckets(w)
+        found = list(map(memory.__getitem__, words))
     both = np.array(found, np.int64)
     word, shape = both >> 32, both & 0xFFFFFFFF
     (wi, wn), (si, sn) = (np.unique(x, return_counts=True) for x in (word, shape))
@@ -115,10 +112,11 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_col: str = "doc_
     drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known.where(F.shiftrightunsigned(draw, 2) < limit)), "id").select(draw.alias("draw"), "y", "text")
 
     def extract(batches):
+        memory = Remembered()
         for batch in batches:
             d, y, i, x = [], [], [], []
             for a, c, t in zip(*(col.to_pylist() for col in batch.columns)):
-                idx, val = features(t)
+                idx, val = features(t, memory)
                 if len(idx):
                     d.append(a)
                     y.append(c)
@@ -141,18 +139,21 @@ def score_quality(docs: DataFrame, model: CumulativeLink | None, n_grades: int,
     """Columns ``keep`` of every row with ``expected_grade`` and ``tails``, the array of P(grade > k).
 
     Whole texts, map only. Null texts and texts without a word have grade 0 and
-    tails 0; so has every text where no model could be trained.
+    tails 0; so has every text where no model could be trained. Repeated rows are
+    each scored, an empty table gives an empty result; columns that are not in
+    ``keep`` are not looked at, and one in it named like a new one is an error.
     """
+    refuse_clash(docs, keep, ("expected_grade", "tails", "__text"))
     python_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text_col).alias("__text"))
     parts = (model.weights.astype(np.float32), model.first, model.gaps) if model else None
 
     def run(batches):
-        net = CumulativeLink(*parts) if parts else None
+        net, memory = CumulativeLink(*parts) if parts else None, Remembered()
         for batch in batches:
             tails = []
             for t in batch.column(batch.num_columns - 1).to_pylist():
-                idx, x = features(t) if t and net else ((), ())
+                idx, x = features(t, memory) if t and net else ((), ())
                 tails.append(net.tails([float(net.weights[idx] @ x)])[0].tolist() if len(idx) else [0.0] * (n_grades - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sum(t) for t in tails], pa.float64()), pa.array(tails, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "expected_grade", "tails"])
 

@@ -123,6 +123,7 @@ def assign_shards(
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 of ``documents`` by law ``key``, and the shard with one more; null texts have size 1."""
     out = assign_shards(read(spark, sf_dir, "documents"), topology(8), topology(9))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 

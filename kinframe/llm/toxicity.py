@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import python_batches, read, widened
+from kinframe.llm.common import Remembered, python_batches, read, refuse_clash, widened
 from kinframe.llm.language_id import fold
 
 BITS = 20
@@ -45,15 +45,14 @@ class NoisyOr:
     bias: float
 
     def __post_init__(self):
-        self.memory: dict[str, float] = {}
+        self.memory = Remembered()
 
     def word(self, word: str) -> float:
         """Sum of a word's weights, remembered within bounds."""
         v = self.memory.get(word)
         if v is None:
-            if len(self.memory) > 500_000:
-                self.memory.clear()
-            v = self.memory[word] = float(self.weights[grams(word)].sum())
+            v = self.memory.older.get(word)
+            v = self.memory.put(word, float(self.weights[grams(word)].sum()) if v is None else v)
         return v
 
     def logits(self, sentences: list[set[str]]) -> np.ndarray:
@@ -105,13 +104,14 @@ class NoisyOr:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 2000, longest: int = 20_000) -> NoisyOr | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 2000, longest: int = 10_000) -> NoisyOr | None:
     """Fit on a bounded sample: per class the ``docs_per_class`` labelled documents of least id hash.
 
     The ids drawn are broadcast (about 1.5 times the bound at most), so no text is shuffled.
-    The sample takes texts of at most ``longest`` characters that have a word,
-    which bounds what reaches the driver; rows with a null label or id are left
-    out. None where a class is missing.
+    The sample takes texts of at most ``longest`` characters that have a word; the
+    driver gets the distinct words of their sentences. Rows with a null label or id
+    are left out, of repeated labels the greatest counts, rows that repeat an id are
+    drawn together. None where a class is missing (an empty table too).
     """
     python_batches(docs.sparkSession)
     draw = F.xxhash64(F.lit("toxicity sample"), F.col("id"))
@@ -121,12 +121,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     limit = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(2**62, 1.5 * docs_per_class / n * 2**62))))))[F.col("y")]
     drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= longest).join(F.broadcast(known.where(F.shiftrightunsigned(draw, 2) < limit)), "id")
+
+    def extract(batches):
+        for batch in batches:
+            out = [(d, y, [sorted(s) for s in instances(t)[0]]) for d, y, t in zip(*(c.to_pylist() for c in batch.columns))]
+            d, y, sentences = zip(*(x for x in out if x[2])) if any(x[2] for x in out) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(y, pa.int32()), pa.array(sentences, pa.list_(pa.list_(pa.string())))], ["draw", "y", "sentences"])
+
     taken, sample = {0: 0, 1: 0}, []
-    for r in sorted(drawn.select(draw.alias("draw"), "y", "text").collect(), key=lambda r: (r.draw, r.y, r.text)):
-        words, _ = instances(r.text)
-        if words and taken[r.y] < docs_per_class:
+    bags = drawn.select(draw.alias("draw"), "y", "text").mapInArrow(extract, "draw long, y int, sentences array<array<string>>")
+    for r in sorted(bags.collect(), key=lambda r: (r.draw, r.y, r.sentences)):
+        if taken[r.y] < docs_per_class:
             taken[r.y] += 1
-            sample.append((words, r.y))
+            sample.append(([set(s) for s in r.sentences], r.y))
     if not all(taken.values()):
         return None
     return NoisyOr(np.zeros(1 << BITS), -7.0).fit(sample)
@@ -138,8 +145,11 @@ def score_toxicity(docs: DataFrame, model: NoisyOr | None, text_col: str = "text
     ``score`` is the noisy-or over all sentences of the whole text, ``sentences``
     lists (start, end, score) in code points of those at ``sentence_at`` or more.
     Texts that are null or have no word score 0 and have no sentences; so has
-    every text where no model could be trained. Map only, no shuffle.
+    every text where no model could be trained. Map only, no shuffle. Repeated rows
+    are each scored, an empty table gives an empty result; columns that are not in
+    ``keep`` are not looked at, and one in it named like a new one is an error.
     """
+    refuse_clash(docs, keep, ("score", "sentences", "__text"))
     python_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text_col).alias("__text"))
     weights, bias = (model.weights.astype(np.float32), model.bias) if model else (None, 0.0)
@@ -166,6 +176,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr | None, text_col: str = "text
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document of ``documents``, learnt from the labels outside the held-out fold; null and wordless texts score 0."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold("doc_id", 5) != 0))
     out = score_toxicity(docs, model)

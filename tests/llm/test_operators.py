@@ -68,12 +68,20 @@ def test_chat_round_trip_and_layouts(spark):
         (1, '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}'),
         (2, '{"prompt": "p", "completion": "c"}'), (3, '{"instruction": "i", "input": "", "output": "o"}'),
         (4, '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}'), (5, "not json"), (6, '{"other": 1}'), (7, None),
+        (8, '{"id": 3, "source": {"x": "y"}, "prompt": "p", "completion": null}'), (9, '{"prompt": "p", "completion": "c", "messages": []}'),
     ]
     got = chat_format.canonical_turns(spark.createDataFrame(records, "id long, record string"), "record")
     seen = {r.id: (r.layout, [(t.role, t.text) for t in r.turns] if r.turns else None) for r in got.collect()}
     assert seen[1] == ("messages", [("user", "hi"), ("assistant", "yo")]) and seen[2] == ("prompt", [("user", "p"), ("assistant", "c")])
     assert seen[3] == ("instruction", [("user", "i"), ("assistant", "o")]) and seen[4] == ("shared", [("user", "q"), ("assistant", "a")])
-    assert seen[5] == seen[6] == seen[7] == (None, None)
+    assert seen[5] == seen[6] == seen[7] == seen[9] == (None, None)
+    assert seen[8] == ("prompt", [("user", "p"), ("assistant", "")])
+    mixed = {r.id: r for r in chat_format.format_chats(got.withColumn("o", F.lit(0)), "id", "o").withColumn("back", chat_format.parse_chat(F.col("formatted"))).collect()}
+    assert {i: [(t.role, t.text) for t in mixed[i].back] for i in seen} == {i: seen[i][1] or [] for i in seen}
+    assert mixed[5].n_turns == 0 and mixed[5].formatted == ""
+    assert chat_format.format_chats(got.where("false").withColumn("o", F.lit(0)), "id", "o").count() == 0
+    with pytest.raises(ValueError):
+        chat_format.canonical_turns(got, "record")
     rows = [(1, 0, "user", hostile), (1, 1, "assistant", hostile), (1, 2, None, None), (2, 0, "role\nx", "t")]
     typed = chat_format.canonical_turns(spark.createDataFrame(rows, "id long, o long, role string, text string").select("id", "o", F.struct("role", "text").alias("r")), "r")
     chats = chat_format.format_chats(typed, "id", "o").withColumn("back", chat_format.parse_chat(F.col("formatted")))
@@ -176,7 +184,38 @@ def test_words_have_hashes_of_their_own():
 
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.similar_components(docs_of(spark, [])).count() == 0
-    assert jaccard_join.similar_components(docs_of(spark, [(None, "a b c"), (1, None)])).collect()[0].n_shingles == 0
+    got = {x.doc_id: (x.n_shingles, x.component) for x in jaccard_join.similar_components(docs_of(spark, [(None, "a b c"), (1, None)])).collect()}
+    assert got == {None: (1, None), 1: (0, 1)}
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (2, b + " more"), (9, c), (9, c), (4, None), (4, c + " x"), (None, a)]
+    got = collections.defaultdict(set)
+    for x in jaccard_join.similar_components(docs_of(spark, rows)).collect():
+        got[x.doc_id].add((x.n_shingles, x.component))
+    assert got == {5: {(36, 2)}, 7: {(37, 2)}, 2: {(37, 2)}, 9: {(36, 4)}, 4: {(0, 4), (37, 4)}, None: {(36, None)}}
+
+
+def test_jaccard_join_of_long_texts_and_keys_that_many_hold(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
+    rows = []
+    for size in (2480, 2600, 5000):  # about the limit beyond which short sketches are larger
+        base = [word() for _ in range(size)]
+        for edits in (0, 10, 30, 60, 90):
+            w = list(base)
+            for k in r.sample(range(size), edits):
+                w[k] = word()
+            rows.append((len(rows), " ".join(w)))
+    crowd = [word() for _ in range(30)]
+    for k in range(60):  # near copies of one text, in groups that are not alike
+        w = crowd[:22] + [word() for _ in range(8)] if k % 3 else list(crowd)
+        w[r.randrange(len(w))] = word()
+        rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "HEAVY", 5)
+    got = {x.doc_id: (x.n_shingles, x.component) for x in jaccard_join.similar_components(docs_of(spark, rows), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
 
 
 def test_embedding_links(spark):
@@ -188,15 +227,25 @@ def test_embedding_links(spark):
     rows += [(1000 + k, rows[0][1], 0) for k in range(30)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, rows[0][1], None), (2004, [1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df, leaf=40, block=25).collect()}
-    links = collections.Counter()
+    links, up = collections.Counter(), {i: i for i in got}
     sound = [(i, np.array(v), g) for i, v, g in rows if i < 2000]
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
     for a, (i, v, g) in enumerate(sound):
         for j, w, q in sound[a + 1 :]:
             if g == q and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
                 links.update((i, j))
+                k, m = root(i), root(j)
+                up[max(k, m)] = min(k, m)
     assert sum(x.n_links for x in got.values()) >= 0.97 * sum(links.values())
     assert all(got[i].n_links <= links[i] for i in got)
     assert all(got[i].n_links == 0 and got[i].component == i for i in range(2000, 2005))
+    assert {i: got[i].component for i in got} == {i: root(i) for i in got}
+    assert all(x.kept == (x.component == i) for i, x in got.items())
     assert got[1005].component == 0 and not got[1005].kept and got[0].kept
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
@@ -209,11 +258,10 @@ def test_embedding_sample_is_bounded_over_all_labels(spark, monkeypatch):
         for k in range(60):
             v = centre + r.normal(size=12) if k % 2 == 0 else v + r.normal(size=12) * 0.03
             rows.append((g * 60 + k, [float(x) for x in v], f"label {g}"))
-    fitted, fit = [], embedding_dedup.Forest.fit.__func__
-    monkeypatch.setattr(embedding_dedup.Forest, "fit", classmethod(lambda cls, sample, *a: (fitted.append(len(sample)), fit(cls, sample, *a))[1]))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
-    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(df, leaf=20, block=15, sample_rows=50).collect()}
-    assert 0 < sum(fitted) < 150
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(df, leaf=20, block=15, sample_rows=50, most_sample_rows=60).collect()}
+    monkeypatch.setattr(embedding_dedup, "FEW_GROUPS", 3)  # the table of groups is joined
+    assert got == {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(df, leaf=20, block=15, sample_rows=50, most_sample_rows=60).collect()}
     x = np.array([v for _, v, _ in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     alike = (x @ x.T >= 0.98) & (np.arange(1800)[:, None] // 60 == np.arange(1800) // 60)
@@ -365,3 +413,105 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
+
+
+def test_languages_by_a_plain_convolution(spark):
+    docs, _, _ = table(spark)
+    model = language_id.train(docs)
+    texts = [x.text for x in docs.where("length(text) < 1500").orderBy("doc_id").limit(12).collect()] + ["É", "x" * 700, "word " * 3000]
+    got = {x.doc_id: x for x in language_id.predict_languages(docs_of(spark, [*enumerate(texts), (3, texts[3]), (50, "é 12"), (51, None)]), model).collect()}
+    for i, t in enumerate(texts):
+        raw, total = t.lower().encode(), np.zeros(len(model.langs))
+        for at in range(0, len(raw), language_id.WINDOW):
+            piece = raw[at : at + language_id.WINDOW]
+            e = model.embed[np.frombuffer(piece.ljust(language_id.WINDOW, b"\0"), np.uint8)]
+            pooled = [max(float(e[j : j + k].ravel() @ w[:, f]) for j in range(len(e) - k + 1)) for k, w in zip(language_id.WIDTHS, model.filters) for f in range(language_id.FILTERS)] if len(raw) < 1500 else None
+            if pooled is None:
+                break
+            z = np.maximum(pooled, 0) @ model.out + model.bias
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(piece)
+        else:
+            assert got[i].lang_pred == model.langs[int(total.argmax())] and abs(got[i].score - total.max() / len(raw)) < 1e-3
+    assert got[51].lang_pred == "und" and 0 <= got[len(texts) - 1].score <= 1
+
+
+def test_toxicity_by_a_plain_noisy_or(spark):
+    docs, labels, _ = table(spark)
+    model = toxicity.train(docs, labels)
+    texts = [x.text for x in docs.where("length(text) < 4000").orderBy("doc_id").limit(30).collect()] + ["One. Two! Three\nfour", "a" * 50_000, "x. " * 5000]
+    got = {x.doc_id: x for x in toxicity.score_toxicity(docs_of(spark, [*enumerate(texts), (0, texts[0])]), model).collect()}
+    for i, t in enumerate(texts):
+        clean = 1.0
+        for sentence in __import__("re").split(r"[.!?\n]", t):
+            found = {w for w in toxicity._word(sentence.lower())}
+            if found:
+                z = model.bias + sum(float(model.weights.astype(np.float32)[b]) for w in found for b in toxicity.grams(w))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(got[i].score - (1 - clean)) < 1e-4
+    assert toxicity.score_toxicity(docs_of(spark, []), model).count() == 0
+
+
+def test_quality_by_plain_tails(spark):
+    docs, labels, _ = table(spark)
+    model = quality.train(docs, labels.select("doc_id", F.col("quality").alias("grade")), 2)
+    texts = [x.text for x in docs.where("length(text) < 4000").orderBy("doc_id").limit(30).collect()] + ["again again again", "B" * 30_000]
+    got = {x.doc_id: x for x in quality.score_quality(docs_of(spark, [*enumerate(texts), (0, texts[0])]), model, 2).collect()}
+    weights = model.weights.astype(np.float32)
+    for i, t in enumerate(texts):
+        words = t.split()
+        both = [quality.buckets(w) for w in words]
+        counts, shapes = collections.Counter(b >> 32 for b in both), collections.Counter(b & 0xFFFFFFFF for b in both)
+        a, b = np.sqrt(sum(np.log1p(n) ** 2 for n in counts.values())), np.sqrt(sum((n / len(words)) ** 2 for n in shapes.values()))
+        z = sum(float(weights[k]) * 0.5 * np.log1p(n) / a for k, n in counts.items()) + sum(float(weights[k]) * n / len(words) / b for k, n in shapes.items())
+        equal = sum(x >> 32 == y >> 32 for x, y in zip(both, both[1:])) / max(1, len(words) - 1)
+        z += float(weights[0]) * min(1.0, 4 * equal) + float(weights[1]) * len(counts) / len(words)
+        assert abs(got[i].tails[0] - 1 / (1 + np.exp(model.thresholds[0] - z))) < 1e-3 and abs(got[i].expected_grade - got[i].tails[0]) < 1e-9
+    assert quality.score_quality(docs_of(spark, []), model, 2).count() == 0
+
+
+def test_kept_columns_that_clash_are_refused(spark):
+    docs = docs_of(spark, [(1, "x")]).withColumns({c: F.lit(1) for c in ("score", "sentences", "tails", "lang_pred", "lines")})
+    for call in (
+        lambda k: line_dedup.dedup_lines(docs, keep=(k,)), lambda k: language_id.predict_languages(docs, None, keep=(k,)),
+        lambda k: toxicity.score_toxicity(docs, None, keep=(k,)), lambda k: quality.score_quality(docs, None, 2, keep=(k,)),
+    ):
+        refused = 0
+        for k in ("score", "sentences", "tails", "lang_pred", "lines"):
+            try:
+                call(k)
+            except ValueError:
+                refused += 1
+        assert refused in (1, 2)
+        with pytest.raises(ValueError):
+            call("absent")
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    none = docs_of(spark, [])
+    assert language_id.predict_languages(none, None).count() == 0
+    assert sharding.assign_shards(none, sharding.topology(2)).count() == 0
+    assert bpe.encode_documents(none, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert decontamination.mark_contaminated(none, spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")).count() == 0
+
+
+def test_pipeline_run_and_what_its_first_stage_rejects(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, _, d = table(spark, "sf0.001")
+    of = lambda lang: docs.where(F.col("lang") == lang).orderBy("doc_id").limit(6).collect()
+    mixture = " ".join(x.text[:256].ljust(256) for k in range(6) for x in (of("en")[k], of("de")[k], of("es")[k], of("fr")[k]))
+    odd = spark.createDataFrame([(90001, mixture, "en", "s", 1), (90002, None, None, None, None), (None, docs.first().text, None, "s", 3), (1, docs.first().text, "en", "s", 2)], DOCS)
+    more = docs.unionByName(odd).withColumn("extra", F.lit(1))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, more, d).collect()}
+    model = language_id.train(more.where(language_id.fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    told = {r.doc_id: r for r in language_id.predict_languages(more, model).collect()}
+    assert kept == {i for i, r in told.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
+    assert 90001 not in kept and 0 < told[90001].score < corpus_pipeline.LEAST_SCORE and None in kept and len(kept) > 190
+    for name, stage in corpus_pipeline.STAGES:  # of nothing comes nothing
+        assert stage(spark, more.limit(0), d).count() == 0, name
+    for name in ("benchmark", "documents"):
+        spark.read.parquet(f"{d}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 150
