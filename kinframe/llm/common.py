@@ -117,6 +117,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table (a few numbers each) that a task takes well.
+ROWS_A_TASK = 250_000
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """A narrow table that was cut before, in as many partitions as its rows need: many tiny ones cost files and tasks."""
+    return df.coalesce(max(1, -(-df.count() // ROWS_A_TASK)))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else unchanged; ASCII strings take the fast built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -183,18 +192,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     very many edges is one that Spark splits. Only nodes with an edge are returned.
     Nothing but whether all are stars reaches the driver.
     """
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = fitted(cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    tasks = 2 * pairs.rdd.getNumPartitions()
     for _ in range(max_rounds):
         if _stars(pairs):
             break
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
         # large star: larger neighbours of a node move to the least of its neighbourhood
-        large = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks))
         # small star: smaller neighbours of a node, and it, move to the least of them
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        pairs = cut(star.where("a <> b").distinct())
+        pairs = cut(star.where("a <> b").distinct().coalesce(tasks))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import connected_components, cut, only, python_batches, read, without
+from kinframe.llm.common import connected_components, cut, fitted, only, python_batches, read, without
 
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -160,8 +160,8 @@ def _texts_of(ids: DataFrame, base: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough, by exact comparison of whole texts."""
-    pairs = cut(pairs)
-    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), base)
+    pairs = fitted(cut(pairs))
+    texts = _texts_of(fitted(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), base)
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -179,7 +179,7 @@ def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 1, block: int = 500) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 1, block: int = 2000) -> DataFrame:
     """(id, n_shingles, component): components of the graph of texts with Jaccard similarity of ``percent`` or more.
 
     1. Each text gives its shingle set and a 128-bit digest of it. Texts of one
@@ -195,8 +195,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     3. Buckets that still hold several components give their pairs at once where
        they have a handful of members (a similar pair has more equal words than
        a chance one, which is told by counting); all pairs must also pass by a
-       short sketch of fixed size before texts are read; larger ones get new random leaders for
-       the members outside the leader's component, ``leader_rounds`` times.
+       short sketch of fixed size before texts are read; larger ones get new random leaders (by
+       a hash of the id, so that buckets of one group share them) for the members outside the leader's component, ``leader_rounds`` times.
     4. What is left of the larger ones is compared exactly: the members of a
        bucket outside its largest component against all, in blocks of ``block``
        rows, first by short sketch (the Hamming distance bounds the difference from
@@ -246,13 +246,14 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     length = sizes.groupBy("id").agg(F.max("n").alias("n"), F.max("need").alias("need"))
 
     def fit(pairs: DataFrame, floor: Column, best: bool = False) -> DataFrame:
-        """Pairs (a, b) of near enough sizes and short sketches that met in as many buckets as ``floor`` says; of each b the ``best`` met alone."""
-        met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
+        """Pairs (a, b) of near enough sizes and short sketches that are ``sure`` or met in as many buckets as ``floor`` says; of each b the ``best`` met alone."""
+        met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("sure").alias("sure"))
         if best:
-            met = met.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b", "x.met")
+            met = met.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("minus"), "sure")).alias("x")).select((-F.col("x.minus")).alias("a"), "b", "x.met", "x.sure")
         sized = met.join(length.toDF("a", "na", "ka"), "a").join(length.toDF("b", "nb", "kb"), "b")
-        sized = cut(sized.where((F.col("met") >= floor) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "na", "nb"))
-        left = sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sized = cut(sized.where((F.col("sure") | (F.col("met") >= floor)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "na", "nb"))
+        sized = fitted(sized)
+        left = fitted(cut(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         short = only(sizes.select("id", "short"), left, "id").groupBy("id").agg(F.min("short").alias("short"))
         both = sized.join(short.toDF("a", "sa"), "a").join(short.toDF("b", "sb"), "b")
         far = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
@@ -260,24 +261,25 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         return both.where(far * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
     smaller = F.when(F.col("na") <= F.col("nb"), F.col("ka")).otherwise(F.col("kb"))
-    links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b")), F.least(smaller, F.lit(2)), best=True), base, n, percent))
+    links = cut(_verify(fit(buckets.where("a <> id").select("a", F.col("id").alias("b"), F.lit(False).alias("sure")), F.least(smaller, F.lit(2)), best=True), base, n, percent))
     buckets = buckets.select("key", "id")
     for turn in range(leader_rounds + 1):
         comp = connected_components(links)
         known = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("total")).where("lo <> hi").select("key", "total")
-        open_ = cut(known.join(cut(mixed), "key"))  # both sides as they are, so that a large bucket can be split
-        ordered = lambda p: p.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        open_ = fitted(cut(known.join(fitted(cut(mixed)), "key")))  # both sides as they are, so that a large bucket can be split
+        ordered = lambda p, sure: p.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(sure).alias("sure"))
         if turn < leader_rounds:
-            draw = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "component")
+            draw = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "component")  # alike in all buckets, so that a group has few leaders
             heads = open_.where(F.col("total") > SMALL).groupBy("key").agg(F.min(draw).alias("head")).select("key", "head.id", "head.component").toDF("key", "a", "head_component")
-            heads = cut(heads)
-            pairs = fit(ordered(open_.join(heads, "key").where("component <> head_component").select("a", "id")), F.lit(1))
+            heads = fitted(cut(heads))
+            pairs = ordered(open_.join(heads, "key").where("component <> head_component").select("a", "id"), True)
         else:
-            pairs = fit(ordered(_open_pairs(open_, sizes, percent, block)), F.lit(1))
+            pairs = ordered(_open_pairs(open_, sizes, percent, block), True)
         if turn == 0:  # a pair that meets in no larger bucket must meet in enough small ones
-            pairs = pairs.union(fit(ordered(_small_pairs(open_)), smaller)).distinct()
-        links = cut(links.union(_verify(pairs, base, n, percent)).distinct())
+            pairs = pairs.union(ordered(_small_pairs(open_), False))
+        pairs = fit(pairs, smaller)
+        links = fitted(cut(links.union(_verify(pairs, base, n, percent)).distinct()))
         buckets = open_.where(F.col("total") > SMALL).select("key", "id")
     comp = connected_components(links.union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     placed = sizes.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
