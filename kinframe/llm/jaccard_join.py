@@ -179,7 +179,7 @@ def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 1, block: int = 2000) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 2, block: int = 2000) -> DataFrame:
     """(id, n_shingles, component): components of the graph of texts with Jaccard similarity of ``percent`` or more.
 
     1. Each text gives its shingle set and a 128-bit digest of it. Texts of one
