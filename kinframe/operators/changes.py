@@ -36,12 +36,16 @@ def upsert(df: DataFrame, changes: DataFrame, replace_lists: Sequence[str] = ())
     ``changes`` has ``handle``, some of the record's columns, and ``present``, the
     array of fields a row mentions (null alone does not tell). A list named in
     ``replace_lists`` is replaced, so an empty one clears it. New handles are
-    added. One change per handle; several are an error the caller must resolve.
+    added. One change per handle; several fail the job, as the caller must say which
+    of them counts.
     """
     unknown = set(replace_lists) - {c for c in df.columns if c.endswith("_list")}
     if unknown:
         raise ValueError(f"not lists of the record: {', '.join(sorted(unknown))}")
     new = changes.select(F.col("handle").alias("__h"), *(F.col(c).alias(f"__new_{c}") for c in changes.columns if c in df.columns and c != "handle"), F.col("present").alias("__present"))
+    once = new.groupBy("__h").agg(F.count("*").alias("__n"), F.first(F.struct(*(c for c in new.columns if c != "__h"))).alias("__c"))
+    single = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("several changes of "), F.col("__h")))).otherwise(F.col("__h"))
+    new = once.select(single.alias("__h"), "__c.*")
     joined = df.join(new, df["handle"] == new["__h"], "full_outer")
     out = [F.coalesce(df["handle"], F.col("__h")).alias("handle")]
     for f in df.schema.fields:

@@ -9,16 +9,20 @@ from kinframe.functions.dates import last_day, julian_day, sort_key, span_parts
 from kinframe.operators.references import close_kin, event_participants, vital_events
 from kinframe.tree import Tree
 
-#: Classes of event types.
+#: Classes of event types; any other type is custom.
 EVENT_CLASSES = {
-    "vital": ("Birth", "Death", "Burial", "Cremation", "Stillbirth", "Adopted"),
-    "family": ("Engagement", "Marriage", "Divorce", "Annulment", "Separation"),
-    "religious": ("Baptism", "Christening", "Confirmation", "Ordination", "First Communion"),
-    "vocational": ("Occupation", "Retirement", "Elected", "Military Service"),
+    "vital": ("Birth", "Adoption", "Baptism", "Death", "Burial", "Cremation"),
+    "family": (
+        "Engagement", "Marriage", "Marriage Settlement", "Marriage License", "Marriage Contract", "Marriage Banns",
+        "Divorce Filing", "Divorce", "Annulment", "Alternate Marriage",
+    ),
+    "religious": ("Christening", "Adult Christening", "Confirmation", "First Communion", "Blessing", "Bar Mitzvah", "Bas Mitzvah", "Religion"),
+    "vocational": ("Occupation", "Retirement", "Elected", "Military Service", "Ordination"),
     "academic": ("Education", "Degree", "Graduation"),
     "travel": ("Emigration", "Immigration", "Naturalization"),
     "legal": ("Probate", "Will"),
     "residence": ("Residence", "Census", "Property"),
+    "other": ("Cause of Death", "Medical Information", "Title of Nobility", "Number of Marriages"),
 }
 
 

@@ -151,10 +151,10 @@ def family_all_children(spark, sf_dir):
     return where_refs(t.family, "handle", F.col("child_ref_list.ref"), good, "all").select("handle")
 
 
-@query(""" select e.handle from d_event e join d_place p on p.handle = 'S' || lpad(e.place_no::varchar, 9, '0') where p.name like '%1' and e.type = 'Baptism'""")
+@query(""" select e.handle from d_event e join d_place p on p.handle = 'S' || lpad(e.place_no::varchar, 9, '0') where p.name like '%2' and e.type = 'Baptism'""")
 def event_deref_place(spark, sf_dir):
     t = demo_tree(spark, sf_dir)
-    there = t.place.where(path("name").column.endswith("1")).select("handle")
+    there = t.place.where(path("name").column.endswith("2")).select("handle")
     return where_refs(t.event.where(path("type").eq("Baptism")), "handle", F.array("place"), there).select("handle")
 
 
