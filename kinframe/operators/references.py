@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.functions.labels import display_name
+from kinframe.functions.dates import date_text, sort_key
+from kinframe.functions.labels import display_name, gender_letter, record_label
 from kinframe.plans.checkpoints import cut
 from kinframe.tree import Tree
 
@@ -178,5 +179,128 @@ def event_ratings(tree: Tree) -> DataFrame:
     return cites.join(c, "citation", "left").groupBy("event").agg(F.count("citation").alias("citations"), F.max("confidence").alias("confidence"))
 
 
-def first_nonempty(*columns: Column) -> Column:
-    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
+def id_or_handle(df: DataFrame, handles: DataFrame) -> DataFrame:
+    """(handle, shown): the record's id, or the handle itself where no record has it or its id is empty."""
+    wanted = handles.select(F.col(handles.columns[0]).alias("handle")).distinct()
+    known = df.select("handle", F.nullif("record_id", F.lit("")).alias("id"))
+    return wanted.join(known, "handle", "left").select("handle", F.coalesce("id", "handle").alias("shown"))
+
+
+def record_texts(tree: Tree) -> DataFrame:
+    """(type, handle, text) of every record: the names of persons and couples, of others the first of their texts that is not blank; else null."""
+    names = person_names(tree).withColumn("name", F.nullif("name", F.lit("")))
+    side = lambda c, o: names.select(F.col("handle").alias(c), F.col("name").alias(o))
+    families = tree.family.join(side("father_handle", "a"), "father_handle", "left").join(side("mother_handle", "b"), "mother_handle", "left")
+    couple = F.nullif(F.concat_ws(" & ", "a", "b"), F.lit(""))
+    parts = [names.select(F.lit("person").alias("type"), "handle", F.col("name").alias("text")), families.select(F.lit("family"), "handle", couple)]
+    texts = {"title": "title", "desc": "desc", "text": "text.string", "page": "page", "name": "name"}
+    for kind, df in tree.tables().items():
+        if kind not in ("person", "family"):
+            first = [F.nullif(F.trim(F.col(at)), F.lit("")) for c, at in texts.items() if c in df.columns]
+            parts.append(df.select(F.lit(kind), "handle", F.coalesce(*first, F.lit(None).cast("string"))))
+    return reduce(DataFrame.union, parts)
+
+
+def record_labels(tree: Tree) -> DataFrame:
+    """(type, handle, label): one short line for every record, "(no label)" for those without a text."""
+    return record_texts(tree).select("type", "handle", record_label(F.col("text")).alias("label"))
+
+
+def extended_backlinks(tree: Tree, kind: str) -> DataFrame:
+    """(dst, src_type, src, label): the records that refer to records of one type, with their labels; a referrer that is not there has none."""
+    links = edges(tree).where(F.col("dst_type") == kind).select("dst", "src_type", "src").distinct()
+    known = record_labels(tree).toDF("src_type", "src", "label")
+    return links.join(known, ["src_type", "src"], "left").select("dst", "src_type", "src", "label")
+
+
+def attached(tree: Tree, kind: str, field: str) -> DataFrame:
+    """(handle, ids): ids of the records that one list of each record refers to, in list order; missing targets are left out."""
+    shape, dst = {(a, b): (c, d) for a, b, c, d in REFERENCES}[kind, field]
+    rows = tree.tables()[kind].select("handle", F.posexplode_outer(F.col(f"{field}.ref") if shape == "refs" else F.col(field)).alias("pos", "ref"))
+    ids = tree.tables()[dst].select(F.col("handle").alias("ref"), F.coalesce(F.nullif("record_id", F.lit("")), "handle").alias("id"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))))["id"]
+    return rows.join(ids, "ref", "left").groupBy("handle").agg(listed.alias("ids"))
+
+
+def memberships(tree: Tree) -> DataFrame:
+    """(handle, child_in, parent_in): ids of the families of each person, in list order; a family that is not there stands by its handle."""
+    ids = tree.family.select(F.col("handle").alias("ref"), F.nullif("record_id", F.lit("")).alias("id"))
+    sides = [tree.person.select("handle", F.lit(name).alias("side"), F.posexplode(field).alias("pos", "ref")) for name, field in (("child", "parent_family_list"), ("parent", "family_list"))]
+    rows = sides[0].union(sides[1]).join(ids, "ref", "left").withColumn("shown", F.coalesce("id", "ref"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "shown"))))["shown"]
+    lists = rows.groupBy("handle").agg(of("child").alias("child_in"), of("parent").alias("parent_in"))
+    none = F.array().cast("array<string>")
+    return tree.person.select("handle").join(lists, "handle", "left").select("handle", F.coalesce("child_in", none).alias("child_in"), F.coalesce("parent_in", none).alias("parent_in"))
+
+
+def primary_names(tree: Tree) -> DataFrame:
+    """(event, name): whose event it is: the first person of role Primary (by handle), else the couple as "A & B"."""
+    took = event_participants(tree).join(person_names(tree).withColumnRenamed("handle", "person"), "person")
+    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("name")), F.when(F.col("role") == role, F.col("person"))).alias(role.lower())
+    return took.groupBy("event").agg(*map(first, ("Primary", "Husband", "Wife"))).select("event", F.coalesce("primary", F.nullif(F.concat_ws(" & ", "husband", "wife"), F.lit(""))).alias("name"))
+
+
+#: Words for close kin, by relation and sex.
+KIN_TERMS = {
+    "parent": {0: "mother", 1: "father"}, "child": {0: "daughter", 1: "son"},
+    "spouse": {0: "wife", 1: "husband"}, "sibling": {0: "sister", 1: "brother"},
+}
+
+
+def kin_by_term(tree: Tree, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(person, term, kin): close kin by the word for each, ``wanted`` ones only; kin of unknown sex have the relation as their word."""
+    word = F.col("relation")
+    for relation, by_sex in KIN_TERMS.items():
+        for sex, term in by_sex.items():
+            word = F.when((F.col("relation") == relation) & (F.col("gender") == sex), term).otherwise(word)
+    rows = close_kin(tree).join(tree.person.select(F.col("handle").alias("kin"), "gender"), "kin", "left").select("person", word.alias("term"), "kin")
+    return rows if wanted is None else rows.where(F.col("term").isin(*wanted))
+
+
+def person_detail(tree: Tree) -> DataFrame:
+    """One row a person: name, sex, birth, death, families, and a nested list of events (by date, undated first).
+
+    An event that is not there stays in ``events`` by its handle, without type and date.
+    """
+    refs = tree.person.select("handle", F.explode("event_ref_list").alias("r")).select("handle", F.col("r.ref").alias("event"), F.col("r.role").alias("role"))
+    e = tree.event.select(F.col("handle").alias("event"), "type", sort_key(F.col("date")).alias("sortval"), date_text(F.col("date")).alias("date"))
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("sortval", F.lit(0)).alias("sortval"), "event", "type", "date", "role")))
+    events = refs.join(e, "event", "left").groupBy("handle").agg(listed.alias("events"))
+    out = tree.person.select("handle", gender_letter(F.col("gender")).alias("sex")).join(person_names(tree), "handle").join(vital_events(tree).select("handle", "birth", "death"), "handle")
+    out = out.join(memberships(tree), "handle").join(events, "handle", "left")
+    return out.select("handle", "name", "sex", "birth", "death", "child_in", "parent_in", F.coalesce("events", F.array().cast(events.schema["events"].dataType)).alias("events"))
+
+
+def _without(field: str, shape: str, lost: Column) -> Column:
+    key = (lambda x: x["ref"]) if shape == "refs" else (lambda x: x)
+    return F.filter(field, lambda x: ~F.coalesce(F.array_contains(lost, key(x)), F.lit(False)))
+
+
+def without_dangling(tree: Tree) -> Tree:
+    """The tree without the references to records that are not there; birth and death stay with their events, or are unknown where those went."""
+    gone, tables = cut(dangling(tree)), tree.tables()
+    for kind, df in tables.items():
+        fields = [(f, shape) for src, f, shape, _ in REFERENCES if src == kind and f in df.columns]
+        if not fields:
+            continue
+        of = gone.where(F.col("src_type") == kind).groupBy(F.col("src").alias("handle")).agg(*(F.collect_set(F.when(F.col("field") == f, F.col("dst"))).alias(f"__gone_{f}") for f, _ in fields))
+        rows, new = df.join(of, "handle", "left"), {}
+        for f, shape in fields:
+            lost = F.coalesce(F.col(f"__gone_{f}"), F.array().cast("array<string>"))
+            if shape == "handle":
+                new[f] = F.when(~F.array_contains(lost, F.col(f)), F.col(f))
+            else:
+                new[f] = _without(f, shape, lost)
+        for index in ("birth_ref_index", "death_ref_index"):
+            if index in df.columns:
+                was = F.get("event_ref_list", F.when(F.col(index) >= 0, F.col(index)))["ref"]
+                at = F.array_position(F.transform(new["event_ref_list"], lambda x: x["ref"]), was) - 1
+                new[index] = F.coalesce(at, F.lit(-1)).cast(df.schema[index].dataType)
+        tables[kind] = rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
+    return tree.with_tables(**tables)
+
+
+def without_private(tree: Tree) -> Tree:
+    """The tree without the records marked private, then without the references to them."""
+    shown = {t: df.where(~F.coalesce("private", F.lit(False))) for t, df in tree.tables().items() if "private" in df.columns}
+    return without_dangling(tree.with_tables(**shown))

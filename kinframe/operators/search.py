@@ -19,16 +19,31 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def search(index: DataFrame, n_docs: int, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): documents with all words of a query, scored by the sum of tf x idf.
 
-    ``queries`` is (query_id, text). Words meet the index by an equi-join; words
-    no query has are pruned by it before any count.
+    ``queries`` is (query_id, text). The postings of a query's rarest word are its
+    candidates; the other words only meet those, by word and document, so that a
+    word of very many documents neither multiplies rows nor fills one task.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     need = words.groupBy("query_id").agg(F.count("*").alias("need"))
     wanted = index.join(words.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = words.join(wanted, "term").join(df, "term")
-    scored = hits.groupBy("query_id", "id").agg(F.count("*").alias("met"), F.sum(F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("score"))
-    return scored.join(need, "query_id").where("met = need").select("query_id", "id", "score")
+    known = words.join(df, "term")
+    rarest = known.groupBy("query_id").agg(F.count("*").alias("there"), F.min(F.struct("df", "term")).alias("r")).join(need, "query_id").where("there = need")
+    candidates = rarest.select("query_id", "need", F.col("r.term").alias("term")).join(wanted, "term").select("query_id", "need", "id")
+    hits = candidates.join(known, "query_id").join(wanted, ["term", "id"])
+    scored = hits.groupBy("query_id", "id", "need").agg(F.count("*").alias("met"), F.sum(F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("score"))
+    return scored.where("met = need").select("query_id", "id", "score")
+
+
+def search_records(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, type, handle, score): search over records of all types at once.
+
+    ``texts`` is (type, handle, text), ``queries`` (query_id, text, type); a query
+    with a type finds records of that one alone, scored by the counts of all.
+    """
+    keyed = texts.select(F.struct("type", "handle").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = search(inverted_index(keyed, "id", "text"), texts.count(), queries.select("query_id", "text"))
+    return found.join(queries.select("query_id", F.col("type").alias("__only")), "query_id").where("__only is null or __only = id.type").select("query_id", "id.type", "id.handle", "score")
 
 
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = 64) -> DataFrame:

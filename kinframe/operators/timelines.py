@@ -89,6 +89,16 @@ def family_timeline(tree: Tree, discard_undated: bool = True) -> DataFrame:
     return (rows.where("sortval > 0") if discard_undated else rows).select("family", "event", "person", "sortval")
 
 
+def since_union(tree: Tree) -> DataFrame:
+    """(family, event, person, years): the family timeline with whole years since the family's first dated marriage; null before it or without one."""
+    dated = tree.event.select(F.col("handle").alias("event"), "type", "date", sort_key(F.col("date")).alias("day"))
+    own = tree.family.select(F.col("handle").alias("family"), F.explode("event_ref_list.ref").alias("event")).join(dated.where("type = 'Marriage' and day > 0"), "event")
+    wed = own.groupBy("family").agg(F.min("day").alias("wed_day"), F.min_by("date", "day").alias("wed"))
+    rows = family_timeline(tree).join(dated.select("event", "date"), "event").join(wed, "family", "left")
+    years = F.when(F.col("sortval") >= F.col("wed_day"), span_parts(F.col("wed"), F.col("date"))[0])
+    return rows.select("family", "event", "person", years.alias("years"))
+
+
 def living(tree: Tree, as_of: int, max_age: int = 110, sibling_diff: int = 20, gap: int = 20) -> DataFrame:
     """(handle, living, birth_year, rule): status at the end of year ``as_of`` and the estimate it rests on.
 

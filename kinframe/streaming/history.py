@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG_DDL = "tx_id bigint, ts timestamp, user bigint, undo boolean, action string, class string, handle string, old string, new string"
@@ -23,10 +23,14 @@ def transaction(log: DataFrame, tx_id: int) -> DataFrame:
 
 
 def summaries(log: DataFrame, first: int = 3) -> DataFrame:
-    """(tx_id, changes, first, more): per transaction the count, the first objects as class:handle, and how many more."""
-    named = F.concat_ws(":", "class", "handle")
-    rows = log.groupBy("tx_id").agg(F.count("*").alias("changes"), F.slice(F.array_sort(F.collect_list(named)), 1, first).alias("first"))
-    return rows.withColumn("more", F.greatest(F.col("changes") - first, F.lit(0)))
+    """(tx_id, changes, first, more): per transaction the count, the first objects as class:handle, and how many more.
+
+    Objects are ranked within 64 hash parts of a transaction, so that a large one neither fills one task nor one buffer.
+    """
+    rows = log.select("tx_id", F.concat_ws(":", "class", "handle").alias("named"), F.pmod(F.xxhash64("class", "handle", "ts"), F.lit(64)).alias("part"))
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("tx_id", "part").orderBy("named")))
+    out = ranked.groupBy("tx_id").agg(F.count("*").alias("changes"), F.slice(F.array_sort(F.collect_list(F.when(F.col("n") <= first, F.col("named")))), 1, first).alias("first"))
+    return out.withColumn("more", F.greatest(F.col("changes") - first, F.lit(0)))
 
 
 def read_changes(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

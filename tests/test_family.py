@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from kinframe.functions import dates, labels
 from kinframe.functions.predicates import path, rules
-from kinframe.operators import changes, graph, paging, timelines
+from kinframe.operators import changes, graph, paging, references, search, timelines
+from kinframe.plans import record_queries  # noqa: F401  registers its queries
 from kinframe.plans.queries import QUERIES, SQL
 from kinframe.sources.records import ingest
 from kinframe.tree import Tree
@@ -187,3 +188,25 @@ def test_facts(spark):
     shown = first(timelines.visible(tree, status, "ExcludeAll"))
     assert set(shown) == {f"{a} {b}" for a in ("youngest", "oldest") for b in ("at death", "at marriage")} | {"longest marriage", "shortest marriage"} and shown["shortest marriage"][0] == "f1"
     assert first(tree, branch=spark.createDataFrame([("late",)], "h string"))["longest marriage"] == ("f2", 10)
+
+
+def test_lost_records(spark):
+    people = [("p1", 1, 0, [("d",), ("b",), ("gone",)], ["f1", "f9"], False), ("p2", 0, -1, [("b2",)], ["f1"], True), ("p3", 2, -1, [("gone",)], [], False), ("p4", -1, -1, None, None, None)]
+    person = spark.createDataFrame(people, "handle string, birth_ref_index int, death_ref_index int, event_ref_list array<struct<ref:string>>, family_list array<string>, private boolean")
+    event = spark.createDataFrame([("d", False), ("b", False), ("b2", False)], "handle string, private boolean")
+    family = spark.createDataFrame([("f1", "p1", "p2", [("p3",), ("p2",)])], "handle string, father_handle string, mother_handle string, child_ref_list array<struct<ref:string>>")
+    tree = references.without_private(Tree(person=person, event=event, family=family))
+    got = {r.handle: (r.birth_ref_index, r.death_ref_index, [e.ref for e in r.event_ref_list or []], r.family_list) for r in tree.person.collect()}
+    assert got == {"p1": (1, 0, ["d", "b"], ["f1"]), "p3": (-1, -1, [], []), "p4": (-1, -1, [], None)}
+    f = tree.family.first()
+    assert (f.father_handle, f.mother_handle, [c.ref for c in f.child_ref_list]) == ("p1", None, ["p3"])
+    hidden = references.without_private(Tree(person=person, event=event.withColumn("private", F.col("handle") == "d"), family=family))
+    assert hidden.person.where("handle = 'p1'").select("birth_ref_index", "death_ref_index").first() == (0, -1)
+
+
+def test_search_records(spark):
+    texts = spark.createDataFrame([("place", "s1", "old Mill"), ("tag", "t1", "mill, mill"), ("note", "n1", None), ("note", "n2", "a very old house")], "type string, handle string, text string")
+    queries = spark.createDataFrame([(1, "MILL", None), (2, "mill", "tag"), (3, "old mill", None), (4, "mill nowhere", None), (5, "", None)], "query_id int, text string, type string")
+    got = {(r.query_id, r.handle) for r in search.search_records(texts, queries).collect()}
+    assert got == {(1, "s1"), (1, "t1"), (2, "t1"), (3, "s1")}
+    assert search.search_records(texts.limit(0), queries).count() == 0
