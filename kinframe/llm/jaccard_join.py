@@ -324,20 +324,23 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
     shape = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total")).select(
         "key", F.col("top.component").alias("top"), F.ceil(F.col("total") / block).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.c")) / block).cast("int").alias("rows"))
     placed = open_.select("key", "id", "component").join(cut(shape), "key").withColumn("h", F.xxhash64(F.lit("block"), "id"))
-    others = placed.where("component <> top").select("key", "id", "component", F.lit(True).alias("probe"), F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
-    every = placed.select("key", "id", "component", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("h", "columns").cast("int").alias("j"))
+    placed = placed.select("key", "id", "component", (F.col("component") != F.col("top")).alias("other"), "rows", "columns", F.pmod("h", "rows").cast("int").alias("row"), F.pmod("h", "columns").cast("int").alias("column"))
+    across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("row").alias("i"), j.alias("j")))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("column").alias("j")))
+    cells = placed.withColumn("cell", F.explode(F.when(F.col("other"), F.array_union(across, down)).otherwise(down)))  # once where it is both probe and met
+    cells = cells.select("key", "id", "component", (F.col("other") & (F.col("cell.i") == F.col("row"))).alias("probe"), (F.col("cell.j") == F.col("column")).alias("met"), "cell.i", "cell.j")
 
     sketches = only(sizes.select("id", "n", "short"), open_.select("id").distinct(), "id").groupBy("id").agg(F.max("n").alias("n"), F.min("short").alias("short"))
-    dealt = others.unionByName(every).join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = cells.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def near_pairs(group: list[tuple]) -> set[tuple[int, int]]:
         at: dict[int, list[tuple]] = {}
-        for g, x, probe, size, short in group:  # by length of the sketch
-            if not probe:
+        for g, x, probe, met, size, short in group:  # by length of the sketch
+            if met:
                 at.setdefault(len(short), []).append((x, g, size, short))
         stacked = [tuple(np.array(c) for c in zip(*rows)) for rows in at.values()]
         found = set()
-        for g, x, probe, size, short in group:
+        for g, x, probe, met, size, short in group:
             if probe:
                 mine = np.array(short)
                 for ids, of, sizes, bits in stacked:
@@ -352,7 +355,7 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
         out = lambda found: pa.RecordBatch.from_pylist([{"a": a, "id": b} for a, b in sorted(found)], kind)
         here, group = None, []
         for batch in batches:
-            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "n", "short"))
+            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "met", "n", "short"))
             for k, row in zip(zip(key, i, j), zip(*rest)):
                 if k != here:
                     if group:
