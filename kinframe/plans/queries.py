@@ -64,7 +64,7 @@ def descendants_root(spark, sf_dir):
 
 
 @query(f""", {PARENTS},
-roots as (select handle as r from d_person where k % 3 = 0),
+roots as (select handle as r from d_person),
 w as (select r, r as h, 1 as g from roots union select r, parent, g + 1 from w join par on child = h where g < 5),
 first as (select r, h, min(g) as g from w group by r, h),
 lv as (select r, g, count(*) as n from first group by r, g),
@@ -77,16 +77,14 @@ select ok.r as root, count(*)::bigint as people, (max(s.g) is not null) as trunc
 from ok left join stop s on s.r = ok.r left join cum cut on cut.r = s.r and cut.g = s.g group by ok.r""")
 def walk_cap(spark, sf_dir):
     people = flat(spark, sf_dir, "person")
-    w = graph.walk(graph.parent_edges(demo_tree(spark, sf_dir)), people.where("k % 3 = 0").select("handle"), max_generations=5, cap=10)
+    w = graph.walk(graph.parent_edges(demo_tree(spark, sf_dir)), people.select("handle"), max_generations=5, cap=10)
     return w.summary.select("root", "people", "truncated", "unexplored")
 
 
-@query(SQL["walk_cap"].removeprefix(sql_tables()).replace(" where k % 3 = 0", ""))
+@query(SQL["walk_cap"].removeprefix(sql_tables()))
 def walk_cap_all(spark, sf_dir):
-    """``walk_cap`` with every person as a root."""
-    roots = flat(spark, sf_dir, "person").select("handle")
-    w = graph.walk(graph.parent_edges(demo_tree(spark, sf_dir)), roots, max_generations=5, cap=10)
-    return w.summary.select("root", "people", "truncated", "unexplored")
+    """The earlier name of ``walk_cap`` over every person."""
+    return walk_cap(spark, sf_dir)
 
 
 @query(f""", {PARENTS},
@@ -100,7 +98,7 @@ def closure_counts(spark, sf_dir):
 
 
 @query(f""", {PARENTS},
-pairs as (select handle as a, {h('P', '(k * 7 + 3) % (select count(*) from d_person)')} as b from d_person where k % 4 = 0),
+pairs as (select handle as a, {h('P', '(k * 7 + 3) % (select count(*) from d_person)')} as b from d_person),
 w as (select handle as d, handle as a, 0 as n from d_person union select d, parent, n + 1 from w join par on child = a where n < 15),
 c as (select d, a, min(n) as n from w group by d, a),
 best as (select p.a, p.b, min([x.n + y.n, x.n, y.n]) as r from pairs p join c x on x.d = p.a join c y on y.d = p.b and y.a = x.a group by p.a, p.b)
@@ -108,17 +106,14 @@ select p.a, p.b, coalesce(r[2], -1)::int as up, coalesce(r[3], -1)::int as down
 def relationship_pairs(spark, sf_dir):
     people = flat(spark, sf_dir, "person")
     n = people.agg(F.count("*").alias("n"))
-    pairs = people.where("k % 4 = 0").crossJoin(F.broadcast(n)).select(F.col("handle").alias("a"), F.concat(F.lit("P"), F.lpad(((F.col("k") * 7 + 3) % F.col("n")).cast("string"), 9, "0")).alias("b"))
+    pairs = people.crossJoin(F.broadcast(n)).select(F.col("handle").alias("a"), F.concat(F.lit("P"), F.lpad(((F.col("k") * 7 + 3) % F.col("n")).cast("string"), 9, "0")).alias("b"))
     return graph.relationship(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender")).select("a", "b", "up", "down")
 
 
-@query(SQL["relationship_pairs"].removeprefix(sql_tables()).replace(" where k % 4 = 0", ""))
+@query(SQL["relationship_pairs"].removeprefix(sql_tables()))
 def relationship_pairs_all(spark, sf_dir):
-    """``relationship_pairs`` with a partner for every person."""
-    people = flat(spark, sf_dir, "person")
-    partner = (F.col("k") * 7 + 3) % F.col("n")
-    pairs = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n")))).select(F.col("handle").alias("a"), F.concat(F.lit("P"), F.lpad(partner.cast("string"), 9, "0")).alias("b"))
-    return graph.relationship(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender")).select("a", "b", "up", "down")
+    """The earlier name of ``relationship_pairs`` with a partner for every person."""
+    return relationship_pairs(spark, sf_dir)
 
 
 @query(f""", {PARENTS},
