@@ -297,6 +297,21 @@ def paged_people(spark, sf_dir):
     return page.crossJoin(F.broadcast(total)).select("handle", F.lit(2).cast("long").alias("page"), "total")
 
 
+@query(""" select handle, row_number() over (order by surname desc, gender, handle)::bigint as position from d_person""")
+def people_positions(spark, sf_dir):
+    p = demo_tree(spark, sf_dir).person.withColumn("surname", F.get("primary_name.surname_list", 0)["surname"])
+    order = paging.sort_columns("-surname,gender", {"surname": F.col("surname"), "gender": F.col("gender")})
+    return paging.positions(p, *order).select("handle", "position")
+
+
+@query(f""" , e as (select *, {KEY} as day from d_event), placed as (select handle, type, row_number() over (order by type desc, day, handle) as position from e)
+select handle, type, position::bigint as position from placed where position > (select (count(*) // 50) // 2 * 50 from placed) and position <= (select (count(*) // 50) // 2 * 50 + 50 from placed)""")
+def deep_event_page(spark, sf_dir):
+    events = demo_tree(spark, sf_dir).event.withColumn("day", dates.sort_key(F.col("date")))
+    stored = paging.store_ordered(events, "-type,day", {"type": F.col("type"), "day": F.col("day")})
+    return stored.page(stored.total // 50 // 2 + 1, 50).select("handle", "type", "position")
+
+
 from kinframe.operators import changes, search, statistics, timelines  # noqa: E402
 from kinframe.streaming import history  # noqa: E402
 
