@@ -119,7 +119,7 @@ def relation_label(up: Column, down: Column, gender: Column) -> Column:
     )
 
 
-def relationships(parents: DataFrame, pairs: DataFrame, people: DataFrame, depth: int = 15) -> DataFrame:
+def relationships(parents: DataFrame, pairs: DataFrame, depth: int = 15) -> DataFrame:
     """(a, b, up, down, ancestors): each way two persons are related through nearest common ancestors, by distances.
 
     Common ancestors beyond a nearer common one on the same line (an ancestor's
@@ -135,12 +135,28 @@ def relationships(parents: DataFrame, pairs: DataFrame, people: DataFrame, depth
     return nearest.groupBy("a", "b", "up", "down").agg(F.array_sort(F.collect_set("ancestor")).alias("ancestors"))
 
 
-def relationship(parents: DataFrame, pairs: DataFrame, people: DataFrame, depth: int = 15) -> DataFrame:
-    """(a, b, relation, up, down): the most direct relation of each pair; -1 and null where there is none within ``depth``."""
+def relationship(parents: DataFrame, pairs: DataFrame, people: DataFrame, depth: int = 15, partners: DataFrame | None = None) -> DataFrame:
+    """(a, b, relation, up, down): the most direct relation of each pair; -1 and null where there is none within ``depth``.
+
+    Siblings of whom each has two known parents, but only one in common, are half.
+    ``partners`` (a, b; both ways) makes couples wife and husband, unless one is the
+    other's parent. Step and in-law relations are told by ``kinship.kinship``.
+    """
     pairs = cut(pairs.select("a", "b").distinct())
-    best = relationships(parents, pairs, people, depth).groupBy("a", "b").agg(F.min(F.struct((F.col("up") + F.col("down")).alias("sum"), "up", "down")).alias("r"))
-    out = pairs.join(best, ["a", "b"], "left").join(people.select(F.col("handle").alias("b"), "gender"), "b", "left")
-    return out.select("a", "b", relation_label(F.col("r.up"), F.col("r.down"), F.col("gender")).alias("relation"), F.coalesce("r.up", F.lit(-1)).alias("up"), F.coalesce("r.down", F.lit(-1)).alias("down"))
+    nearest = relationships(parents, pairs, depth).groupBy("a", "b").agg(F.min(F.struct((F.col("up") + F.col("down")).alias("sum"), "up", "down", F.size("ancestors").alias("common"))).alias("r"))
+    known = cut(parents.select("child", "parent").distinct().groupBy("child").agg(F.count("*").alias("n")))
+    out = pairs.join(nearest, ["a", "b"], "left").join(people.select(F.col("handle").alias("b"), "gender"), "b", "left")
+    for side in ("a", "b"):
+        out = out.join(known.select(F.col("child").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
+    couple = F.lit(False)
+    if partners is not None:
+        out = out.join(partners.select("a", "b", F.lit(True).alias("couple")).distinct(), ["a", "b"], "left")
+        couple = F.coalesce("couple", F.lit(False)) & F.coalesce(F.col("r.sum") > 1, F.lit(True))
+    blood = relation_label(F.col("r.up"), F.col("r.down"), F.col("gender"))
+    half = (F.col("r.up") == 1) & (F.col("r.down") == 1) & (F.col("r.common") == 1) & (F.col("n_a") == 2) & (F.col("n_b") == 2)
+    word = F.when(F.col("gender") == 0, "wife").when(F.col("gender") == 1, "husband").otherwise("partner")
+    relation = F.when(couple, word).when(half, F.concat(F.lit("half-"), blood)).otherwise(blood)
+    return out.select("a", "b", relation.alias("relation"), F.coalesce("r.up", F.lit(-1)).alias("up"), F.coalesce("r.down", F.lit(-1)).alias("down"))
 
 
 def branch(tree: Tree, person: str, kind: str, depth: int = MOST_GENERATIONS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.functions.dates import last_day, julian_day, sort_key, span_parts
+from kinframe.operators.lives import vital_years
 from kinframe.operators.references import close_kin, event_participants, vital_events
 from kinframe.tree import Tree
 
@@ -102,18 +103,18 @@ def since_union(tree: Tree) -> DataFrame:
 def living(tree: Tree, as_of: int, max_age: int = 110, sibling_diff: int = 20, gap: int = 20) -> DataFrame:
     """(handle, living, birth_year, rule): status at the end of year ``as_of`` and the estimate it rests on.
 
-    A death event means not living. Else the first rule that gives a birth year
-    decides, not living beyond ``max_age``: own birth; earliest sibling's birth
+    A death, burial or cremation means not living. Else the first rule that gives a birth
+    year decides, not living beyond ``max_age``: own birth; own death less ``max_age``; earliest sibling's birth
     less ``sibling_diff`` years; earliest child's birth less ``gap``; latest
     parent's birth plus ``gap``; a spouse's birth. With no evidence at all a
     person counts as living. A fixed number of joins, each on handles.
     """
-    v = vital_events(tree).select("handle", F.when(sort_key(F.col("birth_date")) > 0, F.col("birth_date.y1")).alias("own"), F.col("death").isNotNull().alias("died"))
+    v = vital_years(tree).select("handle", F.col("born").alias("own"), F.col("died").alias("death_year"), F.col("ended").alias("died"))
     kin = close_kin(tree).join(v.select(F.col("handle").alias("kin"), F.col("own").alias("year")), "kin").where("year is not null")
     of = lambda r, f: f(F.when(F.col("relation") == r, F.col("year")))
     near = kin.groupBy("person").agg(of("sibling", F.min).alias("sib"), of("child", F.min).alias("kid"), of("parent", F.max).alias("par"), of("spouse", F.min).alias("mate"))
     rows = v.join(near, v["handle"] == near["person"], "left")
-    rules = (("birth", F.col("own")), ("sibling", F.col("sib") - sibling_diff), ("child", F.col("kid") - gap), ("parent", F.col("par") + gap), ("spouse", F.col("mate")))
+    rules = (("birth", F.col("own")), ("death", F.col("death_year") - max_age), ("sibling", F.col("sib") - sibling_diff), ("child", F.col("kid") - gap), ("parent", F.col("par") + gap), ("spouse", F.col("mate")))
     year = F.coalesce(*(c for _, c in rules))
     rule = F.coalesce(*(F.when(c.isNotNull(), name) for name, c in rules), F.lit("none"))
     alive = ~F.col("died") & F.coalesce(as_of - year <= max_age, F.lit(True))

@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a narrow table that a task takes well.
+ROWS_A_TASK = 250_000
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder (``spark.checkpoint.dir``; one of our own only where that is unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+
+def _folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset on one machine, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinframe-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and go on from there."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fitted(df: DataFrame) -> DataFrame:
+    """A narrow table that was cut before, in as many partitions as its rows need."""
+    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK)))))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables that all executors must see: under ``spark.checkpoint.dir``, or a local one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinframe-shared-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder, below the checkpoint folder, for tables that all executors must see."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"

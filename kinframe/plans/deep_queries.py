@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
-from kinframe.plans.demo import demo_tree
-from kinframe.plans.queries import KEY, PARENTS, h, query  # noqa: F401
+from kinframe.operators import kinship, lives
+from kinframe.plans.demo import demo_tree, flat
+from kinframe.plans.queries import _KIN, KEY, h, query
+from kinframe.tree import Tree
 
 _EVENTS_OF = f""", pe as (select {h('P', 'owner')} as person, e.* from d_event e where owner_class = 'person')"""
 
@@ -69,3 +71,98 @@ def stripped_records(spark, sf_dir):
         one = shapes.as_json(tables[kind]).select(F.lit(kind).alias("type"), "handle", "json")
         out = one if out is None else out.union(one)
     return out
+
+
+def remarried_tree(spark, sf_dir) -> Tree:
+    """The derived people in families of several marriages: some parents have children with two partners."""
+    rows = flat(spark, sf_dir, "remarried").groupBy("father", "mother").agg(F.array_sort(F.collect_list(F.struct(F.col("child").alias("ref")))).alias("child_ref_list"))
+    family = rows.select(F.concat(F.lit("F"), "father", "mother").alias("handle"), F.col("father").alias("father_handle"), F.col("mother").alias("mother_handle"), "child_ref_list")
+    return demo_tree(spark, sf_dir).with_tables(family=family)
+
+
+def _words() -> str:
+    """Every label within four steps, written out: (kind, up, down, half, of a woman, of a man)."""
+    blood = {
+        (1, 0): ("mother", "father"), (2, 0): ("grandmother", "grandfather"), (3, 0): ("great-grandmother", "great-grandfather"), (4, 0): ("great-great-grandmother", "great-great-grandfather"),
+        (0, 1): ("daughter", "son"), (0, 2): ("granddaughter", "grandson"), (0, 3): ("great-granddaughter", "great-grandson"), (0, 4): ("great-great-granddaughter", "great-great-grandson"),
+        (1, 1): ("sister", "brother"), (2, 1): ("aunt", "uncle"), (1, 2): ("niece", "nephew"), (3, 1): ("grandaunt", "granduncle"), (1, 3): ("grandniece", "grandnephew"), (2, 2): ("1st cousin", "1st cousin"),
+    }
+    rows = [(1, 0, 0, 0, "wife", "husband")]
+    for (u, d), (f, m) in blood.items():
+        rows += [(0, u, d, 0, f, m), (0, u, d, 1, f"half-{f}", f"half-{m}"), (2, u, d, 0, f"step{f}", f"step{m}"), (3, u, d, 0, f"{f}-in-law", f"{m}-in-law")]
+    return ", ".join(f"({k}, {u}, {d}, {x}, '{f}', '{m}')" for k, u, d, x, f, m in rows)
+
+
+@query(f""" , par as (select child, father as parent from d_remarried union select child, mother from d_remarried),
+couple as (select father as a, mother as b from d_remarried union select mother, father from d_remarried),
+line as (select handle as x, handle as top, 0 as n, '' as via from d_person union select x, parent, n + 1, top from line join par on child = top where n < 4),
+sharing as (select p.child as x, q.child as y, count(*) as shared from par p join par q on p.parent = q.parent group by all),
+blood as (
+  select p.x as a, q.x as b, p.n as u, q.n as d, 0 as half from line p join line q on p.top = q.top where p.n + q.n between 1 and 4 and (p.n = 0 or q.n = 0)
+  union all
+  select p.x, q.x, p.n, q.n, case when shared = 1 then 1 else 0 end from line p join line q on p.top = q.top join sharing s on s.x = p.via and s.y = q.via
+  where p.n > 0 and q.n > 0 and p.n + q.n <= 4 and p.via <> q.via),
+ways as (
+  select a, b, u + d as steps, 0 as kind, u, d, half from blood
+  union all select a, b, 1, 1, 0, 0, 0 from couple
+  union all select p.x, q.x, p.n + q.n + 1, 2, p.n, q.n, 0 from line p join couple c on c.a = p.top join line q on q.top = c.b where p.n + q.n between 1 and 3
+  union all select c.a, k.b, u + d + 1, 3, u, d, 0 from couple c join blood k on k.a = c.b where u > 0 and u + d <= 3
+  union all select k.a, c.b, u + d + 1, 3, u, d, 0 from blood k join couple c on c.a = k.b where d > 0 and u + d <= 3),
+best as (select a, b, min([steps, kind, u, d, half]) as r from ways where a <> b group by a, b),
+words(kind, u, d, half, f, m) as (values {_words()})
+select a, b, case gender when 0 then f else m end as relation, ['blood', 'partner', 'step', 'in-law'][kind + 1] as kind, r[1]::int as steps, r[3]::int as up, r[4]::int as down
+from best left join words w on w.kind = r[2] and w.u = r[3] and w.d = r[4] and w.half = r[5] join d_person x on x.handle = b""")
+def kinship_within_four(spark, sf_dir):
+    """Every pair of people within four steps: blood, half-blood, partner, step and in-law relations."""
+    return kinship.kinship(remarried_tree(spark, sf_dir))
+
+
+def _round(k: int) -> str:
+    """Bounds after one more hop, in SQL: what is known by oneself and from dated kin, and what others without a date tell."""
+    return f"""s{k} as (
+  select handle, min(case when side = 'low' then x end) as low, min(case when side = 'high' then x end) as high from (
+    select handle, 'low' as side, low as x from s0 union all select handle, 'high', high from s0
+    union all select person, 'low', {{'key': low.key + case relation when 'parent' then -20 else 20 end, 'rule': case relation when 'parent' then 2 else 4 end, 'wit': low.wit}}
+      from kin join s{k - 1} on kin.kin = handle where relation in ('parent', 'sibling') and low is not null and person in (select handle from s0)
+    union all select person, 'high', {{'key': high.key + case relation when 'child' then -20 else 20 end, 'rule': case relation when 'child' then 3 else 4 end, 'wit': high.wit}}
+      from kin join s{k - 1} on kin.kin = handle where relation in ('child', 'sibling') and high is not null and person in (select handle from s0)) t
+  group by handle)"""
+
+
+_ROUNDS = 10
+_ESTIMATES = f""", {_KIN}, v as (
+  select p.handle, case when b.modifier <> 6 then b.y1 end as born, b.handle as be, case when d.modifier <> 6 then d.y1 end as died, d.handle as de, p.death_year is not null as ended
+  from d_person p join d_event b on b.handle = 'EB' || substr(p.handle, 2) left join d_event d on d.handle = 'ED' || substr(p.handle, 2)),
+dated as (select handle, born, be from v where born is not null),
+s0 as (
+  select handle, min(case when side = 'low' then x end) as low, min(case when side = 'high' then x end) as high from (
+    select handle, 'low' as side, {{'key': 110 - died, 'rule': 1, 'wit': de}} as x from v where born is null and died is not null
+    union all select handle, 'high', {{'key': died, 'rule': 1, 'wit': de}} from v where born is null and died is not null
+    union all select handle, '-', null from v where born is null
+    union all select person, 'low', {{'key': -dated.born + case relation when 'parent' then -20 else 20 end, 'rule': case relation when 'parent' then 2 else 4 end, 'wit': dated.be}}
+      from kin join dated on kin.kin = handle join v u on u.handle = person where relation in ('parent', 'sibling') and u.born is null
+    union all select person, 'high', {{'key': dated.born + case relation when 'child' then -20 else 20 end, 'rule': case relation when 'child' then 3 else 4 end, 'wit': dated.be}}
+      from kin join dated on kin.kin = handle join v u on u.handle = person where relation in ('child', 'sibling') and u.born is null) t
+  group by handle),
+{", ".join(_round(k) for k in range(1, _ROUNDS + 1))},
+near as (
+  select person, min(case when relation = 'sibling' then {{'y': k.born, 'e': k.be}} end) as sib, min(case when relation = 'child' then {{'y': k.born, 'e': k.be}} end) as kid,
+    min(case when relation = 'parent' then {{'y': -k.born, 'e': k.be}} end) as par, min(case when relation = 'spouse' then {{'y': k.born, 'e': k.be}} end) as mate
+  from kin join dated k on k.handle = kin.kin group by person),
+given as (
+  select v.*, coalesce(-s.low.key, born) as low, coalesce(s.high.key, born) as high, s.low as sl, s.high as sh,
+    case when born is not null then {{'key': born, 'rule': 0, 'wit': be}} when died is not null then {{'key': died - 110, 'rule': 1, 'wit': de}}
+      when sib is not null then {{'key': sib.y - 20, 'rule': 4, 'wit': sib.e}} when kid is not null then {{'key': kid.y - 20, 'rule': 3, 'wit': kid.e}}
+      when par is not null then {{'key': 20 - par.y, 'rule': 2, 'wit': par.e}} when mate is not null then {{'key': mate.y, 'rule': 5, 'wit': mate.e}} end as raw
+  from v left join s{_ROUNDS} s using (handle) left join near on person = v.handle),
+told as (
+  select *, case when raw is null then coalesce(sh, {{'key': -sl.key, 'rule': sl.rule, 'wit': sl.wit}}) when raw.rule = 0 then raw when raw.key > high then sh when raw.key < low then {{'key': -sl.key, 'rule': sl.rule, 'wit': sl.wit}} else raw end as b from given)
+select handle, b.key::int as birth_year, ['birth', 'death', 'parent', 'child', 'sibling', 'spouse'][b.rule + 1] as birth_rule, b.wit as birth_witness,
+  coalesce(died, b.key + 110)::int as death_year, case when died is not null then 'death' when b is not null then 'age' end as death_rule, case when died is not null then de else b.wit end as death_witness,
+  low::int as low, high::int as high, ended from told"""
+
+
+@query(_ESTIMATES)
+def life_estimates(spark, sf_dir):
+    """Birth and death of every person, known or estimated, with the rule, the event behind it, and the bounds."""
+    return lives.estimates(demo_tree(spark, sf_dir))

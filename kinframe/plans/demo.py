@@ -47,6 +47,10 @@ FLAT: dict[str, str] = {
       select {_h('F', 'f.k')} as handle, f.k as fk, m.k as mk, f.handle as father_handle, m.handle as mother_handle,
         case when f.birth_year > m.birth_year then f.birth_year else m.birth_year end + 20 as marriage_year, 1700000000 + f.k as change
       from (select distinct fk, mk from {{person}} where fk is not null) c join {{person}} f on f.k = c.fk join {{person}} m on m.k = c.mk""",
+    "remarried": f"""
+      select child, {_h('P', 'fk')} as father, {_h('P', 'mk')} as mother from (
+        select handle as child, case when k % 2 = 1 and fk % 6 = 2 then base + (fk - base + 2) % g else fk end as fk, case when k % 2 = 1 and fk % 3 = 0 then base + (mk - base + 2) % g else mk end as mk
+        from (select p.*, (gen - 1) * g as base, g from {{person}} p, {{n}} where fk is not null) t) u""",
     "event": f"""
       select {_h('EB', 'k')} as handle, 'Birth' as type, k as owner, 'person' as owner_class, k, {_date('k', 'birth_year')}, k % 20 as place_no, 0 as pos from {{person}}
       union all select {_h('ED', 'k')}, 'Death', k, 'person', k, {_date('(k + 1)', 'death_year')}, k % 20, 1 from {{person}} where death_year is not null

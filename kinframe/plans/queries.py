@@ -338,11 +338,12 @@ def family_timeline(spark, sf_dir):
     return timelines.family_timeline(demo_tree(spark, sf_dir))
 
 
-@query(f""", {_KIN}, v as (select p.handle, case when b.modifier <> 6 then b.y1 end as own, p.death_year is not null as died from d_person p join d_event b on b.handle = 'EB' || lpad(p.k::varchar, 9, '0')),
+@query(f""", {_KIN}, v as (select p.handle, case when b.modifier <> 6 then b.y1 end as own, case when d.modifier <> 6 then d.y1 end as dy, p.death_year is not null as died
+  from d_person p join d_event b on b.handle = 'EB' || lpad(p.k::varchar, 9, '0') left join d_event d on d.handle = 'ED' || lpad(p.k::varchar, 9, '0')),
 near as (select person, min(own) filter (relation = 'sibling') as sib, min(own) filter (relation = 'child') as kid, max(own) filter (relation = 'parent') as par, min(own) filter (relation = 'spouse') as mate
   from kin join v on v.handle = kin.kin group by person),
-r as (select v.handle, died, coalesce(own, sib - 20, kid - 20, par + 20, mate) as y,
-  case when own is not null then 'birth' when sib is not null then 'sibling' when kid is not null then 'child' when par is not null then 'parent' when mate is not null then 'spouse' else 'none' end as rule
+r as (select v.handle, died, coalesce(own, dy - 110, sib - 20, kid - 20, par + 20, mate) as y,
+  case when own is not null then 'birth' when dy is not null then 'death' when sib is not null then 'sibling' when kid is not null then 'child' when par is not null then 'parent' when mate is not null then 'spouse' else 'none' end as rule
   from v left join near on near.person = v.handle)
 select handle, (not died and coalesce(2024 - y <= 110, true)) as living, y::int as birth_year, rule from r""")
 def living_status(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import dates, labels
 from kinframe.functions.predicates import path, rules
-from kinframe.operators import changes, graph, references, search, statistics, timelines
+from kinframe.operators import changes, graph, kinship, references, search, statistics, timelines
 from kinframe.plans.demo import demo_tree, flat, sql_tables
 from kinframe.plans.queries import KEY, PARENTS, SQL, h, jdn, query
 from kinframe.sources.records import missing_media
@@ -200,7 +200,7 @@ select a, b, up::int as up, down::int as down, string_agg(distinct anc, '; ' ord
 def relationship_ways(spark, sf_dir):
     people = flat(spark, sf_dir, "person")
     pairs = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n")))).select(F.col("handle").alias("a"), _padded("P", (F.col("k") * 7 + 3) % F.col("n")).alias("b"))
-    ways = graph.relationships(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender"))
+    ways = graph.relationships(graph.parent_edges(demo_tree(spark, sf_dir)), pairs)
     return ways.withColumn("ancestors", F.array_join("ancestors", "; "))
 
 
@@ -319,14 +319,15 @@ def _sexed(f: str, m: str, u: str) -> str:
 
 
 @query(f"""{_PAIRED}, r as (select p.a, p.b, r[2] as up, r[3] as down, gender from (select distinct a, b from pairs) p left join best on best.a = p.a and best.b = p.b left join d_person x on x.handle = p.b)
-select a, b, case when up is null then null when up = 0 and down = 0 then 'self'
+select r.a, r.b, case when c.father_handle is not null and coalesce(up + down, 2) > 1 then {_sexed('wife', 'husband', 'partner')} when up is null then null when up = 0 and down = 0 then 'self'
   when down = 0 then (case when up > 1 then repeat('great-', up - 2) || 'grand' else '' end) || {_sexed('mother', 'father', 'parent')}
   when up = 0 then (case when down > 1 then repeat('great-', down - 2) || 'grand' else '' end) || {_sexed('daughter', 'son', 'child')}
   when up = 1 and down = 1 then {_sexed('sister', 'brother', 'sibling')}
   when down = 1 then (case when up > 2 then repeat('great-', up - 3) || 'grand' else '' end) || {_sexed('aunt', 'uncle', 'aunt or uncle')}
   when up = 1 then (case when down > 2 then repeat('great-', down - 3) || 'grand' else '' end) || {_sexed('niece', 'nephew', 'niece or nephew')}
-  else (least(up, down) - 1)::varchar || (case least(up, down) - 1 when 1 then 'st' when 2 then 'nd' when 3 then 'rd' else 'th' end) || ' cousin' || (case when up <> down then ' ' || abs(up - down)::varchar || ' times removed' else '' end) end as relation from r""")
+  else (least(up, down) - 1)::varchar || (case least(up, down) - 1 when 1 then 'st' when 2 then 'nd' when 3 then 'rd' else 'th' end) || ' cousin' || (case when up <> down then ' ' || abs(up - down)::varchar || ' times removed' else '' end) end as relation
+from r left join d_family c on (c.father_handle = r.a and c.mother_handle = r.b) or (c.father_handle = r.b and c.mother_handle = r.a)""")
 def relationship_labels(spark, sf_dir):
     people = flat(spark, sf_dir, "person")
     pairs = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n")))).select(F.col("handle").alias("a"), _padded("P", (F.col("k") * 7 + 3) % F.col("n")).alias("b"))
-    return graph.relationship(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender")).select("a", "b", "relation")
+    return graph.relationship(graph.parent_edges(demo_tree(spark, sf_dir)), pairs, people.select("handle", "gender"), partners=kinship.couples(demo_tree(spark, sf_dir))).select("a", "b", "relation")
