@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.functions.dates import last_day, julian_day, sort_key, span_parts
+from kinframe.operators.graph import parent_edges, relation_label
+from kinframe.operators.kinship import lines
 from kinframe.operators.lives import vital_years
-from kinframe.operators.references import close_kin, event_participants, vital_events
+from kinframe.operators.references import close_kin, event_participants, place_path, vital_events
+from kinframe.plans.checkpoints import cut
 from kinframe.tree import Tree
 
 #: Classes of event types; any other type is custom.
@@ -68,6 +71,99 @@ def person_timeline(tree: Tree, persons: DataFrame | None = None, relatives: boo
     )
 
 
+def kin_of(tree: Tree, anchors: DataFrame, ancestors: int = 1, offspring: int = 1) -> DataFrame:
+    """(anchor, person, relation): oneself, ancestors and offspring within so many generations, siblings and spouses.
+
+    The relation is the word for the person by sex and distance ("grandmother",
+    "great-grandson"). Both ways are walked for all anchors at once, a join for each
+    generation; who is met several times stands with the shortest way, a line up or down before
+    siblings and spouses.
+    """
+    par = cut(parent_edges(tree))
+    start = anchors.select(F.col("anchor").alias("handle"))
+    down = par.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    way = lambda edges, n: lines(edges, start, n).where("n > 0").groupBy(F.col("person").alias("anchor"), F.col("top").alias("person")).agg(F.min("n").alias("n"))
+    side = close_kin(tree).where("relation in ('sibling', 'spouse')").join(anchors.withColumnRenamed("anchor", "person"), "person", "left_semi")
+    rows = way(par, ancestors).select("anchor", "person", "n", F.lit(0).alias("kind")).union(way(down, offspring).select("anchor", "person", "n", F.lit(1)))
+    rows = rows.union(side.select("person", "kin", F.lit(1), F.when(F.col("relation") == "sibling", 2).otherwise(3)))
+    best = rows.where("anchor <> person").groupBy("anchor", "person").agg(F.min(F.struct("n", "kind")).alias("r"))
+    named = best.join(tree.person.select(F.col("handle").alias("person"), "gender"), "person", "left")
+    up, down_ = (F.when(F.col("r.kind").isin(*kinds), F.col("r.n")).otherwise(0) for kinds in ((0, 2), (1, 2)))
+    spouse = F.when(F.col("gender") == 0, "wife").when(F.col("gender") == 1, "husband").otherwise("spouse")
+    kin = named.select("anchor", "person", F.when(F.col("r.kind") == 3, spouse).otherwise(relation_label(up, down_, F.col("gender"))).alias("relation"))
+    return anchors.select("anchor", F.col("anchor").alias("person"), F.lit("self").alias("relation")).union(kin)
+
+
+def kin_timeline(
+    tree: Tree,
+    persons: DataFrame | None = None,
+    ancestors: int = 1,
+    offspring: int = 1,
+    relatives: tuple[str, ...] | None = None,
+    classes: tuple[str, ...] | None = None,
+    discard_undated: bool = True,
+) -> DataFrame:
+    """(anchor, event, person, relation, label, place, sortval, age_years, person_years): own events and the vital events of kin over generations.
+
+    ``persons`` (first column handles) limits the anchors. ``relatives`` keeps the kin of these
+    words ("sister", "grandfather", "great-grandson") beside oneself. Kin give their
+    births and deaths; of own events ``classes`` keeps these and births and deaths. Ages
+    are whole years of the anchor and of the person at the event, null before their
+    birth and without a dated one. The place is its path of names. Kin are told
+    first and events joined once, however many generations there are.
+    """
+    anchors = tree.person.select(F.col("handle").alias("anchor"))
+    if persons is not None:
+        anchors = anchors.join(persons.select(F.col(persons.columns[0]).alias("anchor")).distinct(), "anchor", "left_semi")
+    people = kin_of(tree, cut(anchors), ancestors, offspring)
+    if relatives is not None:
+        people = people.where(F.col("relation").isin("self", *relatives))
+    event = tree.event.select(F.col("handle").alias("event"), "type", "date", F.col("place").alias("place_handle"), sort_key(F.col("date")).alias("sortval"))
+    if discard_undated:
+        event = event.where("sortval > 0")
+    vital = F.col("type").isin("Birth", "Death")
+    rows = people.join(event_participants(tree).select("event", "person").distinct(), "person").join(event, "event").where((F.col("relation") == "self") | vital)
+    if classes is not None:
+        rows = rows.where(vital | event_class().isin(*classes))
+    born = vital_events(tree).select("handle", "birth_date", sort_key(F.col("birth_date")).alias("born"))
+    for who in ("anchor", "person"):
+        rows = rows.join(born.select(F.col("handle").alias(who), F.col("birth_date").alias(f"{who}_date"), F.col("born").alias(f"{who}_born")), who, "left")
+    age = lambda who: F.when((F.col(f"{who}_born") > 0) & (F.col("sortval") >= F.col(f"{who}_born")), span_parts(F.col(f"{who}_date"), F.col("date"))[0])
+    if tree.place is not None:
+        rows = rows.join(place_path(tree.place).select(F.col("handle").alias("place_handle"), F.col("path").alias("place")), "place_handle", "left")
+    else:
+        rows = rows.withColumn("place", F.lit(None).cast("string"))
+    label = F.when(F.col("relation") == "self", F.col("type")).otherwise(F.concat("type", F.lit(" of "), "relation"))
+    return rows.select("anchor", "event", "person", "relation", label.alias("label"), "place", "sortval", age("anchor").alias("age_years"), age("person").alias("person_years"))
+
+
+def people_timeline(tree: Tree, persons: DataFrame, anchor: str | None = None, first: bool = False, last: bool = False, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(event, person, type, sortval): dated own events of the listed people and of ``anchor``.
+
+    ``first`` and ``last`` leave out what lies before the anchor's first and after its last
+    own event; day numbers ``low`` and ``high`` override both.
+    """
+    listed = persons.select(F.col(persons.columns[0]).alias("person"))
+    if anchor is not None:
+        listed = listed.union(listed.sparkSession.range(1).select(F.lit(anchor)))
+    dated = tree.event.select(F.col("handle").alias("event"), "type", sort_key(F.col("date")).alias("sortval")).where("sortval > 0")
+    rows = event_participants(tree).select("event", "person").distinct().join(listed.distinct(), "person", "left_semi").join(dated, "event").select("event", "person", "type", "sortval")
+    if low is not None or high is not None:
+        return bounded(rows, low=low, high=high)
+    if anchor is not None and (first or last):
+        own = rows.where(F.col("person") == anchor).agg(F.min("sortval").alias("lo"), F.max("sortval").alias("hi"))
+        fits = (F.lit(not first) | (F.col("sortval") >= F.col("lo"))) & (F.lit(not last) | (F.col("sortval") <= F.col("hi")))
+        rows = rows.join(F.broadcast(own), fits).drop("lo", "hi")  # one row of bounds
+    return rows
+
+
+def families_timeline(tree: Tree, families: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The family timeline of the listed families alone; an event that several of them share stands once in each."""
+    chosen = tree.family.join(families.select(F.col(families.columns[0]).alias("handle")).distinct(), "handle", "left_semi")
+    rows = family_timeline(tree.with_tables(family=chosen), all_events=tree)
+    return bounded(rows, low=low, high=high) if low is not None or high is not None else rows
+
+
 def bounded(timeline: DataFrame, first: bool = False, last: bool = False, low: int | None = None, high: int | None = None) -> DataFrame:
     """Rows within the anchor's own first and last event, or within day numbers, which override both."""
     if low is not None or high is not None:
@@ -81,11 +177,14 @@ def bounded(timeline: DataFrame, first: bool = False, last: bool = False, low: i
     return rows.drop("lo", "hi")
 
 
-def family_timeline(tree: Tree, discard_undated: bool = True) -> DataFrame:
-    """(family, event, person, sortval): events of all members of each family and of the family itself; a shared event once per person."""
+def family_timeline(tree: Tree, discard_undated: bool = True, all_events: Tree | None = None) -> DataFrame:
+    """(family, event, person, sortval): events of all members of each family and of the family itself; a shared event once per person.
+
+    ``all_events`` is the tree that tells who took part in what, where ``tree`` has chosen families alone.
+    """
     f = tree.family
     members = f.select(F.col("handle").alias("family"), F.explode(F.array_distinct(F.array_compact(F.concat(F.array("father_handle", "mother_handle"), F.coalesce(F.col("child_ref_list.ref"), F.array().cast("array<string>")))))).alias("person"))
-    took = event_participants(tree).select("event", "person").distinct()
+    took = event_participants(all_events or tree).select("event", "person").distinct()
     rows = members.join(took, "person").join(tree.event.select(F.col("handle").alias("event"), sort_key(F.col("date")).alias("sortval")), "event")
     return (rows.where("sortval > 0") if discard_undated else rows).select("family", "event", "person", "sortval")
 

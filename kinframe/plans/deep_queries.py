@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
-from kinframe.operators import kinship, lives
+from kinframe.operators import kinship, lives, timelines
 from kinframe.plans.demo import demo_tree, flat
-from kinframe.plans.queries import _KIN, KEY, h, query
+from kinframe.plans.queries import _KIN, _TOOK, KEY, h, jdn, query
 from kinframe.tree import Tree
 
 _EVENTS_OF = f""", pe as (select {h('P', 'owner')} as person, e.* from d_event e where owner_class = 'person')"""
@@ -166,3 +166,65 @@ select handle, b.key::int as birth_year, ['birth', 'death', 'parent', 'child', '
 def life_estimates(spark, sf_dir):
     """Birth and death of every person, known or estimated, with the rule, the event behind it, and the bounds."""
     return lives.estimates(demo_tree(spark, sf_dir))
+
+
+def _years(born: str, at: str) -> str:
+    part = lambda t: f"greatest({t}.m1, 1) * 100 + greatest({t}.d1, 1)"
+    return f"case when {born}.sk > 0 and {at}.sk >= {born}.sk then ({at}.y1 - {born}.y1 - case when {part(at)} < {part(born)} then 1 else 0 end) end"
+
+
+_GENERATIONS = f""", {_KIN}, {_TOOK}, ev as (select *, {KEY} as sk from d_event),
+up as (select handle as a, handle as p, 0 as n from d_person union select a, parent, n + 1 from up join par on child = p where n < 2),
+down as (select handle as a, handle as p, 0 as n from d_person union select a, child, n + 1 from down join par on parent = p where n < 2),
+found as (select a, p, n, 0 as kind from up where n > 0 union all select a, p, n, 1 from down where n > 0
+  union all select person, kin, 1, case relation when 'sibling' then 2 else 3 end from kin where relation in ('sibling', 'spouse')),
+nearest as (select a, p, min([n, kind]) as r from found where a <> p group by a, p),
+who as (
+  select handle as anchor, handle as person, 'self' as relation from d_person
+  union all select a, p, case r[2] when 0 then case r[1] when 1 then '' else 'grand' end || case gender when 0 then 'mother' else 'father' end
+    when 1 then case r[1] when 1 then '' else 'grand' end || case gender when 0 then 'daughter' else 'son' end
+    when 2 then case gender when 0 then 'sister' else 'brother' end else case gender when 0 then 'wife' else 'husband' end end
+  from nearest join d_person x on x.handle = p),
+birth as (select owner, y1, m1, d1, sk from ev where type = 'Birth'),
+path as (select s.handle, s.name || ', ' || case when n.title <> '' then n.title else n.name || ', ' || r.name end as path from d_place s join d_place n on n.handle = s.parent join d_place r on r.handle = n.parent),
+line as (
+  select anchor, event, t.person, relation, type, case when relation = 'self' then type else type || ' of ' || relation end as label, path as place, e.sk::bigint as sortval,
+    ({_years('ab', 'e')})::bigint as age_years, ({_years('pb', 'e')})::bigint as person_years
+  from who join took t on t.person = who.person join ev e on e.handle = t.event
+    join birth ab on ab.owner = substr(anchor, 2)::bigint join birth pb on pb.owner = substr(t.person, 2)::bigint left join path on path.handle = {h('S', 'place_no')}
+  where e.sk > 0 and (relation = 'self' or type in ('Birth', 'Death')))"""
+
+
+@query(f"""{_GENERATIONS} select anchor, event, person, relation, label, place, sortval, age_years, person_years from line""")
+def kin_timeline_two_generations(spark, sf_dir):
+    """Everyone's own events and the vital events of kin within two generations both ways, with places and ages."""
+    return timelines.kin_timeline(demo_tree(spark, sf_dir), ancestors=2, offspring=2)
+
+
+@query(f"""{_GENERATIONS} select anchor, event, person, label, sortval from line where relation in ('self', 'sister', 'grandmother', 'grandson') and (type in ('Birth', 'Death') or type in ('Census', 'Residence'))""")
+def kin_timeline_chosen(spark, sf_dir):
+    """The same for chosen relatives, grandparents among them, with own events of one class."""
+    rows = timelines.kin_timeline(demo_tree(spark, sf_dir), ancestors=2, offspring=2, relatives=("sister", "grandmother", "grandson"), classes=("residence",))
+    return rows.select("anchor", "event", "person", "label", "sortval")
+
+
+@query(f""" , {_TOOK}, ev as (select handle, type, {KEY} as sk from d_event), a as (select max(handle) as h from d_person),
+own as (select min(sk) as lo, max(sk) as hi from took join ev on ev.handle = event join a on person = h where sk > 0)
+select distinct event, person, type, sk::bigint as sortval from took join ev on ev.handle = event, own where sk between lo and hi and sk > 0
+  and (person in (select father_handle from d_family) or person = (select h from a))""")
+def people_timeline_anchored(spark, sf_dir):
+    """Events of fathers within the life of the last person."""
+    t = demo_tree(spark, sf_dir)
+    anchor = t.person.agg(F.max("handle")).first()[0]
+    return timelines.people_timeline(t, t.family.select("father_handle"), anchor, first=True, last=True)
+
+
+@query(f""" , {_TOOK}, ev as (select *, {KEY} as sk from d_event), chosen as (select handle, father_handle, mother_handle, fk from d_family where fk % 7 <> 0),
+mem as (select handle as family, father_handle as person from chosen union select handle, mother_handle from chosen union select {h('F', 'fk')}, handle from d_person where fk in (select fk from chosen))
+select distinct family, event, m.person, sk::bigint as sortval from mem m join took t on t.person = m.person join ev on ev.handle = t.event where sk between {jdn('1800', '1', '1')} and {jdn('1899', '12', '31')}""")
+def families_timeline_century(spark, sf_dir):
+    """Timelines of the families with a wedding, within a century."""
+    t = demo_tree(spark, sf_dir)
+    wed = matching(t, "family", any_of("event_ref_list", follow("ref", "event", where(lambda e: e["type"].eq("Marriage"))))).select("handle")
+    low, high = (spark.range(1).select(c).first()[0] for c in timelines.day_bounds("1800/1/1-1899/12/31"))
+    return timelines.families_timeline(t, wed, low, high)

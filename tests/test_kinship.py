@@ -109,3 +109,24 @@ def test_burials_and_circles(spark, monkeypatch):
     assert alive == {"a": (False, "death"), "b": (False, "birth"), "c": (False, "death"), "d": (True, "none"), "e": (True, "none")}
     circle = make(spark, [("d", 1, None, None), ("e", 1, None, None), ("f", 1, 1900, None)], [("d", None, ["e"]), ("e", None, ["d"]), ("f", None, ["d"])])
     assert {r.handle: r.low_witness for r in lives.birth_bounds(circle).collect()} == {"d": "bf", "e": "bf", "f": "bf"}
+
+
+def test_timeline_over_generations(spark):
+    people = [("me", 1, 1950, None), ("ma", 0, 1920, 1990), ("gran", 0, 1890, None), ("kid", 0, 1980, None), ("kidskid", 1, 2005, None), ("wife", 0, 1952, None), ("sis", 0, 1940, None)]
+    t = make(spark, people, [("gran", None, ["ma"]), (None, "ma", ["me", "sis"]), ("me", "wife", ["kid"]), (None, "kid", ["kidskid"])], [("me", "Census", 1960), ("ma", "Census", 1930)])
+    me = spark.createDataFrame([("me",)], "h string")
+    rows = lambda **kw: {(r.label, r.person): (r.age_years, r.person_years) for r in timelines.kin_timeline(t, me, **kw).collect()}
+    near = rows()
+    assert near == {
+        ("Birth", "me"): (0, 0), ("Census", "me"): (10, 10), ("Birth of mother", "ma"): (None, 0), ("Death of mother", "ma"): (40, 70), ("Birth of daughter", "kid"): (30, 0),
+        ("Birth of wife", "wife"): (2, 0), ("Birth of sister", "sis"): (None, 0),
+    }
+    assert set(rows(ancestors=2, offspring=2)) - set(near) == {("Birth of grandmother", "gran"), ("Birth of grandson", "kidskid")}
+    assert set(rows(ancestors=2, offspring=2, relatives=("grandson",), classes=("legal",))) == {("Birth", "me"), ("Birth of grandson", "kidskid")}
+    assert {x for x, _ in rows(ancestors=0, offspring=0)} == {"Birth", "Census", "Birth of wife", "Birth of sister"}
+    some = spark.createDataFrame([("ma",), ("kid",)], "h string")
+    of = lambda **kw: {(r.person, r.type) for r in timelines.people_timeline(t, some, **kw).collect()}
+    assert of() == {("ma", "Birth"), ("ma", "Death"), ("ma", "Census"), ("kid", "Birth")}
+    assert of(anchor="sis", first=True) == {("ma", "Death"), ("kid", "Birth"), ("sis", "Birth")} and ("kid", "Birth") not in of(anchor="sis", last=True)
+    family = timelines.families_timeline(t, spark.createDataFrame([("F1",)], "h string"))
+    assert {(r.family, r.person) for r in family.collect()} == {("F1", "ma"), ("F1", "me"), ("F1", "sis")} and family.count() == 6
