@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +161,62 @@ def undo(current: DataFrame, log: DataFrame, force: bool = False) -> tuple[DataF
     return take.select("handle", inverse.alias("action"), F.col("new").alias("old"), F.col("old").alias("new")), rows.where("conflict").select("handle", "action")
 
 
+def undo_transactions(tree: Tree, log: DataFrame, transactions: DataFrame, force: bool = False) -> tuple[Tree, DataFrame, DataFrame]:
+    """(new tree, conflicts, inverse) of undoing whole transactions together.
+
+    ``log`` is every change there was (tx_id, pos, class, handle, old, new; objects as JSON, null where
+    the record was not there); ``transactions`` has their ids in its first column. All their
+    changes of one record come down to one step back: from the ``new`` of the last to the
+    ``old`` of the first. Objects are read by the schema of their class's table, so
+    that a record is compared by value, spelling and absent fields aside.
+
+    ``conflicts`` (class, handle, reason): "changed since" where the record is not what the last of the changes
+    made it, "changed between" where another transaction changed it in between, "unreadable" where
+    an object is no record of its class. They are told before anything is
+    made: unless ``force``, one conflict leaves the whole tree as it is. Unreadable objects
+    stop it even then. ``inverse`` has the log rows (class, handle, action, old, new) of what was done.
+    Work is by aggregation and joins, so a record with very many changes is
+    no group in one task.
+    """
+    ids = transactions.select(F.col(transactions.columns[0]).alias("tx_id")).distinct()
+    marked = log.join(ids.withColumn("taken", F.lit(True)), "tx_id", "left").withColumn("at", F.struct("tx_id", "pos"))
+    taken = marked.where("taken").groupBy("class", "handle").agg(
+        F.min("at").alias("from"), F.max("at").alias("to"), F.min_by(F.struct("old"), "at").alias("first"), F.max_by(F.struct("new"), "at").alias("last"))
+    steps = cut(taken.select("class", "handle", "from", "to", F.col("first.old").alias("old"), F.col("last.new").alias("new")))
+    inside = marked.where("taken is null").select("class", "handle", "at").join(steps.select("class", "handle", "from", "to"), ["class", "handle"])
+    between = inside.where((F.col("at") > F.col("from")) & (F.col("at") < F.col("to"))).select("class", "handle").distinct().withColumn("between", F.lit(True))
+    steps = steps.join(between, ["class", "handle"], "left")
+    tables, judged, back = tree.tables(), [], {}
+    kinds = sorted(r[0].lower() for r in steps.select("class").distinct().collect())  # of ten at most
+    if unknown := set(kinds) - set(tables):
+        raise ValueError(f"the tree has no tables of {', '.join(sorted(unknown))}")
+    if not kinds:
+        return tree, log.select("class", "handle", F.lit("").alias("reason")).limit(0), log.select("class", "handle", F.lit("").alias("action"), "old", "new").limit(0)
+    for kind in kinds:
+        df = tables[kind]
+        mine = steps.where(F.lower("class") == kind)
+        read = lambda c: F.from_json(F.col(c), df.schema)  # noqa: B023, E731
+        odd = lambda c: F.col(c).isNotNull() & (F.col(f"{c}_rec").isNull() | F.coalesce(F.size(F.array_except(F.json_object_keys(c), F.array(*map(F.lit, df.columns)))) > 0, F.lit(True)) | ~F.col(f"{c}_rec.handle").eqNullSafe(F.col("handle")))  # noqa: B023, E731
+        now = df.select("handle", F.struct(*df.columns).alias("now"))
+        rows = mine.withColumns({"old_rec": read("old"), "new_rec": read("new")}).join(now, "handle", "left")
+        reason = F.when(odd("old") | odd("new"), "unreadable").when(~F.col("now").eqNullSafe(F.col("new_rec")), "changed since").when(F.col("between"), "changed between")
+        back[kind] = cut(rows.withColumn("reason", reason))
+        judged.append(back[kind].where("reason is not null").select("class", "handle", "reason"))
+    conflicts = reduce(DataFrame.union, judged)
+    barred = conflicts.where("reason = 'unreadable'") if force else conflicts
+    if not barred.isEmpty():
+        return tree, conflicts, log.select("class", "handle", F.lit("").alias("action"), "old", "new").limit(0)
+    inverse = []
+    for kind in kinds:
+        df = tables[kind]
+        kept = df.join(back[kind].select("handle"), "handle", "left_anti").select(*df.columns)
+        tables[kind] = kept.union(back[kind].where("old is not null").select("old_rec.*").select(*df.columns))
+        action = F.when(F.col("old").isNull(), "delete").when(F.col("now").isNull(), "add").otherwise("update")
+        was = F.when(F.col("now").isNotNull(), F.to_json("now"))
+        inverse.append(back[kind].where("now is not null or old is not null").select("class", "handle", action.alias("action"), was.alias("old"), F.col("old").alias("new")))
+    return tree.with_tables(**tables), conflicts, reduce(DataFrame.union, inverse)
+
+
 def validate(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): ``rules`` are (message, Column that must hold); rejected rows carry all messages in ``reasons``."""
     reasons = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), message) for message, ok in rules)))

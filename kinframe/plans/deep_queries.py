@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
-from kinframe.operators import kinship, lives, timelines
+from kinframe.operators import changes, kinship, lives, timelines
 from kinframe.plans.demo import demo_tree, flat
 from kinframe.plans.queries import _KIN, _TOOK, KEY, h, jdn, query
 from kinframe.tree import Tree
@@ -228,3 +229,37 @@ def families_timeline_century(spark, sf_dir):
     wed = matching(t, "family", any_of("event_ref_list", follow("ref", "event", where(lambda e: e["type"].eq("Marriage"))))).select("handle")
     low, high = (spark.range(1).select(c).first()[0] for c in timelines.day_bounds("1800/1/1-1899/12/31"))
     return timelines.families_timeline(t, wed, low, high)
+
+
+def revised(spark, sf_dir) -> tuple[Tree, DataFrame]:
+    """(tree as it is now, log): people revised by the transactions of the event table; some begin with their first revision, some end with their last."""
+    t = demo_tree(spark, sf_dir)
+    rows = flat(spark, sf_dir, "revisions").join(t.person, "handle")
+    version = lambda stamp: F.to_json(F.struct(*(F.col(c) if c != "change" else stamp.alias("change") for c in t.person.columns)))
+    before = F.lag("stamp").over(Window.partitionBy("handle").orderBy("n"))
+    rows = rows.withColumn("was", F.coalesce(before.cast("bigint"), F.col("change").cast("bigint")))
+    old = F.when((F.col("n") > 1) | ~F.col("added"), version(F.col("was")))
+    new = F.when((F.col("n") < F.col("total")) | ~F.col("deleted"), version(F.col("stamp").cast("bigint")))
+    log = rows.select("tx_id", "pos", F.lit("Person").alias("class"), "handle", old.alias("old"), new.alias("new"))
+    last = rows.where("n = total").select("handle", "stamp", "deleted")
+    person = t.person.join(last, "handle", "left").where(~F.coalesce("deleted", F.lit(False)))
+    return t.with_tables(person=person.select(*(F.col(c) if c != "change" else F.coalesce(F.col("stamp").cast(t.person.schema["change"].dataType), "change").alias(c) for c in t.person.columns))), log
+
+
+@query(""" , odd as (select handle, bool_or(added) as added from d_revisions where tx_id % 2 = 1 group by handle),
+even as (select handle, bool_or(deleted) as deleted, max(stamp) as stamp from d_revisions where tx_id % 2 = 0 group by handle)
+select p.handle, coalesce(e.stamp, p.change)::bigint as change, gender, surname from d_person p left join odd o using (handle) left join even e using (handle)
+where not coalesce(added, false) and not coalesce(deleted, false)""")
+def undo_odd_transactions(spark, sf_dir):
+    """The person table after undoing every odd transaction: what they revised is as it was, what others revised stays."""
+    tree, log = revised(spark, sf_dir)
+    new, _, _ = changes.undo_transactions(tree, log, log.where("tx_id % 2 = 1").select("tx_id"))
+    return new.person.select("handle", F.col("change").cast("bigint").alias("change"), "gender", F.get("primary_name.surname_list", 0)["surname"].alias("surname"))
+
+
+@query(""" , mine as (select handle, min(n) as a, max(n) as b, count(*) as c, any_value(total) as total from d_revisions where tx_id % 3 = 0 group by handle)
+select 'Person' as class, handle, case when b < total then 'changed since' else 'changed between' end as reason from mine where b < total or b - a + 1 > c""")
+def undo_conflicts_told(spark, sf_dir):
+    """Why every third transaction can't be undone: records changed since, or in between by others."""
+    tree, log = revised(spark, sf_dir)
+    return changes.undo_transactions(tree, log, log.where("tx_id % 3 = 0").select("tx_id"))[1]

@@ -68,6 +68,10 @@ FLAT: dict[str, str] = {
         {_h('EO', 'l_orderkey')} as event_handle, {_h('Q', 'l_partkey')} as source_handle, cast(l_linenumber as string) as page, cast(l_linenumber % 5 as int) as confidence
       from (select distinct l_orderkey, l_partkey, l_suppkey, l_linenumber from {{lineitem}}) t""",
     "reporef": f"select distinct {_h('Q', 'l_partkey')} as source_handle, {_h('L', 'l_suppkey')} as ref from {{lineitem}}",
+    "revisions": f"""
+      select tx_id, pos, handle, row_number() over (partition by handle order by tx_id, pos) as n, count(*) over (partition by handle) as total, user_id % 5 = 0 as added, user_id % 7 = 0 as deleted, 1800000000 + event_id as stamp
+      from (select event_id // 3 as tx_id, event_id % 3 as pos, user_id, event_id, {_h('P', '(2 * user_id + (event_id // 3) % 2)')} as handle from {{events}}) t
+      where handle in (select handle from {{person}})""",
     "changes": """
       select event_id as tx_id, cast(user_id as bigint) as user, event_id % 40 = 39 as undo, case event_id % 5 when 0 then 'add' when 4 then 'delete' else 'update' end as action,
         case event_id % 3 when 0 then 'Person' when 1 then 'Family' else 'Event' end as class, concat('P', lpad(cast(user_id as string), 9, '0')) as handle, ts, cast(value as double) as value

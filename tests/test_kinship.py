@@ -32,7 +32,7 @@ def make(spark, people, families, events=()):
     return Tree(
         person=spark.createDataFrame(rows, "handle string, gender int, birth_ref_index int, death_ref_index int, event_ref_list array<struct<ref:string,role:string>>"),
         family=spark.createDataFrame([(f"F{k}", f, m, [(c,) for c in kids], []) for k, (f, m, kids) in enumerate(families)], "handle string, father_handle string, mother_handle string, child_ref_list array<struct<ref:string>>, event_ref_list array<struct<ref:string,role:string>>"),
-        event=spark.createDataFrame(ev, f"handle string, type string, date {DATE}"),
+        event=spark.createDataFrame([(*e, None) for e in ev], f"handle string, type string, date {DATE}, place string"),
     )
 
 
