@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
 from kinframe.operators import changes, kinship, lives, timelines
+from kinframe.plans.checkpoints import shared_folder
 from kinframe.plans.demo import demo_tree, flat
 from kinframe.plans.queries import _KIN, _TOOK, KEY, h, jdn, query
+from kinframe.streaming import transactions
 from kinframe.tree import Tree
 
 _EVENTS_OF = f""", pe as (select {h('P', 'owner')} as person, e.* from d_event e where owner_class = 'person')"""
@@ -263,3 +265,40 @@ def undo_conflicts_told(spark, sf_dir):
     """Why every third transaction can't be undone: records changed since, or in between by others."""
     tree, log = revised(spark, sf_dir)
     return changes.undo_transactions(tree, log, log.where("tx_id % 3 = 0").select("tx_id"))[1]
+
+
+def nested_log(spark, sf_dir) -> DataFrame:
+    """The event table as transactions of three changes each, nested."""
+    rows = flat(spark, sf_dir, "changes").withColumn("tx", F.floor(F.col("tx_id") / 3).cast("bigint"))
+    new = F.when(F.col("action") != "delete", F.to_json(F.struct("handle", "value")))
+    change = F.struct(F.col("tx_id").alias("at"), F.col("action").alias("type"), F.col("class").alias("_class"), "handle", F.lit(None).cast("string").alias("old"), new.alias("new"))
+    grouped = rows.groupBy("tx").agg(F.array_sort(F.collect_list(change)).alias("c"), F.max(F.struct("tx_id", "ts", "user", "undo")).alias("m"))
+    return grouped.select(
+        F.col("tx").alias("id"), F.struct(F.struct(F.col("m.user").cast("string").alias("name")).alias("user")).alias("connection"), F.lit("edit").alias("description"),
+        F.get("c", 0)["at"].alias("first"), F.col("m.tx_id").alias("last"), F.col("m.undo").alias("undo"), (F.unix_micros(F.from_utc_timestamp(F.col("m.ts").cast("timestamp"), F.current_timezone())) / 1_000_000).alias("timestamp"),
+        F.transform("c", lambda x: F.struct(x["type"].alias("type"), x["_class"].alias("_class"), x["handle"].alias("handle"), x["old"].alias("old"), x["new"].alias("new"))).alias("changes"),
+    )
+
+
+_FLAT = """ , f as (select tx_id // 3 as tx, tx_id % 3 as pos, action, class, handle, value, tx_id, last_value(ts) over w as ts, last_value("user") over w as u, last_value(undo) over w as undo
+  from d_changes window w as (partition by tx_id // 3 order by tx_id rows between unbounded preceding and unbounded following))"""
+
+
+@query(f"""{_FLAT} select tx as tx_id, pos::int as pos, epoch_us(ts) as us, u::varchar as "user", undo, action, class, handle, case when action <> 'delete' then '{{"handle":"' || handle || '","value":' || value::varchar || '}}' end as new from f""")
+def flat_change_log(spark, sf_dir):
+    """The nested log written as JSON lines, read by its schema and made flat."""
+    folder = f"{shared_folder(spark, 'log')}"
+    nested_log(spark, sf_dir).write.json(folder)
+    rows = transactions.flatten_changes(transactions.read_transactions(spark, folder))
+    return rows.select("tx_id", "pos", F.unix_micros("ts").alias("us"), "user", "undo", "action", "class", "handle", "new")
+
+
+@query(f"""{_FLAT} select class, handle, tx as tx_id, '{{"handle":"' || handle || '","value":' || value::varchar || '}}' as new from f
+qualify row_number() over (partition by class, handle order by tx_id desc) = 1 and action <> 'delete'""")
+def bucketed_snapshot(spark, sf_dir):
+    """The newest object of every handle, from the log applied in four batches to buckets, the second one twice and out of order."""
+    snapshot = transactions.BucketedSnapshot(spark, shared_folder(spark, "snapshot"), buckets=16)
+    rows = transactions.flatten_changes(nested_log(spark, sf_dir)).withColumn("part", F.pmod(F.xxhash64("tx_id"), F.lit(4)))
+    for number, part in enumerate((2, 0, 0, 3, 1)):
+        snapshot.apply(rows.where(F.col("part") == part), number)
+    return snapshot.read()
