@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
-from kinframe.operators import changes, kinship, lives, timelines
+from kinframe.operators import changes, dna, kinship, lives, timelines
 from kinframe.plans.checkpoints import shared_folder
 from kinframe.plans.demo import demo_tree, flat
+from kinframe.plans.record_queries import _twin
 from kinframe.plans.queries import _KIN, _TOOK, KEY, h, jdn, query
 from kinframe.streaming import transactions
 from kinframe.tree import Tree
@@ -302,3 +303,57 @@ def bucketed_snapshot(spark, sf_dir):
     for number, part in enumerate((2, 0, 0, 3, 1)):
         snapshot.apply(rows.where(F.col("part") == part), number)
     return snapshot.read()
+
+
+def matched_tree(spark, sf_dir) -> Tree:
+    """The derived people, each with a DNA match whose notes are the person's orders: a line for each of their items, some with faults."""
+    t = demo_tree(spark, sf_dir)
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").distinct()
+    number = lambda c: F.col(c).cast("bigint").cast("string")
+    start = (F.col("l_partkey").cast("bigint") + 1) * 1000
+    stop = F.when(F.col("l_partkey") % 11 == 0, start - 1).otherwise(start + F.col("l_suppkey").cast("bigint") * 10)
+    line = F.when(F.col("l_linenumber") == 7, F.lit("see letter")).otherwise(F.concat_ws(
+        ",", (1 + F.col("l_partkey") % 25).cast("string"), start.cast("string"), stop.cast("string"), number("l_quantity"),
+        F.when(F.col("l_suppkey") % 9 == 0, F.lit("many")).otherwise(number("l_suppkey")), F.when(F.col("l_suppkey") % 2 == 0, F.lit("p")).otherwise(F.lit(""))))
+    body = item.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    note = body.select(F.concat(F.lit("X"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("handle"), F.struct(F.concat(F.lit("Chromosome,Start,Stop,cM,SNPs,Side\n"), "body").alias("string")).alias("text"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("handle"), F.concat(F.lit("X"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("note"))
+    lists = orders.groupBy("handle").agg(F.array_sort(F.collect_list("note")).alias("notes"))
+    people = flat(spark, sf_dir, "person")
+    pair = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n")))).select("handle", F.concat(F.lit("P"), F.lpad(((F.col("k") * 7 + 3) % F.col("n")).cast("string"), 9, "0")).alias("match"))
+    ref = F.array(F.struct(F.lit("other").alias("ref"), F.lit("Godfather").alias("rel"), F.array().cast("array<string>").alias("note_list")), F.struct(F.col("match").alias("ref"), F.lit("dna").alias("rel"), F.coalesce("notes", F.array().cast("array<string>")).alias("note_list")))
+    person = t.person.join(pair, "handle").join(lists, "handle", "left").withColumn("person_ref_list", ref)
+    return t.with_tables(person=person.select(*t.person.columns, "person_ref_list"), note=note)
+
+
+_LINES = f""" , item as (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem),
+placed as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) + 1 as line from item),
+said as (
+  select {h('X', 'l_orderkey')} as note, l_orderkey, line::int as line, l_linenumber = 7 as odd, 1 + l_partkey % 25 as c, (l_partkey::bigint + 1) * 1000 as a, l_suppkey % 9 = 0 as many, l_partkey % 11 = 0 as back,
+    l_suppkey, l_quantity::bigint::double as cm from placed),
+seg as (
+  select note, l_orderkey, line, case when not odd then case when c <= 22 then c::varchar end end as chromosome, case when not odd then a end as start, case when not odd then case when back then a - 1 else a + l_suppkey::bigint * 10 end end as stop,
+    case when not odd and l_suppkey % 2 = 0 then 'P' else 'U' end as side, case when not odd then cm end as cm, case when not odd and not many then l_suppkey::bigint end as snps,
+    case when odd then 'fields' when c > 22 then 'chromosome' when back then 'stop before start' when many then 'SNPs' end as fault
+  from said)"""
+
+
+@query(f"{_LINES} select note, line, chromosome, start, stop, side, cm, snps, fault from seg")
+def dna_segments(spark, sf_dir):
+    """Every line of every note as a typed segment with its fault."""
+    return dna.segments(matched_tree(spark, sf_dir).note).drop("comment")
+
+
+_WAY_TABLES, _WAYS_OF = _twin("relationship_ways")
+
+
+@query(f"""{_WAY_TABLES}{_LINES}, ways as ({_WAYS_OF}),
+best as (select * from ways qualify row_number() over (partition by a, b order by up + down, up, down) = 1),
+owned as (select {h('P', 'o_custkey')} as person, seg.* from seg join orders on o_orderkey = l_orderkey),
+summed as (select person, count(*) filter (fault is null) as n, coalesce(sum(cm) filter (fault is null), 0) as cm, string_agg(note || ':' || line || ' ' || fault, '; ' order by note, line) filter (fault is not null) as faults from owned group by person)
+select p.a as person, 1 as person_ref_idx, p.b as match, coalesce(ancestors, '') as ancestors, coalesce(n, 0)::int as n_segments, coalesce(cm, 0)::double as centimorgans, coalesce(faults, '') as faults
+from (select handle as a, {h('P', '(k * 7 + 3) % (select count(*) from d_person)')} as b from d_person) p left join best on best.a = p.a and best.b = p.b left join summed s on s.person = p.a""")
+def dna_match_list(spark, sf_dir):
+    """Every person's match: latest common ancestors, segments, their sum and the faults of the notes."""
+    rows = dna.dna_matches(matched_tree(spark, sf_dir))
+    return rows.select("person", "person_ref_idx", "match", F.array_join("ancestors", "; ").alias("ancestors"), F.size("segments").alias("n_segments"), "centimorgans", F.array_join("faults", "; ").alias("faults"))
