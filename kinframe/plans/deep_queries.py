@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
-from kinframe.operators import changes, dna, kinship, lives, timelines
+from kinframe.operators import changes, details, dna, kinship, lives, timelines
 from kinframe.plans.checkpoints import shared_folder
 from kinframe.plans.demo import demo_tree, flat
 from kinframe.plans.record_queries import _twin
@@ -357,3 +357,56 @@ def dna_match_list(spark, sf_dir):
     """Every person's match: latest common ancestors, segments, their sum and the faults of the notes."""
     rows = dna.dna_matches(matched_tree(spark, sf_dir))
     return rows.select("person", "person_ref_idx", "match", F.array_join("ancestors", "; ").alias("ancestors"), F.size("segments").alias("n_segments"), "centimorgans", F.array_join("faults", "; ").alias("faults"))
+
+
+def attached_tree(spark, sf_dir) -> Tree:
+    """The derived people with the documents as their notes and the pages as their media; every tenth also refers to a note that is not there."""
+    t = demo_tree(spark, sf_dir)
+    person = flat(spark, sf_dir, "person")
+    n = person.count()
+    pick = lambda c: F.concat(F.lit("P"), F.lpad((F.col(c) % n + 1).cast("string"), 9, "0"))
+    notes = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(pick("doc_id").alias("handle")).agg(F.array_sort(F.collect_list(F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))).alias("note_list"))
+    media = spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(pick("page_id").alias("handle")).agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("O"), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("ref")))).alias("media_list"))
+    rows = t.person.join(notes, "handle", "left").join(media, "handle", "left")
+    lost = F.when(F.substring("handle", -1, 1) == "0", F.array(F.lit("gone"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("note_list", F.concat(F.coalesce("note_list", F.array().cast("array<string>")), lost))
+    return t.with_tables(person=rows)
+
+
+_SECTIONS = f""", {_KIN}, {_TOOK}, ev as (select *, {KEY} as sk from d_event), named as (select handle, record_id, trim(first_name || ' ' || surname) as name from d_person),
+kin_of as (select person, relation, string_agg(distinct n.record_id || ' ' || n.name, '; ' order by n.record_id || ' ' || n.name) as listed from kin join named n on n.handle = kin.kin group by person, relation),
+cites as (select event_handle, string_agg(handle, ',' order by handle) as ids from d_citation group by event_handle),
+notes as (select {h('P', 'doc_id % (select count(*) from d_person) + 1')} as person, string_agg(substr(coalesce(text, ''), 1, 50) || case when length(coalesce(text, '')) > 50 then '...' else '' end || ' (' || {h('D', 'doc_id')} || ')', '; ' order by doc_id) as listed from documents group by all),
+media as (select {h('P', 'page_id % (select count(*) from d_person) + 1')} as person, string_agg(url || ' (' || {h('O', 'page_id')} || ')', '; ' order by page_id) as listed from pages group by all)"""
+
+
+@query(f"""{_SECTIONS},
+line as (select who.anchor, string_agg(sk::varchar || ' ' || t.event || ' ' || n.record_id || ' ' || coalesce(c.ids, ''), '; ' order by sk, t.event, n.record_id) as listed
+  from (select handle as anchor, handle as person, true as own from d_person union select person, kin, false from kin) who join took t on t.person = who.person join ev e on e.handle = t.event
+    join named n on n.handle = t.person left join cites c on c.event_handle = t.event where sk > 0 and (own or type in ('Birth', 'Death')) group by who.anchor)
+select n.handle, n.record_id as id, n.name, coalesce(a.listed, '') as parents, coalesce(b.listed, '') as siblings, coalesce(c.listed, '') as spouses, coalesce(d.listed, '') as children, coalesce(line.listed, '') as timeline,
+  concat_ws('; ', notes.listed, case when n.handle like '%0' then '- (gone)' end) as notes, coalesce(media.listed, '') as media
+from named n left join kin_of a on a.person = n.handle and a.relation = 'parent' left join kin_of b on b.person = n.handle and b.relation = 'sibling' left join kin_of c on c.person = n.handle and c.relation = 'spouse'
+  left join kin_of d on d.person = n.handle and d.relation = 'child' left join line on line.anchor = n.handle left join notes on notes.person = n.handle left join media on media.person = n.handle""")
+def person_sections(spark, sf_dir):
+    """Every section of every person: kin, timeline with citations, notes and media."""
+    d = details.person_sections(attached_tree(spark, sf_dir))
+    people = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: F.concat_ws(" ", x["id"], x["name"]))), "; ").alias(c)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(x["label"], F.lit("-")), F.lit(" ("), x["id"], F.lit(")"))), "; ").alias(c)
+    line = F.array_join(F.transform("timeline", lambda x: F.concat_ws(" ", x["told"]["sortval"].cast("string"), x["told"]["event"], x["person_id"], F.array_join(x["told"]["citations"], ","))), "; ").alias("timeline")
+    return d.select("handle", F.col("who.id").alias("id"), F.col("who.name").alias("name"), *map(people, ("parents", "siblings", "spouses", "children")), line, listed("notes"), listed("media"))
+
+
+@query(f"""{_SECTIONS},
+mem as (select handle as family, father_handle as person from d_family union select handle, mother_handle from d_family union select {h('F', 'fk')}, handle from d_person where fk is not null),
+line as (select family, count(*) as n, sum(sk)::bigint as days from (select distinct family, event, t.person, sk from mem join took t using (person) join ev on ev.handle = event where sk > 0) x group by family),
+kids as (select {h('F', 'fk')} as family, string_agg(n.record_id || ' ' || n.name, '; ' order by handle) as listed from d_person p join named n using (handle) where fk is not null group by all),
+wed as (select owner, sk, {h('S', 'place_no')} as place from ev where type = 'Marriage')
+select f.handle, a.name as father, b.name as mother, coalesce(kids.listed, '') as children, w.sk::bigint as married, coalesce(n, 0)::int as n_events, coalesce(days, 0)::bigint as days
+from d_family f left join named a on a.handle = father_handle left join named b on b.handle = mother_handle left join kids on kids.family = f.handle left join wed w on w.owner = f.fk left join line on line.family = f.handle""")
+def family_sections(spark, sf_dir):
+    """Every section of every family, its timeline as its length and the sum of its days."""
+    d = details.family_sections(demo_tree(spark, sf_dir))
+    kids = F.array_join(F.transform("children", lambda x: F.concat_ws(" ", x["id"], x["name"])), "; ").alias("children")
+    days = F.aggregate("timeline", F.lit(0).cast("long"), lambda t, x: t + x["told"]["sortval"]).alias("days")
+    return d.select("handle", F.col("father.name").alias("father"), F.col("mother.name").alias("mother"), kids, F.col("married.sortval").alias("married"), F.size("timeline").alias("n_events"), days)
