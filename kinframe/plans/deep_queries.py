@@ -12,6 +12,7 @@ from kinframe.plans.checkpoints import shared_folder
 from kinframe.plans.demo import demo_tree, flat
 from kinframe.plans.record_queries import _twin
 from kinframe.plans.queries import _KIN, _TOOK, KEY, h, jdn, query
+from kinframe.sources import writes
 from kinframe.streaming import transactions
 from kinframe.tree import Tree
 
@@ -410,3 +411,29 @@ def family_sections(spark, sf_dir):
     kids = F.array_join(F.transform("children", lambda x: F.concat_ws(" ", x["id"], x["name"])), "; ").alias("children")
     days = F.aggregate("timeline", F.lit(0).cast("long"), lambda t, x: t + x["told"]["sortval"]).alias("days")
     return d.select("handle", F.col("father.name").alias("father"), F.col("mother.name").alias("mother"), kids, F.col("married.sortval").alias("married"), F.size("timeline").alias("n_events"), days)
+
+
+@query(""" , e as (select o_orderkey as k from orders), p as (select c_custkey as k from customer), s as (select p_partkey as k, p_name from part)
+select 'event' as kind, k, concat_ws('; ', case when k % 7 = 0 then 'type: is required' end, case when k % 5 = 0 then 'citation_list: is required' end, case when k % 3 = 0 then 'place: must be a handle, not a name' end,
+  case when k % 11 = 4 then 'date: needs 8 entries' end, case when k % 13 = 0 then 'weather: is unknown' end) as reasons from e where k % 7 = 0 or k % 5 = 0 or k % 3 = 0 or k % 11 = 4 or k % 13 = 0
+union all select 'person', k, concat_ws('; ', case when k % 4 = 3 then 'gender: must be 0, 1 or 2' end, case when k % 6 = 1 then 'event_ref_list: each needs ref and role' end) from p where k % 4 = 3 or k % 6 = 1
+union all select 'source', k, 'title: must not be empty' from s where k % 9 = 0""")
+def write_rules(spark, sf_dir):
+    """Events, people and sources told as JSON lines from the orders, customers and parts, each with what is wrong with it."""
+    read = lambda t, *cols: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*cols)
+    k, text = F.col("k"), lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    line = lambda *fields: F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    modifier = (k % 9).cast("string")
+    length = F.when((k % 9).isin(4, 5), F.lit("[1,2,1900,false,3,4,1901,false]")).otherwise(F.lit("[1,2,1900,false]"))
+    date = F.when(k % 11 == 4, F.lit('{"modifier":5,"dateval":[1,2,1900,false]}')).otherwise(F.concat(F.lit('{"modifier":'), modifier, F.lit(',"dateval":'), length, F.lit("}")))
+    place = F.when(k % 3 == 0, text(F.concat(F.lit("Town "), k.cast("string")))).otherwise(text(F.lpad(F.lower(F.hex(k)), 16, "0")))
+    event = line(F.when(k % 7 != 0, field("type", F.lit('"Census"'))), F.when(k % 5 != 0, field("citation_list", F.lit('["c"]'))), field("place", place), field("date", date), F.when(k % 13 == 0, field("weather", F.lit('"rain"'))))
+    role = F.when(k % 6 == 1, F.lit('[{"ref":"e"}]')).otherwise(F.lit('[{"ref":"e","role":"Primary"}]'))
+    person = line(field("primary_name", F.lit('{"first_name":"A"}')), field("gender", (k % 4).cast("string")), field("event_ref_list", role))
+    source = line(field("title", F.when(k % 9 == 0, F.lit('""')).otherwise(text(F.col("p_name")))))
+    out = None
+    for kind, rows, value in (("event", read("orders", F.col("o_orderkey").alias("k")), event), ("person", read("customer", F.col("c_custkey").alias("k")), person), ("source", read("part", F.col("p_partkey").alias("k"), "p_name"), source)):
+        bad = writes.check_records(rows.withColumn("value", value), kind)[1].select(F.lit(kind).alias("kind"), "k", F.array_join("reasons", "; ").alias("reasons"))
+        out = bad if out is None else out.union(bad)
+    return out
