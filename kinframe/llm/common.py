@@ -46,10 +46,16 @@ def python_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).rstrip("b")) <= ARROW_BYTES:  # told in bytes
+    if not 0 < _bytes(spark.conf.get(key)) <= ARROW_BYTES:
         spark.conf.set(key, ARROW_BYTES)
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings have it ("8m", "64kb", "4096"), in bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[0] if unit else "b")
+
+
 class Remembered(dict):
     """What one task knows by word already, in two generations of so many (estimated) bytes together.
 

@@ -59,7 +59,7 @@ def lcs(masks: dict[bytes, int], n: int, other: list[bytes]) -> int:
 
 @dataclass
 class Index:
-    """Latent vectors of a block of items."""
+    """Latent vectors of a block of items. A passage's owner is the text it was cut from; texts that share an item id are told apart."""
 
     vocab: dict[bytes, int]
     idf: np.ndarray
@@ -69,7 +69,8 @@ class Index:
     masks: list[dict[bytes, int]]
     sizes: list[int]
     answers: list[frozenset[bytes]]
-    parts: dict[int, int]
+    parts: list[int]
+    items: list[int]
 
     def hits(self, texts: list[str | None], at_least: float, verbatim: float, paraphrase: float) -> list[list[dict]]:
         """Items found in each text: windows near to a passage by cosine, then held against it word by word."""
@@ -112,10 +113,12 @@ class Index:
         found: dict[tuple[int, int], list[tuple]] = {}
         for (d, q), v in sorted(best.items()):
             found.setdefault((d, self.owner[q]), []).append(v)
-        for (d, item), v in sorted(found.items()):
-            if 2 * len(v) >= self.parts[item] or max(v)[0] >= WHOLE:
-                share, cosine, got, start = max(v)
-                out[d].append({"item": item, "cosine": cosine, "lcs": share, "answer": got, "start": start})
+        told: dict[tuple[int, int], tuple] = {}
+        for (d, text), v in found.items():
+            if 2 * len(v) >= self.parts[text] or max(v)[0] >= WHOLE:
+                told[d, self.items[text]] = max(told.get((d, self.items[text]), max(v)), max(v))
+        for (d, item), (share, cosine, got, start) in sorted(told.items()):
+            out[d].append({"item": item, "cosine": cosine, "lcs": share, "answer": got, "start": start})
         return out
 
     def _weights(self, q: int) -> dict[bytes, float]:
@@ -248,16 +251,16 @@ def build_index(items: list[tuple[int, str]], corpus: Corpus, rank: int) -> Inde
     queries = np.array([sum(basis[vocab[w]] for w in p) for _, _, ps in split for p in ps], np.float32)
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     owner, masks, sizes, answers = [], [], [], []
-    for i, text, ps in split:
+    for k, (_, text, ps) in enumerate(split):
         for p in ps:
             bits: dict[bytes, int] = {}
-            for k, w in enumerate(p):
-                bits[w] = bits.get(w, 0) | 1 << k
-            owner.append(i)
+            for at, w in enumerate(p):
+                bits[w] = bits.get(w, 0) | 1 << at
+            owner.append(k)
             masks.append(bits)
             sizes.append(len(p))
             answers.append(answer_words(text) if len(ps) == 1 else frozenset(p))
-    return Index(vocab, idf, basis, queries, owner, masks, sizes, answers, {i: len(ps) for i, _, ps in split})
+    return Index(vocab, idf, basis, queries, owner, masks, sizes, answers, [len(ps) for _, _, ps in split], [i for i, _, _ in split])
 
 
 def mark_contaminated(
@@ -289,12 +292,14 @@ def mark_contaminated(
     Items of more than 48 words are cut in passages; half of them must be found,
     or one of them whole.
 
-    With one block of items nothing of the texts is shuffled. With more, each
-    block gives the hits of texts that have some, keyed by 128-bit text hash, and
-    only rows in the hash buckets of such texts are shuffled to meet them.
+    With one block of items nothing of the texts is shuffled. With more, one block after the
+    other is broadcast, gives the hits of texts that have some, keyed by 128-bit text hash, which are
+    cut, and is freed, so that memory does not grow with their number; only rows in the hash
+    buckets of such texts are shuffled to meet them.
 
     Null and empty texts and items are found nowhere, an empty table is an empty
-    result. Repeated items are found alike, repeated rows are each marked; all
+    result. Repeated items are found alike; texts that share an item id are each held against a
+    document by themselves, and the best of them is told. Repeated rows are each marked; all
     columns of ``docs`` are kept, and one that is named like ``out_col`` is an error.
     """
     if out_col.lower() in (c.lower() for c in docs.columns):
@@ -304,11 +309,6 @@ def mark_contaminated(
     items = cut(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, math.ceil(items.count() / block_items))))))
     every = {w for r in items.select("t").toLocalIterator() for w in words(r.t)}
     corpus = Corpus.gather(docs, {w: k + 1 for k, w in enumerate(sorted(every))}, id_col, text_col, sample_docs) if every else None
-    indexes = []
-    for b in sorted(r.block for r in items.select("block").distinct().collect()) if every else []:
-        index = build_index(sorted((r.i, r.t) for r in items.where(F.col("block") == b).collect()), corpus, rank)
-        if index:
-            indexes.append(docs.sparkSession.sparkContext.broadcast(index))
     kind = pa.list_(pa.struct([("item", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("start", pa.int32())]))
 
     def searched(df: DataFrame, shared, name: str) -> DataFrame:
@@ -321,15 +321,25 @@ def mark_contaminated(
 
         return df.mapInArrow(run, widened(df, f"`{name}` {HITS}"))
 
-    if not indexes:
-        return docs.withColumn(out_col, F.array().cast(HITS))
-    if len(indexes) == 1:
-        return searched(docs, indexes[0], out_col)
+    numbers = sorted(r.block for r in items.select("block").distinct().collect()) if every else []
+    indexed = lambda b: build_index(sorted((r.i, r.t) for r in items.where(F.col("block") == b).collect()), corpus, rank)
+    share = docs.sparkSession.sparkContext.broadcast
+    if len(numbers) <= 1:
+        index = indexed(numbers[0]) if numbers else None
+        return searched(docs, share(index), out_col) if index else docs.withColumn(out_col, F.array().cast(HITS))
     h1, h2 = hash128(F.col(text_col))
     texts = docs.where(F.col(text_col).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), text_col)
-    some = reduce(DataFrame.union, (searched(texts, x, "hits").where("size(hits) > 0").select("h1", "h2", F.explode("hits").alias("hit")) for x in indexes))
-    some = some.groupBy("h1", "h2", "hit.item").agg(F.first("hit").alias("hit")).groupBy("h1", "h2").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    return attach(docs, cut(some), [h1, h2], "hits", out_col, F.array().cast(HITS))
+    some = []
+    for b in numbers:
+        if index := indexed(b):
+            shared = share(index)
+            some.append(cut(searched(texts, shared, "hits").where("size(hits) > 0").select("h1", "h2", F.explode("hits").alias("hit"))))
+            shared.destroy()
+    if not some:
+        return docs.withColumn(out_col, F.array().cast(HITS))
+    best = F.max_by("hit", F.struct("hit.lcs", "hit.cosine", "hit.answer", "hit.start"))
+    told = reduce(DataFrame.union, some).groupBy("h1", "h2", "hit.item").agg(best.alias("hit")).groupBy("h1", "h2").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    return attach(docs, cut(told), [h1, h2], "hits", out_col, F.array().cast(HITS))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
