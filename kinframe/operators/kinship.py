@@ -61,8 +61,11 @@ def kinship(tree: Tree, persons: DataFrame | None = None, steps: int = 4) -> Dat
     else:
         asked = persons.select(F.col(persons.columns[0]).alias("person")).distinct()
         start = way.join(asked, "person", "left_semi")
-    parted = lambda df, side: df.join(known.select(F.col("child").alias("via"), F.col("parents").alias(f"{side}_parents")), "via", "left").select(
-        F.col("person").alias(side), "top", F.col("n").alias("up" if side == "a" else "down"), F.col("via").alias(f"{side}_via"), f"{side}_parents")
+
+    def parted(df: DataFrame, side: str) -> DataFrame:
+        """Lines with the parents of the child where they branch; one's own line has no such child, and oneself as the key, so that these rows spread."""
+        keyed = df.withColumn("key", F.coalesce("via", "person")).join(known.select(F.col("child").alias("key"), F.col("parents").alias(f"{side}_parents")), "key", "left")
+        return keyed.select(F.col("person").alias(side), "top", F.col("n").alias("up" if side == "a" else "down"), F.col("via").alias(f"{side}_via"), f"{side}_parents")
 
     def met(first: DataFrame) -> DataFrame:
         """(a, b, up, down, half) of the blood relations of the lines' persons; their own lines down too."""
