@@ -179,7 +179,7 @@ def _verify(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 2, block: int = 2000) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 1, block: int = 2000) -> DataFrame:
     """(id, n_shingles, component): components of the graph of texts with Jaccard similarity of ``percent`` or more.
 
     1. Each text gives its shingle set and a 128-bit digest of it. Texts of one
@@ -200,7 +200,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     4. What is left of the larger ones is compared exactly: the members of a
        bucket outside its largest component against all, in blocks of ``block``
        rows, first by short sketch (the Hamming distance bounds the difference from
-       below), then by text. No partner and no bucket is capped.
+       below), then by text. A pair that shares many buckets is given by the one of
+       least key alone. No partner and no bucket is capped.
 
     Null texts and texts without a word have no shingles and stay alone. Ids must
     be integers. Rows of null id are returned with a null component and link with
@@ -305,6 +306,8 @@ def _with_repeated_ids(rows: DataFrame, repeated: DataFrame, n: int, percent: in
 SAMPLE, HEAVY = 10_000, 20
 #: Buckets of up to so many members give their few pairs at once.
 SMALL = 8
+#: Least keys of a set that go with it to its blocks; a pair with none of these in common is given by each bucket it shares.
+FIRST_KEYS = 64
 
 
 def _small_pairs(open_: DataFrame) -> DataFrame:
@@ -318,7 +321,9 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
     """Pairs (a, id) of different components that share a bucket and whose short sketches allow the similarity.
 
     The members outside a bucket's largest component meet all of its members,
-    as pairs of blocks, so that a task looks at about two blocks at a time.
+    as pairs of blocks, so that a task looks at about two blocks at a time. Members
+    of different components meet in every open bucket they share; only that of the
+    least key among the ``FIRST_KEYS`` of both gives the pair.
     """
     counts = open_.groupBy("key", "component").agg(F.count("*").alias("c"))
     shape = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total")).select(
@@ -331,23 +336,25 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
     cells = cells.select("key", "id", "component", (F.col("other") & (F.col("cell.i") == F.col("row"))).alias("probe"), (F.col("cell.j") == F.col("column")).alias("met"), "cell.i", "cell.j")
 
     sketches = only(sizes.select("id", "n", "short"), open_.select("id").distinct(), "id").groupBy("id").agg(F.max("n").alias("n"), F.min("short").alias("short"))
-    dealt = cells.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    firsts = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    dealt = cells.join(sketches.join(firsts, "id"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def near_pairs(group: list[tuple]) -> set[tuple[int, int]]:
+    def near_pairs(bucket: int, group: list[tuple]) -> set[tuple[int, int]]:
         at: dict[int, list[tuple]] = {}
-        for g, x, probe, met, size, short in group:  # by length of the sketch
+        firsts = {row[1]: frozenset(row[-1]) for row in group}
+        for g, x, probe, met, size, short, _ in group:  # by length of the sketch
             if met:
                 at.setdefault(len(short), []).append((x, g, size, short))
         stacked = [tuple(np.array(c) for c in zip(*rows)) for rows in at.values()]
         found = set()
-        for g, x, probe, met, size, short in group:
+        for g, x, probe, met, size, short, _ in group:
             if probe:
                 mine = np.array(short)
                 for ids, of, sizes, bits in stacked:
                     apart = bits ^ mine if bits.shape[1] == len(mine) else folded(bits) ^ folded(mine)
                     far = np.bitwise_count(apart.view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute values
                     ok = (far * (100 + percent) <= (sizes + size) * (100 - percent)) & (of != g)
-                    found.update((x, y) for y in ids[ok].tolist())
+                    found.update((x, y) for y in ids[ok].tolist() if min(firsts[x] & firsts[y], default=bucket) == bucket)
         return found
 
     def compare(batches):
@@ -355,15 +362,15 @@ def _open_pairs(open_: DataFrame, sizes: DataFrame, percent: int, block: int) ->
         out = lambda found: pa.RecordBatch.from_pylist([{"a": a, "id": b} for a, b in sorted(found)], kind)
         here, group = None, []
         for batch in batches:
-            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "met", "n", "short"))
+            key, i, j, *rest = (batch.column(c).to_pylist() for c in ("key", "i", "j", "component", "id", "probe", "met", "n", "short", "firsts"))
             for k, row in zip(zip(key, i, j), zip(*rest)):
                 if k != here:
                     if group:
-                        yield out(near_pairs(group))
+                        yield out(near_pairs(here[0], group))
                     here, group = k, []
                 group.append(row)
         if group:
-            yield out(near_pairs(group))
+            yield out(near_pairs(here[0], group))
 
     return dealt.mapInArrow(compare, "a long, id long")
 
