@@ -184,12 +184,17 @@ def tree_lines(walked: Walk, sibling_order: DataFrame | None = None) -> DataFram
     A node's full listing stands at its first place in depth-first order, which
     in an acyclic graph is its least position path; other edges to it give a
     repeat line whose subtree is left out. Least paths are relaxed level by
-    level; positions are zero-padded ranks among siblings.
+    level; positions are zero-padded ranks among siblings. Siblings stand in the
+    order of ``sibling_order`` (handle, place), those without a place last, then by
+    handle; of several places of a handle the least counts.
     """
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.partitionBy("root", "src").orderBy("dst"))
-    step = cut(walked.edges.select("root", "src", "dst", F.lpad(order.cast("string"), 6, "0").alias("pos")))
+    edges = walked.edges.withColumn("place", F.lit(0))
+    if sibling_order is not None:
+        edges = walked.edges.join(sibling_order.groupBy(F.col("handle").alias("dst")).agg(F.min("place").alias("place")), "dst", "left")
+    order = F.row_number().over(Window.partitionBy("root", "src").orderBy(F.col("place").asc_nulls_last(), "dst"))
+    step = cut(edges.select("root", "src", "dst", F.lpad(order.cast("string"), 6, "0").alias("pos")))
     best = cut(walked.nodes.where("handle = root").select("root", "handle", F.array(F.lit("000001")).alias("path"), F.array("handle").alias("line")))
     while True:
         grown = best.join(step, (best["root"] == step["root"]) & (best["handle"] == step["src"])).where(~F.array_contains("line", F.col("dst"))).select(

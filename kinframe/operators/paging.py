@@ -14,17 +14,32 @@ PAGE_SIZE = 20
 _ROW_BITS = 33  # of monotonically_increasing_id: the row within its partition
 
 
-def sort_columns(keys: str, known: dict[str, Column]) -> list[Column]:
-    """Columns of a comma list of keys, ``-`` for descending, the handle last; an unknown key is an error."""
+def sort_columns(keys: str, known: dict[str, Column | list[Column]]) -> list[Column]:
+    """Columns of a comma list of keys, ``-`` for descending, the handle last; an unknown key is an error.
+
+    A key may stand for several columns, which turn around together.
+    """
     out = []
     for key in filter(None, (k.strip() for k in keys.split(","))):
         name = key.removeprefix("-")
         if name not in known:
             raise ValueError(f"unknown sort key {name}; known are {', '.join(sorted(known))}")
-        out.append(known[name].desc() if key.startswith("-") else known[name].asc())
+        columns = known[name] if isinstance(known[name], list) else [known[name]]
+        out += [c.desc() if key.startswith("-") else c.asc() for c in columns]
     return [*out, F.col("handle").asc()]
 
 
+def person_keys(people: DataFrame) -> dict[str, Column | list[Column]]:
+    """Sort keys of people: ``surname`` with given name and suffix as tie-break, ``soundex`` (surnames that sound alike together), ``gender`` and ``change``.
+
+    A person without a surname has an empty one; fields that the table lacks are left out.
+    """
+    name = F.col("primary_name")
+    surname = F.coalesce(F.get(name["surname_list"], 0)["surname"], F.lit(""))
+    ties = [F.coalesce(name[f], F.lit("")) for f in ("first_name", "suffix") if f in people.schema["primary_name"].dataType.names]
+    return {"surname": [surname, *ties], "soundex": [F.soundex(surname), surname, *ties]} | {k: F.col(k) for k in ("gender", "change") if k in people.columns}
+
+
 def page(df: DataFrame, keys: str, known: dict[str, Column], number: int = 1, size: int = PAGE_SIZE) -> tuple[DataFrame, DataFrame]:
     """One page (the first is 1) in the order of ``keys``, and the true total as a one-row frame.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinframe.operators import paging
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits."""
@@ -46,6 +48,20 @@ def search_records(texts: DataFrame, queries: DataFrame) -> DataFrame:
     return found.join(queries.select("query_id", F.col("type").alias("__only")), "query_id").where("__only is null or __only = id.type").select("query_id", "id.type", "id.handle", "score")
 
 
+def placed(found: DataFrame, changes: DataFrame, keys: str = "-score") -> DataFrame:
+    """``found`` of :func:`search_records` with ``change`` and each hit's ``place`` (from 1) in its query, in the order of ``keys``.
+
+    ``changes`` is (type, handle, change); ``keys`` is a comma list of ``score``, ``change`` and ``type``, with ``-`` for
+    descending; type and handle break ties. A record without a change has null there. The hits of all queries are put in
+    one order by ranges, so that a query with very many hits does not fill one task.
+    """
+    dated = found.join(changes.select("type", "handle", "change"), ["type", "handle"], "left")
+    order = paging.sort_columns(keys, {k: F.col(k) for k in ("score", "change", "type")})
+    at = paging.positions(dated, F.col("query_id"), *order[:-1], F.col("type"), F.col("handle"), out="__at")
+    first = at.groupBy("query_id").agg(F.min("__at").alias("__first"))
+    return at.join(first, "query_id").select("query_id", "type", "handle", "score", "change", (F.col("__at") - F.col("__first") + 1).alias("place"))
+
+
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = 64) -> DataFrame:
     """(query_id, id, cosine, place): the ``k`` nearest vectors of each query by cosine.
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
-from kinframe.operators import changes, details, dna, kinship, lives, timelines
+from kinframe.operators import changes, details, dna, kinship, lives, paging, search, timelines
 from kinframe.plans.checkpoints import shared_folder
 from kinframe.plans.demo import demo_tree, flat
-from kinframe.plans.record_queries import _twin
-from kinframe.plans.queries import _KIN, _TOOK, KEY, h, jdn, query
+from kinframe.plans.record_queries import _twin, record_search
+from kinframe.plans.queries import _KIN, _TOOK, KEY, QUERIES, SQL, h, jdn, query
 from kinframe.sources import writes
 from kinframe.streaming import transactions
 from kinframe.tree import Tree
@@ -437,3 +437,21 @@ def write_rules(spark, sf_dir):
         bad = writes.check_records(rows.withColumn("value", value), kind)[1].select(F.lit(kind).alias("kind"), "k", F.array_join("reasons", "; ").alias("reasons"))
         out = bad if out is None else out.union(bad)
     return out
+
+
+@query(""" select handle, row_number() over (order by surname desc, first_name desc, handle)::bigint as position from d_person""")
+def people_by_name(spark, sf_dir):
+    """Every person's place by surname, given name as the tie-break, both descending."""
+    people = demo_tree(spark, sf_dir).person
+    return paging.positions(people, *paging.sort_columns("-surname", paging.person_keys(people))).select("handle", "position")
+
+
+def record_search_places(spark, sf_dir):
+    """The hits of ``record_search`` in the order of their types, last types first, each with its place in its query."""
+    tree = demo_tree(spark, sf_dir)
+    changes_of = tree.person.select(F.lit("person").alias("type"), "handle", "change").union(tree.event.select(F.lit("event"), "handle", "change"))
+    return search.placed(record_search(spark, sf_dir), changes_of, "-type").select("query_id", "type", "handle", "score", "place")
+
+
+QUERIES["record_search_places"] = record_search_places
+SQL["record_search_places"] = f"select *, row_number() over (partition by query_id order by type desc, handle)::bigint as place from ({SQL['record_search']})"
