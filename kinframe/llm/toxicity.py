@@ -59,26 +59,25 @@ class NoisyOr:
         word = self.word
         return np.array([sum(map(word, sorted(s))) for s in sentences]) + self.bias
 
-    def fit(self, docs: list[tuple[list[set[str]], int]], epochs: int = 6, least_steps: int = 400, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, rare: int = 4, seed: int = 3) -> NoisyOr:
+    def fit(self, words: list[str], coded: list[tuple[np.ndarray, np.ndarray]], y_all: np.ndarray, epochs: int = 6, least_steps: int = 400, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, rare: int = 4, seed: int = 3) -> NoisyOr:
         """Adagrad on document log loss. Character runs in under ``rare`` documents keep weight 0.
 
+        A document of ``coded`` is the places in ``words`` of its sentences' words and the sentences' lengths.
         With S the sum of softplus over a document's sentence logits its
         probability is 1 - exp(-S); that gives each sentence its share of the
         document's error, so only document labels are needed.
         """
-        vocab = {w: i for i, w in enumerate(sorted({w for d, _ in docs for s in d for w in s}))}
-        each = [grams(w) for w in vocab]
+        each = [np.array(grams(w), np.int32) for w in words]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat, first = np.concatenate([np.array(x) for x in each]), np.concatenate(([0], np.cumsum(sizes)))
+        flat, first = np.concatenate(each), np.concatenate(([0], np.cumsum(sizes)))
         seen = np.zeros(len(self.weights), np.int32)
-        for d, _ in docs:
-            seen[np.unique(np.concatenate([each[vocab[w]] for s in d for w in s]))] += 1
+        for idx, _ in coded:
+            seen[np.unique(np.concatenate([each[i] for i in np.unique(idx)]))] += 1
+        del each
         open_ = seen >= rare
-        coded = [(np.array([vocab[w] for s in d for w in sorted(s)]), np.array([len(s) for s in d])) for d, _ in docs]
-        y_all = np.array([y for _, y in docs])
         r, g2, b2 = np.random.default_rng(seed), np.full(len(self.weights), 1e-4), 1e-4
-        for _ in range(max(epochs, -(-least_steps * batch // len(docs)))):
-            for at in np.array_split(r.permutation(len(docs)), max(1, len(docs) // batch)):
+        for _ in range(max(epochs, -(-least_steps * batch // len(coded)))):
+            for at in np.array_split(r.permutation(len(coded)), max(1, len(coded) // batch)):
                 y, part = y_all[at], [coded[i] for i in at]
                 idx, lens = np.concatenate([d[0] for d in part]), np.concatenate([d[1] for d in part])
                 used, back = np.unique(idx, return_inverse=True)
@@ -109,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The ids drawn are broadcast (about 1.5 times the bound at most), so no text is shuffled.
     The sample takes texts of at most ``longest`` characters that have a word; the
-    driver gets the distinct words of their sentences. Rows with a null label or id
+    driver gets the distinct words of their sentences as Arrow columns and numbers them. Rows with a null label or id
     are left out, of repeated labels the greatest counts, rows that repeat an id are
     drawn together. None where a class is missing (an empty table too).
     """
@@ -128,15 +127,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             d, y, sentences = zip(*(x for x in out if x[2])) if any(x[2] for x in out) else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(y, pa.int32()), pa.array(sentences, pa.list_(pa.list_(pa.string())))], ["draw", "y", "sentences"])
 
-    taken, sample = {0: 0, 1: 0}, []
-    bags = drawn.select(draw.alias("draw"), "y", "text").mapInArrow(extract, "draw long, y int, sentences array<array<string>>")
-    for r in sorted(bags.collect(), key=lambda r: (r.draw, r.y, r.sentences)):
-        if taken[r.y] < docs_per_class:
-            taken[r.y] += 1
-            sample.append(([set(s) for s in r.sentences], r.y))
-    if not all(taken.values()):
+    bags = drawn.select(draw.alias("draw"), "y", "text").mapInArrow(extract, "draw long, y int, sentences array<array<string>>").toArrow().combine_chunks()
+    at, y = _first(bags, docs_per_class), bags.column("y").to_numpy()
+    if len(np.unique(y[at])) < 2:
         return None
-    return NoisyOr(np.zeros(1 << BITS), -7.0).fit(sample)
+    words, coded = _coded(bags.column("sentences").take(pa.array(at)))
+    return NoisyOr(np.zeros(1 << BITS), -7.0).fit(words, coded, y[at])
+
+
+def _first(bags: pa.Table, most: int) -> np.ndarray:
+    """Rows of the first ``most`` documents of each class, by draw, class and (where both are equal) sentences."""
+    draw, y = bags.column("draw").to_numpy(), bags.column("y").to_numpy()
+    order = np.lexsort((y, draw))
+    same = np.flatnonzero((draw[order][1:] == draw[order][:-1]) & (y[order][1:] == y[order][:-1]))
+    for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else ():
+        span = slice(run[0], run[-1] + 2)
+        order[span] = sorted(order[span], key=lambda i: bags.column("sentences")[int(i)].as_py())
+    kept = np.concatenate([np.flatnonzero(y[order] == c)[:most] for c in (0, 1)])
+    return order[np.sort(kept)]
+
+
+def _coded(sentences: pa.ChunkedArray) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct words in order, and each document as :meth:`NoisyOr.fit` takes it; no word is made a string more than once."""
+    words, coded, known = [], [], {}
+    for chunk in sentences.chunks:
+        inner = chunk.flatten()
+        coding = inner.flatten().dictionary_encode()
+        codes = np.array([known.setdefault(w, len(known)) for w in coding.dictionary.to_pylist()], np.int32)[coding.indices.to_numpy()]
+        lens, counts = inner.value_lengths().to_numpy().astype(np.int64), chunk.value_lengths().to_numpy()
+        rows = np.concatenate(([0], np.cumsum(lens)))
+        ends = np.cumsum(counts)
+        coded += [(codes[rows[e - n] : rows[e]], lens[e - n : e]) for e, n in zip(ends, counts)]
+    words = sorted(known)
+    rank = np.empty(len(known), np.int32)
+    rank[[known[w] for w in words]] = np.arange(len(words), dtype=np.int32)
+    return words, [(rank[idx], lens) for idx, lens in coded]
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), sentence_at: float = 0.5) -> DataFrame:

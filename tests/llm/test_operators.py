@@ -516,3 +516,20 @@ def test_pipeline_run_and_what_its_first_stage_rejects(spark, tmp_path):
         spark.read.parquet(f"{d}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 150
+
+
+def test_toxicity_sample_stays_small_in_the_driver(spark, monkeypatch):
+    import tracemalloc
+
+    sentence = F.concat_ws(" ", *(F.concat(F.lit(f"word{i}x"), ((F.col("doc_id") + i) % 9).cast("string")) for i in range(25)))
+    docs = spark.range(1200).withColumnRenamed("id", "doc_id").select("doc_id", F.repeat(F.concat(sentence, F.lit(". ")), 35).alias("text")).localCheckpoint()
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    fitted = {}
+    monkeypatch.setattr(toxicity.NoisyOr, "fit", lambda self, words, coded, y: fitted.update(words=words, coded=coded, y=y) or self)
+    tracemalloc.start()
+    toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(fitted["coded"]) == 1200 and sum(len(i) for i, _ in fitted["coded"]) == 1200 * 35 * 25 and fitted["y"].sum() == 300
+    assert len(fitted["words"]) == 225 and fitted["words"] == sorted(fitted["words"])
+    assert peak < 40 << 20
