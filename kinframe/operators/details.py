@@ -42,7 +42,7 @@ def _events(tree: Tree) -> DataFrame:
 
 def _listed(tree: Tree, kind: str, field: str, dst: str, label: Column, out: str) -> DataFrame:
     """(handle, out): (id, label) of the records of a list, in its order; one that is not there by its handle, without a label."""
-    df, target = tree.tables()[kind], tree.tables().get(dst)
+    df, target = getattr(tree, kind), getattr(tree, dst)
     shape = "array<struct<id:string,label:string>>"
     if field not in df.columns or target is None:
         return df.select("handle", F.array().cast(shape).alias(out))
