@@ -77,3 +77,9 @@ def test_duplicates_compare_distinct_names_once(spark):
     assert len(got) == out.count() and all(a < b for a, b in got)
     assert sum(e == 0 for e in got.values()) == 40 * 39 // 2 and got["h0", "h41"] == 2 and got["h41", "h51"] == 1
     assert "levenshtein(na" in plan(out)
+
+
+def test_backlinks_of_families_look_at_people_alone(spark, tree):
+    got = references.extended_backlinks(tree, "family")
+    assert written(tree) == {"person"} and got.where("label is null").isEmpty()
+    assert got.count() == references.edges(tree, "family").select("dst", "src").distinct().count()
