@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from kinframe.operators import graph, references, search
+from kinframe.operators import graph, references, search, timelines
 from kinframe.plans import checkpoints, demo
 from kinframe.tree import Tree
 
@@ -83,3 +83,9 @@ def test_backlinks_of_families_look_at_people_alone(spark, tree):
     got = references.extended_backlinks(tree, "family")
     assert written(tree) == {"person"} and got.where("label is null").isEmpty()
     assert got.count() == references.edges(tree, "family").select("dst", "src").distinct().count()
+
+
+def test_timelines_tell_events_before_kin(spark, tree):
+    text = timelines.person_timeline(tree)._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in text.splitlines() if "Join" in line and "relation" in line]
+    assert len(met) == 1 and "type" in met[0] and "person" in met[0]
