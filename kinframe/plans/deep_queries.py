@@ -119,7 +119,8 @@ select a, b, case gender when 0 then f else m end as relation, ['blood', 'partne
 from best left join words w on w.kind = r[2] and w.u = r[3] and w.d = r[4] and w.half = r[5] join d_person x on x.handle = b""")
 def kinship_within_four(spark, sf_dir):
     """Every pair of people within four steps: blood, half-blood, partner, step and in-law relations."""
-    return kinship.kinship(remarried_tree(spark, sf_dir))
+    # people as derived, since neither their events nor their lists tell of kin
+    return kinship.kinship(remarried_tree(spark, sf_dir).with_tables(person=flat(spark, sf_dir, "person")))
 
 
 def _round(k: int) -> str:
