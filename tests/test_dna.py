@@ -1,6 +1,10 @@
 """Segments of notes and DNA matches."""
 
-from kinframe.operators import dna
+import random
+
+import pytest
+
+from kinframe.operators import dna, graph
 from kinframe.tree import Tree
 
 NOTE = """Chromosome,Start,Stop,cM,SNPs
@@ -43,3 +47,31 @@ def test_matches(spark):
     assert (c.person, c.person_ref_idx, c.relation, c.ancestors, c.note_handles, c.centimorgans, c.faults) == ("me", 1, "1st cousin", ["gm", "gp"], ["n2", "n1"], 7.5, ["n1:2 fields"])
     assert [(s.chromosome, s.cm) for s in c.segments] == [("2", 4.5), ("1", 3.0)]
     assert (got["far"].relation, got["far"].ancestors, got["far"].segments, got["far"].person_ref_idx) == (None, [], [], 2) and set(got) == {"cousin", "far"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_ways_equal_plain_without_a_row_for_each_ancestor(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    edges = {(f"p{c:02d}", f"p{p:02d}") for c in range(40) for p in draw.sample(range(c + 1, 50), 2) if draw.random() < 0.6}
+    pairs = {(f"p{draw.randrange(50):02d}", f"p{draw.randrange(50):02d}") for _ in range(60)} | {("p01", "p01"), ("p01", "gone")}
+    depth, reach = 4, {}
+    for h in {x for p in pairs for x in p}:
+        reach[h], level = {h: 0}, {h}
+        for n in range(1, depth + 1):
+            level = {p for c, p in edges if c in level}
+            for p in level:
+                reach[h].setdefault(p, n)
+    ways, best = {}, {}
+    for a, b in pairs:
+        met = {x: (reach[a][x], reach[b][x]) for x in reach[a].keys() & reach[b].keys()}
+        above = {(p, met[c][0] + 1, met[c][1] + 1) for c, p in edges if c in met}
+        for x, (up, down) in met.items():
+            if (x, up, down) not in above:
+                ways.setdefault((a, b, up, down), set()).add(x)
+        if met:
+            up, down = min(met.values(), key=lambda w: (sum(w), w[0]))
+            best[a, b] = (up, down, sorted(x for x, w in met.items() if w == (up, down)))
+    monkeypatch.setattr(graph, "closure", lambda *a, **k: pytest.fail("a row for each ancestor of each person"))
+    par, asked = spark.createDataFrame(sorted(edges), "child string, parent string"), spark.createDataFrame([*sorted(pairs), (None, "p01"), ("p02", None)], "a string, b string")
+    assert {(r.a, r.b, r.up, r.down): r.ancestors for r in graph.relationships(par, asked, depth).collect()} == {k: sorted(v) for k, v in ways.items()}
+    assert {(r.a, r.b): (r.up, r.down, r.ancestors) for r in graph.nearest(par, asked, depth).collect()} == best
