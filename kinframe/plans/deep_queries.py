@@ -310,15 +310,17 @@ def bucketed_snapshot(spark, sf_dir):
 def matched_tree(spark, sf_dir) -> Tree:
     """The derived people, each with a DNA match whose notes are the person's orders: a line for each of their items, some with faults."""
     t = demo_tree(spark, sf_dir)
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").distinct()
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     number = lambda c: F.col(c).cast("bigint").cast("string")
     start = (F.col("l_partkey").cast("bigint") + 1) * 1000
     stop = F.when(F.col("l_partkey") % 11 == 0, start - 1).otherwise(start + F.col("l_suppkey").cast("bigint") * 10)
     line = F.when(F.col("l_linenumber") == 7, F.lit("see letter")).otherwise(F.concat_ws(
         ",", (1 + F.col("l_partkey") % 25).cast("string"), start.cast("string"), stop.cast("string"), number("l_quantity"),
         F.when(F.col("l_suppkey") % 9 == 0, F.lit("many")).otherwise(number("l_suppkey")), F.when(F.col("l_suppkey") % 2 == 0, F.lit("p")).otherwise(F.lit(""))))
-    body = item.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    note = body.select(F.concat(F.lit("X"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("handle"), F.struct(F.concat(F.lit("Chromosome,Start,Stop,cM,SNPs,Side\n"), "body").alias("string")).alias("text"))
+    # alike items are one; a note's items come together by its handle, in the one shuffle that the note needs later too
+    key = F.concat(F.lit("X"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("handle")
+    body = item.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"), "l_quantity")))["line"].alias("lines"))
+    note = body.select("handle", F.struct(F.concat(F.lit("Chromosome,Start,Stop,cM,SNPs,Side\n"), F.array_join("lines", "\n")).alias("string")).alias("text"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("handle"), F.concat(F.lit("X"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("note"))
     lists = orders.groupBy("handle").agg(F.array_sort(F.collect_list("note")).alias("notes"))
     people = flat(spark, sf_dir, "person")
