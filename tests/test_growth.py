@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinframe.operators import graph, references, search, timelines
 from kinframe.plans import checkpoints, demo
@@ -89,3 +90,25 @@ def test_timelines_tell_events_before_kin(spark, tree):
     text = timelines.person_timeline(tree)._jdf.queryExecution().optimizedPlan().toString()
     met = [line for line in text.splitlines() if "Join" in line and "relation" in line]
     assert len(met) == 1 and "type" in met[0] and "person" in met[0]
+
+
+def test_citations_are_gathered_once(spark, tree):
+    base, tree = tree, demo.cited_tree(spark, SF)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(references.evidence_chain(tree))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange" in text and written(base) == {"event", "source", "repository"}
+    got, want = tree.citation, demo.flat(spark, SF, "citation").select("handle", F.col("handle").alias("record_id"), "source_handle", "page", "confidence")
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_items_without_keys_stay(spark, tmp_path):
+    item = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int"
+    spark.createDataFrame([(1, 2, 3, 4), (1, 2, 3, 4), (1, 2, None, 4), (None, 2, 3, 4), (None, 2, 3, 4), (1, None, 3, 5)], item).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf = str(tmp_path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(demo.citations(spark, sf).drop("record_id")) == rows(demo.flat(spark, sf, "citation").drop("event_handle"))
+    assert [r.citation_list for r in demo.cited_events(spark, sf).collect()] == [["C1-2-3-4"]]
+    assert {r.source_handle: [x.ref for x in r.reporef_list] for r in demo.repository_lists(spark, sf).collect()} == {"Q000000002": [None, "L000000003"], None: ["L000000003"]}
