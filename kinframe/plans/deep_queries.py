@@ -9,7 +9,7 @@ from kinframe.functions import shapes
 from kinframe.functions.conditions import all_of, any_of, flagged, follow, matching, where
 from kinframe.operators import changes, details, dna, kinship, lives, paging, search, timelines
 from kinframe.plans.checkpoints import shared_folder
-from kinframe.plans.demo import demo_tree, flat
+from kinframe.plans.demo import cited_tree, demo_tree, flat
 from kinframe.plans.record_queries import _twin, record_search
 from kinframe.plans.queries import _KIN, _TOOK, KEY, QUERIES, SQL, h, jdn, query
 from kinframe.sources import writes
@@ -365,7 +365,7 @@ def dna_match_list(spark, sf_dir):
 
 def attached_tree(spark, sf_dir) -> Tree:
     """The derived people with the documents as their notes and the pages as their media; every tenth also refers to a note that is not there."""
-    t = demo_tree(spark, sf_dir)
+    t = cited_tree(spark, sf_dir)
     person = flat(spark, sf_dir, "person")
     n = person.count()
     pick = lambda c: F.concat(F.lit("P"), F.lpad((F.col(c) % n + 1).cast("string"), 9, "0"))

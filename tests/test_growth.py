@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from kinframe.operators import graph, references, search, timelines
+from kinframe.operators import details, graph, references, search, timelines
 from kinframe.plans import checkpoints, demo
 from kinframe.tree import Tree
 
@@ -16,6 +16,15 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def fixed_plan(spark, make) -> str:
+    """The plan of ``make()`` as it is without adaptive changes, where a shuffle that is used again is told."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return plan(make())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.fixture
 def tree(spark, monkeypatch):
     monkeypatch.setattr(demo, "_stored", {})
@@ -94,11 +103,7 @@ def test_timelines_tell_events_before_kin(spark, tree):
 
 def test_citations_are_gathered_once(spark, tree):
     base, tree = tree, demo.cited_tree(spark, SF)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        text = plan(references.evidence_chain(tree))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+    text = fixed_plan(spark, lambda: references.evidence_chain(tree))
     assert "ReusedExchange" in text and written(base) == {"event", "source", "repository"}
     got, want = tree.citation, demo.flat(spark, SF, "citation").select("handle", F.col("handle").alias("record_id"), "source_handle", "page", "confidence")
     assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -112,3 +117,22 @@ def test_items_without_keys_stay(spark, tmp_path):
     assert rows(demo.citations(spark, sf).drop("record_id")) == rows(demo.flat(spark, sf, "citation").drop("event_handle"))
     assert [r.citation_list for r in demo.cited_events(spark, sf).collect()] == [["C1-2-3-4"]]
     assert {r.source_handle: [x.ref for x in r.reporef_list] for r in demo.repository_lists(spark, sf).collect()} == {"Q000000002": [None, "L000000003"], None: ["L000000003"]}
+
+
+def told_once(text: str) -> bool:
+    """Events are neither written with all that is told of them nor shuffled by their place, and go to their person in one shuffle."""
+    by_person = [line for line in text.splitlines() if "- Exchange hashpartitioning(person" in line and "REPARTITION" in line]
+    return len(by_person) <= 2 and "hashpartitioning(place" not in text and not any("told" in line for line in text.splitlines() if "ExistingRDD" in line)
+
+
+def test_persons_have_their_events_from_one_shuffle(spark, tree):
+    text = fixed_plan(spark, lambda: details.person_sections(demo.cited_tree(spark, SF)))
+    assert told_once(text) and text.count("ReusedExchange") >= 2 and "citation" not in written(tree)
+    assert "hashpartitioning(place" not in fixed_plan(spark, lambda: timelines.kin_timeline(tree))
+
+
+def test_citations_are_told_by_id(spark):
+    event = spark.createDataFrame([("e1", ["c2", "c1", "lost", "c2", "c3"]), ("e2", None), ("e3", ["c1"])], "handle string, citation_list array<string>")
+    citation = spark.createDataFrame([("c1", "c1"), ("c2", "C0002"), ("c3", "")], "handle string, record_id string")
+    got = {r.handle: r.citations for r in details._citations(Tree(event=event, citation=citation)).collect()}
+    assert got == {"e1": ["C0002", "c1", "C0002", "c3"], "e2": [], "e3": ["c1"]}
