@@ -410,7 +410,7 @@ select f.handle, a.name as father, b.name as mother, coalesce(kids.listed, '') a
 from d_family f left join named a on a.handle = father_handle left join named b on b.handle = mother_handle left join kids on kids.family = f.handle left join wed w on w.owner = f.fk left join line on line.family = f.handle""")
 def family_sections(spark, sf_dir):
     """Every section of every family, its timeline as its length and the sum of its days."""
-    d = details.family_sections(demo_tree(spark, sf_dir))
+    d = details.family_sections(cited_tree(spark, sf_dir))
     kids = F.array_join(F.transform("children", lambda x: F.concat_ws(" ", x["id"], x["name"])), "; ").alias("children")
     days = F.aggregate("timeline", F.lit(0).cast("long"), lambda t, x: t + x["told"]["sortval"]).alias("days")
     return d.select("handle", F.col("father.name").alias("father"), F.col("mother.name").alias("mother"), kids, F.col("married.sortval").alias("married"), F.size("timeline").alias("n_events"), days)

@@ -5,11 +5,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from kinframe.functions.dates import DATE_DDL
 from kinframe.operators import details, graph, references, search, timelines
-from kinframe.plans import checkpoints, demo
+from kinframe.plans import checkpoints, deep_queries, demo
 from kinframe.tree import Tree
 
 SF = "/root/testdata/sf0.001"
+DATE_FIELDS = "modifier quality d1 m1 y1 s1 d2 m2 y2 s2 text sortval".split()
 
 
 def plan(df) -> str:
@@ -136,3 +138,23 @@ def test_citations_are_told_by_id(spark):
     citation = spark.createDataFrame([("c1", "c1"), ("c2", "C0002"), ("c3", "")], "handle string, record_id string")
     got = {r.handle: r.citations for r in details._citations(Tree(event=event, citation=citation)).collect()}
     assert got == {"e1": ["C0002", "c1", "C0002", "c3"], "e2": [], "e3": ["c1"]}
+
+
+def test_families_have_their_events_from_one_shuffle(spark, tree, monkeypatch):
+    made, details_of = [], details.family_sections
+    monkeypatch.setattr(details, "family_sections", lambda t: made.append(t) or details_of(t))
+    text = fixed_plan(spark, lambda: deep_queries.family_sections(spark, SF))
+    assert made and told_once(text) and "ReusedExchange" in text and written(tree) == {"event", "family", "person", "place"}
+
+
+def test_who_stands_twice_in_a_family(spark):
+    refs = "array<struct<ref:string,role:string>>"
+    person = spark.createDataFrame([("a", -1, -1, [("e", "Primary")], None)], f"handle string, birth_ref_index int, death_ref_index int, event_ref_list {refs}, gender int")
+    person = person.withColumn("primary_name", F.struct(F.lit("A").alias("first_name"), F.array(F.struct(F.lit("B").alias("surname"))).alias("surname_list")))
+    family = spark.createDataFrame([("a", "a", "a", [("a",), (None,)], [("w", "Family")]), ("b", None, None, None, [("w", "Family")])], f"handle string, father_handle string, mother_handle string, child_ref_list array<struct<ref:string>>, event_ref_list {refs}")
+    event = spark.createDataFrame([("e", "Census"), ("w", "Marriage")], "handle string, type string").select("*", F.struct(*(F.lit(v).alias(c) for c, v in zip(DATE_FIELDS, (0, 0, 1, 1, 1900, False, 0, 0, 0, False, "", 0)))).cast(DATE_DDL).alias("date"), F.lit(None).cast("string").alias("place"), F.array().cast("array<string>").alias("citation_list"))
+    citation = spark.createDataFrame([], "handle string, record_id string")
+    got = {r.handle: r for r in details.family_sections(Tree(person=person, family=family, event=event, citation=citation)).collect()}
+    a, b = got["a"], got["b"]
+    assert [x and x.handle for x in (a.father, a.mother, *a.children)] == ["a", "a", "a", None] and sorted((x.told.event, x.role) for x in a.timeline) == [("e", "Primary"), ("w", "Husband")]
+    assert a.married.event == b.married.event == "w" and (b.father, b.mother, b.children, b.timeline) == (None, None, [], [])
