@@ -1,6 +1,7 @@
 """How plans grow: which tables are derived, what is broadcast, what is shuffled."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,23 @@ def test_who_stands_twice_in_a_family(spark):
     a, b = got["a"], got["b"]
     assert [x and x.handle for x in (a.father, a.mother, *a.children)] == ["a", "a", "a", None] and sorted((x.told.event, x.role) for x in a.timeline) == [("e", "Primary"), ("w", "Husband")]
     assert a.married.event == b.married.event == "w" and (b.father, b.mother, b.children, b.timeline) == (None, None, [], [])
+
+
+def test_large_blocks_meet_by_what_is_left(spark, monkeypatch):
+    rnd = random.Random(3)
+    names = {"".join(rnd.choice("abé") for _ in range(rnd.randrange(6))) for _ in range(150)} | {"", "a", "aa", "aaa", "aaaa", "aaaaa", "baaa"}
+    blocks = [(1850, ""), (1900, "Customer#00")]
+    rows = [(f"{year}-{i}-{k}", start + name, "Smith", year, 1) for year, start in blocks for i, name in enumerate(sorted(names)) for k in range(1 + i % 2)]
+    people = spark.createDataFrame(rows, "handle string, first_name string, surname string, birth_year int, place int")
+    pairs = lambda most: sorted((r.a, r.b, r.edits) for r in search.duplicate_candidates(people, most).collect())
+    for most in (0, 1, 2, 3):
+        both = people.alias("x").join(people.alias("y"), (F.col("x.birth_year") == F.col("y.birth_year")) & (F.col("x.handle") < F.col("y.handle")))
+        want = sorted(map(tuple, both.select("x.handle", "y.handle", F.levenshtein("x.first_name", "y.first_name").alias("e")).where(F.col("e") <= most).collect()))
+        monkeypatch.setattr(search, "FEW_NAMES", 0)
+        assert pairs(most) == want
+        monkeypatch.setattr(search, "FEW_NAMES", len(names) if most % 2 else 1000)
+        assert pairs(most) == want
+    many = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("handle"), F.sha2(F.col("id").cast("string"), 256).substr(1, 12).alias("first_name"), F.lit("Smith").alias("surname"), F.lit(1850).alias("birth_year"), F.lit(1).alias("place"))
+    monkeypatch.setattr(search, "FEW_NAMES", 128)
+    assert "key" in next(line for line in plan(search.duplicate_candidates(many)).splitlines() if "Join" in line and "levenshtein" in line)
+    assert search.duplicate_candidates(many).isEmpty()
